@@ -12,6 +12,7 @@ length; executors rank the pieces of a length and look their slots up.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY = 2048
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 700_000
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
 
 
@@ -168,6 +170,7 @@ class LibraryIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.table: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,20 +184,50 @@ class LibraryIds:
         raw = np.array(got.ids, "<u4").tobytes()
         return {c: raw[cut[k] : cut[k + 1]] for k, c in enumerate(chunks)}
 
+    def learn(self, chunks: list[str]) -> None:
+        """Enter chunks into the table.  Letters and one mark behind them are words of their own to the
+        tokenizer, and case is dropped, so such a chunk is put together from what is known of its parts."""
+        table, words, match = self.table, self.words, PLAIN.fullmatch
+        if len(table) + len(chunks) > CACHE_CHUNKS:
+            table.clear()
+        if len(words) > CACHE_CHUNKS:
+            words.clear()
+        parts = [(c, m[1].lower(), m[2]) for c in chunks if (m := match(c))]
+        lacking = list({w for _, w, _ in parts if w not in words} | {m for _, _, m in parts if m and m not in words})
+        for at in range(0, len(lacking), 2_000):
+            words.update(self.apart(lacking[at : at + 2_000]))
+        for c, w, m in parts:
+            table[c] = words[w] + words[m] if m else words[w]
+        rest = [c for c in chunks if c not in table]
+        for at in range(0, len(rest), 2_000):
+            table.update(self.apart(rest[at : at + 2_000]))
+
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):  # str.split() would split there, the tokenizer doesn't
-            return self.ids([text])[0]
-        table, chunks = self.table, text.split()
-        try:
-            return b"".join([table[c] for c in chunks])
-        except KeyError:
-            new = [c for c in set(chunks) if c not in table]
-            if len(table) + len(new) > CACHE_CHUNKS:
-                table.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 2_000):
-                table.update(self.apart(new[at : at + 2_000]))
-            return b"".join([table[c] for c in chunks])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what the table lacks is looked for once for all the texts."""
+        out: list[bytes] = [b""] * len(texts)
+        table, lacking, new = self.table, [], set()
+        for k, text in enumerate(texts):
+            if any(c in text for c in ODD_SPACE):  # str.split() would split there, the tokenizer doesn't
+                out[k] = self.ids([text])[0]
+                continue
+            chunks = text.split()
+            got = list(map(table.get, chunks))
+            if None in got:
+                at = [i for i, x in enumerate(got) if x is None]
+                lacking.append((k, chunks, got, at))
+                new.update([chunks[i] for i in at])
+            else:
+                out[k] = b"".join(got)
+        if new:
+            self.learn(list(new))
+        for k, chunks, got, at in lacking:
+            for i in at:
+                got[i] = table[chunks[i]]
+            out[k] = b"".join(got)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -202,6 +235,11 @@ def library(path: str) -> LibraryIds:
     return LibraryIds(path)
 
 
+def _by_hundreds(lib: LibraryIds, texts: pa.Array, step: int = 256):
+    for at in range(0, len(texts), step):
+        yield from lib.encode_all([t or "" for t in texts.slice(at, step).to_pylist()])
+
+
 def pieces(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, capacity: int, end_id: int = 0) -> DataFrame:
     """``(<id_col>, piece, start, length, ids_crc32)`` for every piece of at most ``capacity`` tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -210,10 +248,9 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, capacit
     def run(batches):
         lib = library(vocab_path)
         for b in batches:
-            texts = b.column(1).to_pylist()
             at, out = [], []
-            for k, text in enumerate(texts):
-                ids = lib.encode(text or "") + end
+            for k, ids in enumerate(_by_hundreds(lib, b.column(1))):
+                ids += end
                 for s in range(0, len(ids), width):
                     part = ids[s : s + width]
                     at.append(k)

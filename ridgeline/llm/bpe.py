@@ -15,17 +15,17 @@ text between white space); only new chunks reach the dynamic program.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 400_000  # entries of a worker's table; it starts anew when full
+CACHE_CHUNKS, CACHE_WORDS = 700_000, 800_000  # most entries of a worker's tables, which start anew when full
 # Python's str.split() also splits at these; the tokenizer doesn't call them white space
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 END = 0xE000  # symbols that end a word are moved here, each to one code point
@@ -74,8 +74,9 @@ class PrefixBpe:
             if reached[i]:
                 self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.table: dict[str, tuple[bytes, str]] = {}
-        self.known_words: dict[str, list[int]] = {}
+        self.table: dict[str, bytes] = {}
+        self.spoken: dict[str, str] = {}
+        self.known_words: dict[str, array] = {}
 
     def folded(self, token: str) -> str:
         """A token's text with the word end folded into its last symbol."""
@@ -153,8 +154,8 @@ class PrefixBpe:
             got = known.get(word)
             if got is None:
                 s = "".join([symbols[b] for b in word.encode()])
-                got = self.encode_word(s[:-1] + chr(END + ord(s[-1])) if self.suffix else s)
-                if len(known) >= CACHE_CHUNKS // 2:
+                got = array("I", self.encode_word(s[:-1] + chr(END + ord(s[-1])) if self.suffix else s))
+                if len(known) >= CACHE_WORDS:
                     known.clear()
                 known[word] = got
             ids += got
@@ -178,40 +179,50 @@ class PrefixBpe:
         names = self.names
         return " ".join([names[i] for i in ids])
 
-    def fill(self, chunks: set[str]) -> None:
-        table = self.table
-        new = [c for c in chunks if c not in table]
-        if len(table) + len(new) > CACHE_CHUNKS:
-            table.clear()
-            new = chunks
-        plain = [c for c in new if "<|" not in c]
+    def learn(self, chunks: list[str]) -> None:
+        """Enter chunks without white space into the tables."""
+        if len(self.table) + len(chunks) > CACHE_CHUNKS:
+            self.table.clear()
+            self.spoken.clear()
+        plain = [c for c in chunks if "<|" not in c]
         said = self.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []  # no chunk holds or becomes white space
         for c, text in zip(plain, said, strict=True):
             ids = self.encode_words(text)
-            table[c] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        for c in new:
+            self.table[c], self.spoken[c] = array("I", ids).tobytes(), self.decode(ids)
+        for c in chunks:
             if "<|" in c:
                 ids = self.encode(c)
-                table[c] = (np.array(ids, "<u4").tobytes(), self.decode(ids))
+                self.table[c], self.spoken[c] = array("I", ids).tobytes(), self.decode(ids)
+
+    def batch(self, texts: list[str], step: int = 100_000) -> Iterator[tuple[bytes, str]]:
+        """For each text its ids as little-endian unsigned 32-bit integers, and their decoding.
 
-    def batch(self, texts: list[str], step: int = 2_000_000) -> Iterator[tuple[bytes, str]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and their decoding."""
+        What the tables lack is looked for once for about ``step`` chunks of all the texts.
+        """
+        waiting: list[list[str] | str] = []
+        size = 0
         for text in texts:
-            if ODD_SPACE.search(text):
-                ids = self.encode(text)
-                yield np.array(ids, "<u4").tobytes(), self.decode(ids)
-                continue
-            chunks = text.split()
-            raw, spoken = [], []
-            for k in range(0, len(chunks), step):  # a step's distinct chunks are the most that must fit beside the table
-                try:
-                    got = [self.table[c] for c in chunks[k : k + step]]
-                except KeyError:
-                    self.fill(set(chunks[k : k + step]))
-                    got = [self.table[c] for c in chunks[k : k + step]]
-                raw.append(b"".join([x[0] for x in got]))
-                spoken += [x[1] for x in got if x[0]]
-            yield b"".join(raw), " ".join(spoken)
+            waiting.append(text if ODD_SPACE.search(text) else text.split())
+            size += len(waiting[-1])
+            if size >= step:
+                yield from self.encoded(waiting)
+                waiting, size = [], 0
+        yield from self.encoded(waiting)
+
+    def encoded(self, waiting: list[list[str] | str]) -> Iterator[tuple[bytes, str]]:
+        table = self.table
+        lists = [x for x in waiting if not isinstance(x, str)]
+        new = {c for x in lists for c in x if c not in table}
+        if len(table) + len(new) > CACHE_CHUNKS:  # the tables are about to start anew
+            new = {c for x in lists for c in x}
+        if new:
+            self.learn(list(new))
+        for x in waiting:
+            if isinstance(x, str):
+                ids = self.encode(x)
+                yield array("I", ids).tobytes(), self.decode(ids)
+            else:
+                yield b"".join(map(table.__getitem__, x)), " ".join(filter(None, map(self.spoken.__getitem__, x)))
 
 
 @lru_cache(maxsize=2)

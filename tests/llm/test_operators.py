@@ -1,0 +1,233 @@
+"""Each corpus operator against brute force on small tables, with nulls, ties and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ridgeline.llm import ann, bpe, packing, pii, quality, queries, sentence_dedup, simhash, suffix_dedup, toxicity, warc
+
+VOCAB = queries.vocab_path()
+SPEC = "doc_id long, text string, rk int, b int, h int, _t int, lang string"
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+def documents(spark):
+    shared = words(1, 120)
+    texts = [words(2, 80) + " " + shared + " " + words(3, 40), words(4, 30) + " " + shared, words(5, 200), None, "", "  \n ", "a" * 1500, words(5, 200), "é" * 300 + "ß!", "Mail a.b@c.de or +1 (743) 555-3824"]
+    rows = [(k, t, 1, 2, 3, 4, "en" if k % 2 else None) for k, t in enumerate(texts)]
+    rows += [(None, words(6, 60), 1, 2, 3, 4, "en"), (5, words(7, 90), 1, 2, 3, 4, "fr"), (5, words(7, 90), 1, 2, 3, 4, "fr")]
+    return spark.createDataFrame(rows, SPEC)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SPEC)
+
+
+def test_suffix_array_against_brute_force():
+    r = random.Random(3)
+    for _ in range(120):
+        length, letters = r.choice([8, 12, 33]), r.choice(["ab", "a", "abcdefgh é"])
+        pieces = []
+        for _ in range(r.randint(1, 5)):
+            p = "".join(r.choice(letters) for _ in range(r.randint(length, 100))).encode()
+            if pieces and r.random() < 0.5:
+                q = r.choice(pieces)
+                at = r.randint(0, len(q))
+                p = p[:20] + q[at : at + 50] + p[20:]
+            pieces.append(p)
+        seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+        got = suffix_dedup.repeated_windows(pieces, [len(p) - length + 1 for p in pieces], length)
+        assert [g.tolist() for g in got] == [[i for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1] for p in pieces]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 100])
+def test_remove_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    docs = documents(spark)
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        want.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
+    got = [bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want) and len(want[0]) < len(texts[0])
+    assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
+
+
+def test_bpe_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(VOCAB), bpe.PrefixBpe(VOCAB)
+    r = random.Random(1)
+    pool = [chr(c) for c in [*range(32, 127)] * 3 + [*range(0xA0, 0x250), 0x300, 0x301, 0x2028, 0x3000, 0x1F600, 0x4E00, 0x1C, 0x85]]
+    texts = ["", "a <|endoftext|>B's", "ΟΔΟΣ İ", "don't '''s", "a" * 400] + ["".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(2000)]
+    for t, (ids, said) in zip(texts, own.batch(texts), strict=True):
+        e = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == e and said == lib.decode(e, skip_special_tokens=False)
+        assert np.frombuffer(packing.library(VOCAB).encode(t), "<u4").tolist() == e
+    assert bpe.encode(documents(spark), VOCAB).count() == 13 and bpe.encode(empty(spark), VOCAB).count() == 0
+
+
+def test_packing(spark):
+    got = packing.pack(documents(spark), VOCAB, capacity=64).toPandas()
+    at = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (at["length"].cumsum() - got["length"] == got["offset"]).all() and (at["length"].sum() <= 64).all()
+    lib = packing.library(VOCAB)
+    crc = Counter(zlib.crc32(p) for r in documents(spark).collect() for ids in [lib.encode(r["text"] or "") + b"\0" * 4] for k in range(0, len(ids), 256) for p in [ids[k : k + 256]])
+    assert Counter(got["ids_crc32"]) == crc
+    assert packing.pack(empty(spark), VOCAB).count() == 0
+    r = random.Random(2)
+    counts = Counter(min(2048, max(1, int(r.lognormvariate(5.5, 1)))) for _ in range(20000))
+    p = packing.plan(counts)
+    assert p.sequences <= packing.sequences_needed(counts) * 1.01 + 2 and len(set(zip(p.length, p.lo, strict=True))) == len(p.length)
+
+
+def test_sentences(spark):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. "
+    rows = [(1, "Alpha beta gamma. " + passage + "End one."), (2, passage + "Other end."), (3, None), (4, ""), (5, "Short."), (6, passage)]
+    got = {r["doc_id"]: r for r in sentence_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["kept"] for k in (1, 2, 3, 4, 5, 6)] == [rows[0][1], "Other end.", None, "", "Short.", ""]
+    assert sentence_dedup.remove_repeated_spans(documents(spark)).count() == 13
+    for t in ("", "...", "a.b.c", "x\n\n\ny. z", "é! ü? o" * 30, "w, " * 50):
+        assert "".join(t[a:z] for a, z in sentence_dedup.sentences(t)) == t
+
+
+def test_quality(spark):
+    def brute(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+    texts = [None, "", " ", "a b c a b c", "x\nx\n\nx y\nx", "# <b> | & 100%", "a a a a a", " ".join("ab" for _ in range(60)), "é ü\tö\x0bß"]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r[1:6]) for r in got] == [brute(t) for t in texts] and got[7]["base_failed"] and not got[0]["kept"]
+
+
+def test_simhash(spark):
+    assert simhash.fingerprint("") == 0 and simhash.fingerprint("One") == simhash.fingerprint(" one\n")
+    r = np.random.default_rng(0)
+    fp = r.integers(-(1 << 63), 1 << 63, 300, dtype=np.int64)
+    for _ in range(3):
+        near = fp.copy()
+        for _ in range(r.integers(1, 5)):
+            near ^= np.int64(1) << r.integers(0, 63, len(near))
+        fp = np.unique(np.concatenate([fp, near]))
+    u = fp.view(np.uint64)
+    a, b = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4)
+    root = np.arange(len(fp))
+    for _ in range(len(fp)):
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        if (new == root).all():
+            break
+        root = new
+    from ridgeline.llm.components import components
+
+    points = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    for hot in (20_000, 8):
+        got = {r["node"]: r["root"] for r in components(simhash.links(points, hot=hot), "a", "b").collect()}
+        assert [got.get(int(x), int(x)) for x in fp] == [int(fp[k]) for k in root]
+    rows = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(documents(spark)).collect()}
+    assert {(2, 2), (7, 2), (3, 3), (4, 3)} <= rows and simhash.near_duplicates(empty(spark)).count() == 0
+    for pairs in (False, True):
+        row, key, home = simhash.placements(fp, pairs)
+        assert home.sum() == 3 * len(fp)
+
+
+def test_pii(spark):
+    r = random.Random(5)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(r.choice("a1@.-+ (9)0") for _ in range(r.randint(1, 60)))
+        base = pii.base_spans(t)
+        assert [s[:2] for s in base if s[2] == "email"] == [m.span() for m in email.finditer(t)]
+        assert [s[:2] for s in base if s[2] == "ip"] == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    field = pii.SemiMarkovField()
+    field.w = pii.trained()
+    hit = miss = 0
+    for t, gold in pii.examples(150, seed=99):
+        found = set(field.best(t, [m.span() for m in pii.TOKEN.finditer(t)]))
+        hit += len(found & set(gold))
+        miss += len(found ^ set(gold))
+    assert hit > 50 and miss <= 0.1 * hit
+    got = {r["doc_id"]: r for r in pii.detect(documents(spark)).collect()}
+    assert got[9]["redacted"] == "Mail [EMAIL] or [PHONE]" and got[3]["redacted"] is None and pii.detect(empty(spark)).count() == 0
+    assert pii.base_spans("4" * 50_000 + "." * 50_000 + "a" * 50_000 + "@") == []
+
+
+def test_toxicity(spark):
+    r = random.Random(4)
+    docs = [(k, words(k, 40) + (" idiot moron " if k % 3 == 0 else " ") + words(-k, 20), "en") for k in range(600)]
+    labels = [(k, int(k % 3 == 0)) for k in range(600) if r.random() < 0.9]
+    got = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [x for x in got if x["held_out"]]
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got)
+    assert np.mean([x["predicted"] == int(x["doc_id"] % 3 == 0) for x in held]) > 0.95
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(documents(spark), none).count() == 13
+
+
+def test_ann(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(900, 16))
+    x[100:300] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(None, [1.0] * 16), (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = total = 0
+    for q in range(0, 900, 50):
+        s = u @ u[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(900), -np.round(s, 12)))[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        hit += len(set(best) & set(mine.vec_id))
+        total += 5
+        assert mine.score.is_monotonic_decreasing
+    assert hit / total >= 0.9
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [100, 101, 102, 103, 104]
+
+
+def test_warc(spark):
+    big = "x<é>" * 30_000
+    rows = [(1, "http://a/ b", big), (2, "u", big), (3, None, None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (None, "u", big), (7, "u", "WARC/1.1\r\n\r\n" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
+    digest = hashlib.sha1(big.encode()).hexdigest()
+    assert got[2] == (len(big.encode()), digest, "response", None)
+    assert got[1] == got[None] == (len(big.encode()), digest, "revisit", 2)
+    assert got[3] == got[4] == (0, hashlib.sha1(b"").hexdigest(), "response", None)
+    assert got[5][2] == got[6][2] == "response" and got[7][0] == 2400
+    assert warc.unchunked(warc.chunked(b"q" * 10_000)) == b"q" * 10_000 and warc.unchunked(warc.chunked(b"")) == b""
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nabc")
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "The " + words(11, 90).replace(" ", " the ") + "."
+    rows = [(1, text + " a@b.cd", "en", "s", 1), (2, text + " a@b.cd", "en", "s", 1), (3, None, None, None, None), (4, "the " + words(12, 90).replace(" ", " of "), "en", "s", 1), (None, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {1, 4}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)

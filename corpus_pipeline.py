@@ -21,7 +21,10 @@ ORACLE_SQL = None  # SimHash, the field and the packing have no SQL form
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps; a null text has no words and goes."""
     passed = quality.score(docs, text_col="text", carry=COLUMNS)
-    return passed.filter("kept").select(*COLUMNS)
+    # Always true, but not known to be: else the optimizer moves the filter below the
+    # projections and evaluates the rules' array functions once for each place they are used.
+    once = F.rand(0) < 2
+    return passed.filter(F.when(once, F.col("kept"))).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,13 +247,6 @@ def oracle_sql() -> dict[str, str]:
         "fd8_flow_accum": _FD8,
         "edge_cells": f"{near} SELECT row, col, z FROM nb WHERE z IS NOT NULL AND ({' OR '.join(n + ' IS NULL' for n in names)})",
         "pit_cells": f"{near} SELECT row, col, z FROM nb WHERE {' AND '.join(n + ' >= z' for n in names)}",
-        "fill_depressions": f"""WITH RECURSIVE {_DEM}, {_NEAR},
-e AS (SELECT row * 64 + col AS c, z, {' IS NULL OR '.join(names)} IS NULL AS edge FROM nb),
-l AS (SELECT a.row * 64 + a.col AS c, b.row * 64 + b.col AS t, a.z FROM dem a JOIN e ON e.c = a.row * 64 + a.col
-  JOIN dem b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row = b.row AND a.col = b.col) = edge),
-x(k, c, f) AS (SELECT 0, c, CASE WHEN edge THEN z ELSE 1e18 END FROM e
-  UNION ALL SELECT x.k + 1, l.c, min(greatest(l.z, x.f)) FROM x JOIN l ON x.c = l.t WHERE x.k < 160 GROUP BY x.k + 1, l.c)
-SELECT c // 64 AS row, c % 64 AS col, f AS z FROM x WHERE k = 160""",
         "integral_image": f"WITH {_HOLES}, a AS (SELECT row, col, sum(coalesce(z, 0)) OVER (PARTITION BY row ORDER BY col) AS s FROM dem) SELECT row, col, sum(s) OVER (PARTITION BY col ORDER BY row) AS s FROM a",
         "las_bitfields": f"""WITH b AS (SELECT event_id, CAST(event_id % 256 AS INTEGER) AS b FROM events)
 SELECT event_id, b & 7 AS return_number, (b >> 3) & 7 AS number_of_returns, ((b >> 6) & 1) = 1 AS scan_direction, ((b >> 7) & 1) = 1 AS edge_of_flightline,

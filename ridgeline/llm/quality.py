@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+BREAKS = " \t\n\x0b\x0c\r"  # what parts words; the SQL twin has them as a class
 SYMBOLS = "#*$%&|<>"
 LONGEST_REPEAT_PERCENT = 50
 LEAST_WORDS = 50
@@ -36,7 +36,18 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+    """The words in order; breaks become plain spaces first, so that splitting needs no regular expression."""
+    for c in BREAKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(BREAKS[0]))
+    return F.array_remove(F.split(text, BREAKS[0]), "")
+
+
+def _symbols(text: Column) -> Column:
+    """How many of ``SYMBOLS``, which take one byte each, are in the text."""
+    rest = text
+    for c in SYMBOLS:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return F.octet_length(text) - F.octet_length(rest)
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -48,20 +59,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
     counted = w.select(
         "_id", *kept,
         F.size("_w").alias("n_words"),
-        F.length(F.regexp_replace("_t", WORD_BREAK, "")).alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
+        F.length(F.array_join("_w", "")).alias("word_chars"),
+        _symbols(F.col("_t")).alias("n_symbols"),
         # a line counts as repeated if it has a word and an equal line stands before it
-        F.filter("_l", lambda x: F.length(F.regexp_replace(x, WORD_BREAK, "")) > 0).alias("_l"),
+        F.filter("_l", lambda x: F.ltrim(x, F.lit(BREAKS)) != "").alias("_l"),
         # a window's hash over its three words in order; windows start at words 0 to n - 3
-        F.when(
-            F.size("_w") >= 3,
-            F.zip_with(
-                F.zip_with(F.slice("_w", 1, F.size("_w") - 2), F.slice("_w", 2, F.size("_w") - 2), lambda a, b: F.concat(a, F.lit(" "), b)),
-                F.slice("_w", 3, F.size("_w") - 2),
-                lambda ab, c: F.xxhash64(ab, c),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")).alias("_h"),
-        F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).alias("_stop"),
+        F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get("_w", i + 1), F.get("_w", i + 2))).alias("_h"),
+        # the length, which lower-casing to a stop word keeps, spares most words the rest
+        F.size(F.filter("_w", lambda x: (F.length(x) <= max(map(len, STOP_WORDS))) & F.lower(x).isin(STOP_WORDS))).alias("_stop"),
     )
     # windows in the order of (hash, place); texts without an equal pair, the usual case, skip the sort
     tagged = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -134,6 +139,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     )
 
 
+def passing(docs: DataFrame, columns: tuple[str, ...], text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+    """The rows that the table keeps, with ``columns``; no shuffle.  Null and empty texts go.
+
+    The row number in the projection is a barrier: a filter isn't moved below a
+    projection with an expression that isn't deterministic, so the measures stay
+    computed once instead of being copied into the filter wherever it uses them.
+    """
+    scored = score(docs, text_col, text_col, thresholds, carry=columns)
+    held = scored.withColumn("_barrier", F.monotonically_increasing_id())
+    return held.filter("kept AND _barrier >= 0").select(*columns)
+
+
 def oracle_sql(thresholds=THRESHOLDS) -> str:
     """The same rows in DuckDB's SQL, over ``documents``."""
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)

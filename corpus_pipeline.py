@@ -20,11 +20,7 @@ ORACLE_SQL = None  # SimHash, the field and the packing have no SQL form
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps; a null text has no words and goes."""
-    rows = keyed(docs, *COLUMNS)
-    # The scores are settled with all their columns before anything filters on them: a filter on the
-    # verdict makes the optimizer fold the projections and evaluate their array functions repeatedly.
-    scores = materialize(quality.score(rows.select("rk", "text"), id_col="rk"), "scores")
-    return rows.join(scores.filter("kept").select("rk"), "rk", "left_semi").select(*COLUMNS)
+    return quality.passing(docs, COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,18 @@ def test_quality(spark):
     assert [tuple(r[1:6]) for r in got] == [brute(t) for t in texts] and got[7]["base_failed"] and not got[0]["kept"]
 
 
+
+def test_quality_passing(spark):
+    """The kept rows whole, however often they are repeated, with the rules in the plan once."""
+    good = ". ".join(f"the word{i} of a{i} is in b{i}" for i in range(40))
+    rows = [(1, good, 7), (1, good, 7), (None, good, 8), (2, None, 9), (3, "", 9), (4, "a b c " * 60, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept long")
+    got = quality.passing(docs, ("doc_id", "text"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, good), (1, good), (None, good)], key=str)
+    assert got._jdf.queryExecution().executedPlan().toString().count("array_remove") == 1
+    assert quality.passing(docs.limit(0), ("doc_id", "text")).count() == 0
+
+
 def test_simhash(spark):
     assert simhash.fingerprint("") == 0 and simhash.fingerprint("One") == simhash.fingerprint(" one\n")
     r = np.random.default_rng(0)

@@ -1,6 +1,7 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-Every run of ``run`` consecutive sentences is hashed, case and spacing aside.
+Every run of ``run`` consecutive sentences, and of more where those hold too few
+words, is hashed, case and spacing aside.
 The hashes are counted over all documents at once with the first place of each
 (the least document key and sentence number), joined back, and the sentences
 covered by any repeated span that isn't the first one go.  A document's spans
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +23,8 @@ from .common import keyed, materialize
 RUN = 3
 LEAST_WORDS = 12
 LONG, LONG_CHARS = 12, 24
+# letters of scripts that put no blanks between words; two count as a word
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 CLAUSE = re.compile(r"[,;:|]\s+")
 # a sentence ends after its marks and the white space behind them, or at a line's end
 SENTENCE = re.compile(r"[^.!?…。\n]*(?:[.!?…。]+(?:[\"'”’)\]]*)(?:\s+|$|(?=\S))|\n\s*|$)")
@@ -46,21 +48,45 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def span_hashes(text: str, run: int, least_words: int) -> list[tuple[int, int]]:
-    """(first sentence, hash) of every run of sentences with enough words; sentences without a word don't count."""
-    said = []
-    for k, (a, z) in enumerate(sentences(text)):
+def said(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
+    """Places of the sentences that have words, their words joined, and how many those are."""
+    where, what, counts = [], [], []
+    plain = text.isascii()
+    for a, z in sentences(text):
         words = text[a:z].lower().split()
         if words:
-            said.append((k, len(words), " ".join(words)))
-    out = []
-    for j in range(len(said) - run + 1):
-        part = said[j : j + run]
-        if sum(p[1] for p in part) >= least_words:
-            out.append((j, xxhash.xxh64_intdigest("\n".join([p[2] for p in part])) - (1 << 63)))
+            where.append((a, z))
+            what.append(" ".join(words))
+            counts.append(len(words) if plain else len(words) + len(UNSPACED.findall(text, a, z)) // 2)
+    return where, what, counts
+
+
+def runs(counts: list[int], run: int, least_words: int) -> list[tuple[int, int]]:
+    """From each sentence the least run of ``run`` or more that hold ``least_words``; at last one up to the end of the text.
+
+    A text with fewer sentences or words in all has no run.
+    """
+    out, z, words = [], 0, 0
+    for a, count in enumerate(counts):
+        while z < len(counts) and (z - a < run or words < least_words):
+            words += counts[z]
+            z += 1
+        if z - a < run or words < least_words:
+            break
+        out.append((a, z))
+        words -= count
+    if out and out[-1][1] < len(counts):
+        out.append((out[-1][0], len(counts)))
     return out
 
 
+def span_hashes(text: str, run: int, least_words: int) -> list[tuple[int, int]]:
+    """(number of the run, its hash) of every run; sentences without a word don't count."""
+    _, what, counts = said(text)
+    digest = xxhash.xxh64_intdigest
+    return [(k, digest("\n".join(what[a:z])) - (1 << 63)) for k, (a, z) in enumerate(runs(counts, run, least_words))]
+
+
 def spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(rk, at, h)`` for every span of ``(rk, t)``."""
 
@@ -79,25 +105,29 @@ def spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> Da
     return docs.mapInArrow(go, "rk long, at int, h long")
 
 
-def _cut(run: int, carried: int):
+def _cut(run: int, least_words: int, carried: int):
     """Columns t, hits and the carried ones become kept, removed, n_sentences_removed and the carried ones."""
 
     def go(batches):
         for b in batches:
             kept, dropped, total = [], [], []
             for t, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                where = sentences(t) if hit else []
-                worded = np.array([k for k, (a, z) in enumerate(where) if t[a:z].strip()])
-                gone = {k for j in hit or () for k in worded[j : j + run].tolist()}
-                runs: list[list[int]] = []
-                for k in sorted(gone):
+                where, _, counts = said(t) if hit else ([], [], [])
+                every = runs(counts, run, least_words) if hit else []
+                gone = sorted({k for j in hit or () for k in range(*every[j])})
+                cuts: list[list[int]] = []
+                for k in gone:
                     a, z = where[k]
-                    if runs and runs[-1][1] == a:
-                        runs[-1][1] = z
+                    if cuts and cuts[-1][1] == a:
+                        cuts[-1][1] = z
                     else:
-                        runs.append([a, z])
-                kept.append("".join([t[a:z] for k, (a, z) in enumerate(where) if k not in gone]) if gone else t)
-                dropped.append([{"start": a, "end": z} for a, z in runs])
+                        cuts.append([a, z])
+                at, parts = 0, []
+                for a, z in cuts:
+                    parts.append(t[at:a])
+                    at = z
+                kept.append("".join([*parts, t[at:]]) if gone else t)
+                dropped.append([{"start": a, "end": z} for a, z in cuts])
                 total.append(len(gone))
             spans = pa.array(dropped, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
@@ -129,5 +159,5 @@ def remove_repeated_spans(
     hits = again.groupBy("rk").agg(F.collect_set("at").alias("hits"))  # as many as the document has sentences
     out = whole.join(hits, "rk", "left").select("t", "hits", *[f"_k{i}" for i in range(len(names))])
     spec = ", ".join(f"_k{i} {k}" for i, k in enumerate(kinds))
-    cut = out.mapInArrow(_cut(run, len(names)), f"kept string, removed array<struct<start:long,end:long>>, n_sentences_removed long, {spec}")
+    cut = out.mapInArrow(_cut(run, least_words, len(names)), f"kept string, removed array<struct<start:long,end:long>>, n_sentences_removed long, {spec}")
     return cut.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], "kept", "removed", "n_sentences_removed")

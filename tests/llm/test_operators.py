@@ -105,6 +105,19 @@ def test_sentences(spark):
         assert "".join(t[a:z] for a, z in sentence_dedup.sentences(t)) == t
 
 
+def test_sentences_of_few_words(spark):
+    few = [" ".join(f"{w}." for w in words(20, 60).split()) + "\n", " | ".join(words(21, 60).split()) + "\n"]
+    r = random.Random(22)
+    few.append("".join(chr(r.randint(0x4E00, 0x9000)) + "。" * (k % 5 == 4) for k in range(150)) + "\n")
+    rows = [(10 * k + j, words(23 + 2 * k + j, 30) + ".\n" + t + words(40 + 2 * k + j, 30) + ".") for k, t in enumerate(few) for j in (1, 2)]
+    got = {r["doc_id"]: r["kept"] for r in sentence_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(few):
+        assert got[10 * k + 1] == dict(rows)[10 * k + 1]
+        left = got[10 * k + 2].split("\n", 1)[1]
+        assert len(left) < 30 * 8 + len(t) // 4 and t[: len(t) // 2] not in left
+    assert [sentence_dedup.runs(c, 3, 12) for c in ([1] * 14, [12, 1, 1, 1], [5, 5], [1, 2, 3])] == [[(0, 12), (1, 13), (2, 14)], [(0, 3), (0, 4)], [], []]
+
+
 def test_quality(spark):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")

@@ -1,10 +1,14 @@
 """Removal of repeated passages by sliding spans of sentences.
 
 Every run of ``run`` consecutive sentences, and of more where those hold too few
-words, is hashed, case and spacing aside.
-The hashes are counted over all documents at once with the first place of each
-(the least document key and sentence number), joined back, and the sentences
-covered by any repeated span that isn't the first one go.  A document's spans
+words, is hashed, case and spacing aside.  Of any ``WINDOW`` words in a row
+within a sentence one ends a piece, chosen by the words alone, and such pieces
+stand for sentences.  Which of 51 shared words end a piece depends on the text
+around them only for the ``WINDOW - 1`` on either side, and between these
+three whole pieces always have room: wherever a passage starts, it holds a run.
+The hashes are counted over all documents at once; repeated ones are kept with
+their places and get the first of these (the least document key and run number),
+and the sentences covered by any repeated span that isn't the first one go.  A document's spans
 are rows, so a passage that a third of all documents share is a hash counted
 with partial aggregates and a join that splits its hot key.
 """
@@ -12,6 +16,7 @@ with partial aggregates and a join that splits its hot key.
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -22,42 +27,82 @@ from .common import keyed, materialize
 
 RUN = 3
 LEAST_WORDS = 12
-LONG, LONG_CHARS = 12, 24
+WINDOW = 8
 # letters of scripts that put no blanks between words; two count as a word
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-CLAUSE = re.compile(r"[,;:|]\s+")
+LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{LETTERS}]")
+WORD = re.compile(rf"[{LETTERS}][^\s{LETTERS}]*|[^\s{LETTERS}]+")
+CLAUSE_ENDS = ",;:|，、；："
 # a sentence ends after its marks and the white space behind them, or at a line's end
 SENTENCE = re.compile(r"[^.!?…。\n]*(?:[.!?…。]+(?:[\"'”’)\]]*)(?:\s+|$|(?=\S))|\n\s*|$)")
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Consecutive (start, end) that cover the text; a sentence of over ``LONG`` words is cut at its commas and bars."""
-    out = []
+class Ranks(dict):
+    """By which of the words in a window one is chosen to end a piece: the least; those with a clause's mark come first."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        rank = self[word] = -1 if word[-1] in CLAUSE_ENDS else zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return rank
+
+
+RANKS = Ranks()
+
+
+def chosen(ranks: list[int], window: int = WINDOW) -> list[int]:
+    """Places of the least rank (of equal ones the last) of every window."""
+    out, at, least = [], -1, 0
+    for a in range(len(ranks) - window + 1):
+        if at < a:
+            part = ranks[a : a + window]
+            least = min(part)
+            at = a + window - 1 - part[::-1].index(least)
+        elif ranks[a + window - 1] <= least:
+            at = a + window - 1
+            least = ranks[at]
+        else:
+            continue
+        out.append(at)
+    return out
+
+
+def pieces(text: str):
+    """(start, end, words) of consecutive pieces that cover the text: sentences, cut behind the chosen words."""
+    blank = text.isascii() or not UNSPACED.search(text)
     for m in SENTENCE.finditer(text):
         a, z = m.span()
         if a == z:
             continue
-        if z - a > LONG_CHARS and len(text[a:z].split()) > LONG:
-            at = a
-            for c in CLAUSE.finditer(text, a, z - 1):
-                out.append((at, c.end()))
-                at = c.end()
-            a = at
-        if a < z:
-            out.append((a, z))
-    return out
+        words = text[a:z].lower().split() if blank else [w.lower() for w in WORD.findall(text, a, z)]
+        if len(words) >= WINDOW:
+            ends = chosen([RANKS[w] for w in words])
+            if ends[-1] == len(words) - 1:
+                ends.pop()
+            if ends:
+                starts = [w.start() for w in WORD.finditer(text, a, z)]
+                at = 0
+                for k in ends:
+                    yield a, starts[k + 1], words[at : k + 1]
+                    a, at = starts[k + 1], k + 1
+                words = words[at:]
+        yield a, z, words
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Consecutive (start, end) that cover the text; a sentence of at least ``WINDOW`` words is cut into pieces."""
+    return [(a, z) for a, z, _ in pieces(text)]
 
 
 def said(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
     """Places of the sentences that have words, their words joined, and how many those are."""
     where, what, counts = [], [], []
     plain = text.isascii()
-    for a, z in sentences(text):
-        words = text[a:z].lower().split()
+    for a, z, words in pieces(text):
         if words:
             where.append((a, z))
             what.append(" ".join(words))
-            counts.append(len(words) if plain else len(words) + len(UNSPACED.findall(text, a, z)) // 2)
+            counts.append(len(words) if plain else len(words) - len(UNSPACED.findall(text, a, z)) // 2)
     return where, what, counts
 
 
@@ -154,8 +199,10 @@ def remove_repeated_spans(
     whole = keyed(docs, id_col, text_col, *carry)
     whole = whole.select("rk", F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])
     found = materialize(spans(whole.select("rk", "t").filter("t is not null"), run, least_words), "spans")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "at")).alias("first")).filter("n > 1")
-    again = found.join(often.select("h", "first"), "h").filter(F.struct("rk", "at") != F.col("first"))
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    found = materialize(found.join(often, "h", "left_semi"), "repeated")
+    first = found.groupBy("h").agg(F.min(F.struct("rk", "at")).alias("first"))
+    again = found.join(first, "h").filter(F.struct("rk", "at") != F.col("first"))
     hits = again.groupBy("rk").agg(F.collect_set("at").alias("hits"))  # as many as the document has sentences
     out = whole.join(hits, "rk", "left").select("t", "hits", *[f"_k{i}" for i in range(len(names))])
     spec = ", ".join(f"_k{i} {k}" for i, k in enumerate(kinds))

@@ -118,6 +118,23 @@ def test_sentences_of_few_words(spark):
     assert [sentence_dedup.runs(c, 3, 12) for c in ([1] * 14, [12, 1, 1, 1], [5, 5], [1, 2, 3])] == [[(0, 12), (1, 13), (2, 14)], [(0, 3), (0, 4)], [], []]
 
 
+def test_long_sentences_share_a_run():
+    r = random.Random(30)
+    for k in range(300):
+        shared = words(31 + k, 51).split()
+        for j in range(51):  # some clauses and ends of sentences
+            shared[j] += r.choice((",", ".", ";")) if r.random() < k % 5 / 20 else ""
+        a, b = (f"{words(1000 + 4 * k + j, r.randint(0, 40))} {' '.join(shared)} {words(1002 + 4 * k + j, r.randint(0, 40))}" for j in (0, 1))
+        if k == 0:
+            a, b = a.upper(), b.replace(" ", "  ")
+        assert {h for _, h in sentence_dedup.span_hashes(a, 3, 12)} & {h for _, h in sentence_dedup.span_hashes(b, 3, 12)}
+    for t in (words(32, 300), "吾輩は猫である名前はまだ無い" * 20 + "。 " + words(33, 20), "w " * 50, "İ x" * 40):
+        assert "".join(t[a:z] for a, z in sentence_dedup.sentences(t)) == t
+    for ranks in ([r.randint(0, 5) for _ in range(60)], [1] * 20, [1] * 7, []):
+        every = [max(range(k, k + 8), key=lambda j: (-ranks[j], j)) for k in range(len(ranks) - 7)]
+        assert sentence_dedup.chosen(ranks, 8) == sorted(set(every))
+
+
 def test_quality(spark):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")

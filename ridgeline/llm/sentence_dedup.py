@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize
+from .common import forget, keyed, materialize, new_path
 
 RUN = 3
 LEAST_WORDS = 12
@@ -198,9 +198,14 @@ def remove_repeated_spans(
     kinds = [docs.schema[c].dataType.simpleString() for c in names]
     whole = keyed(docs, id_col, text_col, *carry)
     whole = whole.select("rk", F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])
-    found = materialize(spans(whole.select("rk", "t").filter("t is not null"), run, least_words), "spans")
+    spark = docs.sparkSession
+    hashed = spans(whole.select("rk", "t").filter("t is not null"), run, least_words)
+    path = new_path(spark, "spans")
+    hashed.write.parquet(path)
+    found = spark.read.schema(hashed.schema).parquet(path)
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     found = materialize(found.join(often, "h", "left_semi"), "repeated")
+    forget(spark, path)  # nothing below reads it, and it is as large as half the texts
     first = found.groupBy("h").agg(F.min(F.struct("rk", "at")).alias("first"))
     again = found.join(first, "h").filter(F.struct("rk", "at") != F.col("first"))
     hits = again.groupBy("rk").agg(F.collect_set("at").alias("hits"))  # as many as the document has sentences

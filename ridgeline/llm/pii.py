@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 LONGEST = 10  # tokens of an entity
-SHORT_ZONE = 400  # tokens decoded at once
 
 LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -156,21 +155,22 @@ class SemiMarkovField:
     def __init__(self) -> None:
         self.w: dict[str, float] = defaultdict(float)
 
+    def starting(self, text: str, tokens: list[tuple[int, int]], i: int):
+        """The entities that can start at token i: (end, kind, features)."""
+        here = []
+        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            a, z = tokens[i][0], tokens[j - 1][1]
+            if z - a > 80:
+                break
+            if not any(c.isdigit() or c == "@" for c in text[a:z]) and " at " not in text[a:z].lower():
+                continue
+            f = features(text, tokens, i, j)
+            here += [(j, k, [f"{k}:{x}" for x in f]) for k in KINDS]
+        return here
+
     def segments(self, text: str, tokens: list[tuple[int, int]]):
-        """For each start the entities that can stand there: (end, kind, features)."""
-        out = []
-        for i in range(len(tokens)):
-            here = []
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                a, z = tokens[i][0], tokens[j - 1][1]
-                if z - a > 80:
-                    break
-                if not any(c.isdigit() or c == "@" for c in text[a:z]) and " at " not in text[a:z].lower():
-                    continue
-                f = features(text, tokens, i, j)
-                here += [(j, k, [f"{k}:{x}" for x in f]) for k in KINDS]
-            out.append(here)
-        return out
+        """For each start the entities that can stand there."""
+        return [self.starting(text, tokens, i) for i in range(len(tokens))]
 
     def scored(self, segs):
         w = self.w
@@ -181,8 +181,8 @@ class SemiMarkovField:
         """The best segmentation: every other token is a segment of its own and scores 0."""
         n = len(tokens)
         value, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
-        for i, here in enumerate(self.scored(self.segments(text, tokens))):
-            for j, k, s in [(i + 1, "", 0.0), *here]:
+        for i in range(n):  # a start's features go before the next one's come, so a long zone takes little memory
+            for j, k, s in [(i + 1, "", 0.0), *self.scored([self.starting(text, tokens, i)])[0]]:
                 if value[i] + s > value[j]:
                     value[j], back[j] = value[i] + s, (i, k)
         out, j = [], n
@@ -319,13 +319,12 @@ def added_spans(text: str, field: SemiMarkovField, base: list[tuple[int, int, st
     for a, z in zones(text):
         part = text[a:z]
         tokens = [m.span() for m in TOKEN.finditer(part)]
-        for at in range(0, len(tokens), SHORT_ZONE):
-            for x, y, kind in field.best(part, tokens[at : at + SHORT_ZONE]):
-                x, y = x + a, y + a
-                while k < len(base) and base[k][1] <= x:
-                    k += 1
-                if not any(b[0] < y and x < b[1] for b in base[max(0, k - 4) : k + 4]):
-                    out.append((x, y, kind))
+        for x, y, kind in field.best(part, tokens):
+            x, y = x + a, y + a
+            while k < len(base) and base[k][1] <= x:
+                k += 1
+            if not any(b[0] < y and x < b[1] for b in base[max(0, k - 4) : k + 4]):
+                out.append((x, y, kind))
     return out
 
 

@@ -213,6 +213,15 @@ def test_pii(spark):
     assert pii.base_spans("4" * 50_000 + "." * 50_000 + "a" * 50_000 + "@") == []
 
 
+def test_pii_in_a_long_zone():
+    field = pii.SemiMarkovField()
+    field.w = pii.trained()
+    phone = "tel (743) 555-3824 now"
+    for k in (10, *range(386, 402), 1000):
+        t = "5 " * k + phone
+        assert [(t[a:z], kind) for a, z, kind in pii.added_spans(t, field, [])] == [("(743) 555-3824", "phone")]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     docs = [(k, words(k, 40) + (" idiot moron " if k % 3 == 0 else " ") + words(-k, 20), "en") for k in range(600)]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 LONGEST = 10  # tokens of an entity
+LONGEST_CHARS = 80  # of an entity of several tokens
 
 LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -160,7 +161,7 @@ class SemiMarkovField:
         here = []
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
             a, z = tokens[i][0], tokens[j - 1][1]
-            if z - a > 80:
+            if z - a > LONGEST_CHARS and j > i + 1:  # a single token can be of any length
                 break
             if not any(c.isdigit() or c == "@" for c in text[a:z]) and " at " not in text[a:z].lower():
                 continue

@@ -222,6 +222,16 @@ def test_pii_in_a_long_zone():
         assert [(t[a:z], kind) for a, z, kind in pii.added_spans(t, field, [])] == [("(743) 555-3824", "phone")]
 
 
+def test_pii_finds_long_tokens():
+    field = pii.SemiMarkovField()
+    field.w = pii.trained()
+    r = random.Random(8)
+    for n in (64, 81, 128, 512):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(n))
+        for t in (f"the token = {key} here", f'a secret = "{key}" here'):
+            assert [(t[a:z], kind) for a, z, kind in pii.added_spans(t, field, [])] == [(key, "secret")]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     docs = [(k, words(k, 40) + (" idiot moron " if k % 3 == 0 else " ") + words(-k, 20), "en") for k in range(600)]

@@ -28,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PASSAGE_BYTES = 256  # nearly every 51 words of the table's languages are longer
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    """Beside the contract's columns: how many bytes another document has too, in strings of ``PASSAGE_BYTES`` or more."""
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, least=PASSAGE_BYTES)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    removed = total("spans")
     return got.select(
         "doc_id", (F.octet_length("kept").cast("long") + removed).alias("n_bytes"), removed.alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("shared").alias("n_shared"),
     )
 
 

@@ -1,25 +1,29 @@
 """Removal of long repeated byte strings, by suffix arrays built in shards.
 
-1. Anchors.  Every window of ``length`` bytes has one anchor: the gram of least
+1. Anchors.  Every window of ``least`` bytes has one anchor: the gram of least
    hash in it, the leftmost of equals.  Equal windows have equal grams at equal
    places, so windows can only be equal within one anchor hash.  Consecutive
-   windows with one anchor make a segment.  One scan emits a row for each
-   segment: anchor hash, digest of its bytes, where it is.
+   windows with one anchor make a segment; no two windows of a segment are
+   equal.  One scan emits a row for each segment: anchor hash, digest of its
+   bytes (they reach ``length`` bytes beyond its last window's start), where it is.
 2. Equal segments are counted before anything is compared (copies collapse in
-   the map-side aggregate); anchors that occur once drop out.
+   the map-side aggregate); anchors that occur once drop out, and an anchor whose
+   segments are all equal is settled by that count.
 3. The bytes of one representative of each remaining distinct segment are
    fetched, and segments are dealt by anchor hash to shards of bounded size.
 4. Each shard builds a suffix array by two-stage sorting: suffixes smaller than
    their successors are sorted directly, the others are induced by scanning the
    buckets from left to right.  Adjacent common prefixes of ``length`` bytes or
-   more mark the repeated windows.
+   more mark the repeated windows; runs of prefixes of ``least`` bytes or more
+   that come from several documents mark shared passages.
 5. Marked windows go back to every place of their segment, and each document
    drops the bytes they cover.
 
 Shards of one anchor hash grow with the number of *different* segments around
-that gram.  An anchor with more than ``hot_bytes`` of them is dealt anew, window
-by window, by the hash of the whole window: then equal strings still meet, and
-what differs goes elsewhere.
+that gram.  The segments of an anchor with more than ``HOT_BYTES`` are cut anew
+at anchors of a longer gram (``GRAMS``), which reaches beyond what they have in
+common, and go through steps 2 to 4 again; the last gram is a whole window, of
+which equal ones collapse, so that no anchor stays hot.
 """
 
 from __future__ import annotations
@@ -28,20 +32,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, materialize, partitions
 
 GRAM = 48
+GRAMS = (GRAM, 128, 208)  # of anchors that stay hot; a whole window follows
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE_BITS = 24  # chunks are at most 2**24 bytes
 CHUNK = 1 << 20
 SHARD_BYTES = 4 << 20
-HOT_BYTES = 16 << 20
+HOT_BYTES = 1 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 
-_TABLES = np.random.default_rng(20240501).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,21 +63,13 @@ def _powers(base: int, bits: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Rolling:
-    """Polynomial hashes, modulo 2**64, of any substring of a block of bytes."""
-
-    def __init__(self, data: np.ndarray, table: int = 0) -> None:
-        n = len(data)
-        bits = max(21, n.bit_length())
-        self.inverse = _powers(pow(int(BASE), -1, 1 << 64), bits)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[table][data] * _powers(int(BASE), bits)[:n], out=self.sums[1:])
-
-    def every(self, size: int) -> np.ndarray:
-        return _mix((self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A mixed polynomial hash, modulo 2**64, of every gram; only anchors rest on it, never equality."""
+    n = len(data)
+    bits = max(21, n.bit_length())
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _powers(int(BASE), bits)[:n], out=sums[1:])
+    return _mix((sums[size:] - sums[:-size]) * _powers(pow(int(BASE), -1, 1 << 64), bits)[: n + 1 - size])
 
 
 def sliding_minimum(x: np.ndarray, size: int) -> np.ndarray:
@@ -86,37 +84,36 @@ def sliding_minimum(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, length: int):
-    """Segments of texts that lie one after another in ``data``; text k is ``bounds[k]:bounds[k+1]``.
+def segments(data: np.ndarray, bounds: np.ndarray, least: int, reach: int, gram: int, ends: np.ndarray | None = None):
+    """Segments of texts that lie one after another in ``data``; windows start in ``bounds[k]:bounds[k+1]`` and stay in it.
 
-    Yields arrays ``(text, anchor, first, last, h, d1, d2)``: windows first..last
-    (places in ``data``) share the anchor; ``d1`` and ``d2`` digest the bytes that
-    these windows cover.
+    Yields arrays ``(text, first, n, size, h, d1, d2)``: windows first..first+n-1
+    (places in ``data``) of ``least`` bytes share the anchor hash ``h``.  ``size``
+    bytes from first, ``reach`` beyond the last window's start if the text (up to
+    ``ends[k]``) has them, have the 128-bit digest ``d1``, ``d2``.
     """
-    n = len(data)
-    at = 0
-    while at + length <= n:
-        stop = min(n, at + CHUNK + length - 1)
-        block = data[at:stop]
-        rolling = Rolling(block)
-        grams = rolling.every(GRAM)
+    n = int(bounds[-1])
+    ends = bounds[1:] if ends is None else ends
+    at, view, digest = 0, memoryview(data), xxhash.xxh3_128_digest
+    while at + least <= n:
+        block = data[at : min(n, at + CHUNK + least - 1)]
+        grams = gram_hashes(block, gram)
         # high bits of the hash, then the place: the least is the leftmost of the least
         tagged = grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_minimum(tagged, length - GRAM + 1)
-        anchor = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        best = sliding_minimum(tagged, least - gram + 1)
+        anchor = (best & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         start = np.arange(len(anchor), dtype=np.int64)
         text = np.searchsorted(bounds, start + at, side="right") - 1
-        valid = start + at + length <= bounds[text + 1]
+        valid = start + at + least <= bounds[text + 1]
         start, anchor, text = start[valid], anchor[valid], text[valid]
         if len(start):
             new = np.flatnonzero(np.diff(anchor) | (np.diff(start) != 1)) + 1
             a, b = np.concatenate([[0], new]), np.concatenate([new, [len(start)]]) - 1
-            first, last, place = start[a], start[b], anchor[a]
-            other = Rolling(block, 1)
-            yield (
-                text[a], place + at, first + at, last + at,
-                grams[place].view(np.int64), rolling.of(first, last + length).view(np.int64), other.of(first, last + length).view(np.int64),
-            )
+            first, count, text = start[a] + at, b - a + 1, text[a]
+            end = np.minimum(first + count - 1 + reach, ends[text])
+            raw = b"".join([digest(view[i:j], k) for i, j, k in zip(first.tolist(), end.tolist(), count.tolist(), strict=True)])
+            d = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            yield text, first, count, end - first, grams[anchor[a]].view(np.int64), d[:, 0], d[:, 1]
         at += CHUNK
 
 
@@ -243,8 +240,27 @@ def common_prefix_reaches(words: np.ndarray, order: np.ndarray, length: int) ->
     return out
 
 
-def repeated_windows(pieces: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
-    """For each piece the windows (by start, below ``windows[k]``) whose ``length`` bytes also start elsewhere in the pieces."""
+def _touching(same: np.ndarray) -> np.ndarray:
+    """Which entries of the suffix array have such a neighbour on either side."""
+    out = np.zeros(len(same) + 1, bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def _several(same: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which entries stand in a run of such neighbours with more than one document."""
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    several = np.minimum.reduceat(lo, start) != np.maximum.reduceat(hi, start)
+    return np.repeat(several, np.diff(np.concatenate([start, [len(lo)]])))
+
+
+def repeated_windows(
+    pieces: list[bytes], windows: list[int], length: int, least: int | None = None, lo: list[int] | None = None, hi: list[int] | None = None
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each piece the windows (by start, below ``windows[k]``) whose ``length`` bytes also start elsewhere in the
+    pieces, and those whose ``least`` bytes stand in several documents; ``lo`` and ``hi`` are a piece's first and last one."""
+    least = length if least is None else least
     sizes = np.array([len(p) + 1 for p in pieces], np.int64)
     data = np.frombuffer(bytes([SEPARATOR]).join(pieces) + bytes([SEPARATOR]), np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -253,12 +269,16 @@ def repeated_windows(pieces: list[bytes], windows: list[int], length: int) -> li
     np.add.at(delta, starts + np.array(windows), -1)
     wanted = np.cumsum(delta[:-1]) > 0
     order, words = suffix_array(data, wanted, length)
-    same = common_prefix_reaches(words, order, length)
-    marked = np.zeros(len(data), bool)
-    marked[order[1:][same]] = True
-    marked[order[:-1][same]] = True
-    marked &= wanted
-    return [np.flatnonzero(marked[s : s + w]) for s, w in zip(starts, windows, strict=True)]
+    order = order[wanted[order]]  # what induction passed through has served
+    repeated, shared = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    if len(order):
+        of = np.searchsorted(starts, order, side="right") - 1
+        whole = order + length <= starts[of] + sizes[of] - 1  # else a prefix of this length would cross a piece's end
+        repeated[order] = _touching(common_prefix_reaches(words, order, length)) & whole
+        if lo is not None:
+            shared[order] = _several(common_prefix_reaches(words, order, least), np.array(lo)[of], np.array(hi)[of])
+    cut = [(s, s + w) for s, w in zip(starts, windows, strict=True)]
+    return [np.flatnonzero(repeated[a:z]) for a, z in cut], [np.flatnonzero(shared[a:z]) for a, z in cut]
 
 
 def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
@@ -271,11 +291,13 @@ def _ranges(x: np.ndarray) -> list[tuple[int, int]]:
 
 # ---- the operator ----
 
-SEGMENT = "h long, d1 long, d2 long, lead int, n int"
-_KEY = ["h", "d1", "d2", "lead", "n"]
+_KEY = ["h", "d1", "d2"]
+_SPANS = "array<struct<a:int,z:int>>"
+_PIECE = "h long, d1 long, d2 long, n int, copies long, lo long, hi long, bytes binary"
+_LISTS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
 
-def _scan(length: int):
+def _scan(least: int, reach: int):
     def run(batches):
         for b in batches:
             texts = b.column(1)
@@ -287,57 +309,56 @@ def _scan(length: int):
             # texts of no bytes would confuse the search for a window's text
             full = np.flatnonzero(np.diff(bounds) > 0)
             edges = np.concatenate([bounds[full], bounds[-1:]])
-            for text, anchor, first, last, h, d1, d2 in segments(data, edges, length):
+            for text, first, n, size, h, d1, d2 in segments(data, edges, least, reach, GRAM):
                 row = full[text]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(row)), pa.array(first - bounds[row]), pa.array(h), pa.array(d1), pa.array(d2),
-                        pa.array((anchor - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
-                    ],
-                    ["rk", "first", *_KEY],
+                    [b.column(0).take(pa.array(row)), pa.array(first - bounds[row]), pa.array(h), pa.array(d1), pa.array(d2), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["rk", "first", *_KEY, "n", "size"],
                 )
 
     return run
 
 
-def _fetch(length: int):
-    """The bytes of each representative, from its document's text."""
-
-    def run(batches):
-        for b in batches:
-            texts, lists = b.column("b").to_pylist(), b.column("reps").to_pylist()
-            rows, size = [], 0
-            for t, reps in zip(texts, lists, strict=True):
-                for r in reps:
-                    rows.append((r["h"], r["d1"], r["d2"], r["lead"], r["n"], r["copies"], t[r["first"] : r["first"] + r["n"] - 1 + length]))
-                    size += len(rows[-1][-1])
-                    if size > 4_000_000:
-                        yield _segments_batch(rows)
-                        rows, size = [], 0
-            if rows:
-                yield _segments_batch(rows)
-
-    return run
+def _pieces_batch(rows):
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_KEY, "n", "copies", "lo", "hi", "bytes"]
+    )
 
 
-def _segments_batch(rows):
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_KEY, "copies", "bytes"])
+def _fetch(batches):
+    """The bytes of each representative, from its document's text."""
+    for b in batches:
+        texts, lists = b.column("b").to_pylist(), b.column("reps").to_pylist()
+        rows, size = [], 0
+        for t, reps in zip(texts, lists, strict=True):
+            for r in reps:
+                rows.append((r["h"], r["d1"], r["d2"], r["n"], r["copies"], r["lo"], r["hi"], t[r["first"] : r["first"] + r["size"]]))
+                size += r["size"]
+                if size > 4_000_000:
+                    yield _pieces_batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _pieces_batch(rows)
 
 
-def _sort_shards(length: int):
-    """Suffix-sort a shard's segments and give each its repeated windows; a task's segments come ordered by anchor hash."""
+def _sort_shards(length: int, least: int):
+    """Suffix-sort a shard's pieces and give each its marked windows; a task's pieces come ordered by anchor hash."""
 
     def done(rows):
-        marks = repeated_windows([r[6] for r in rows], [r[4] for r in rows], length)
+        bytes_, n, lo, hi = ([r[k] for r in rows] for k in (7, 3, 5, 6))
+        repeated, shared = repeated_windows(bytes_, n, length, least, lo, hi)
         out = []
-        for r, m in zip(rows, marks, strict=True):
-            found = [(0, r[4] - 1)] if r[5] > 1 else _ranges(m)
-            if found:
-                out.append((*r[:5], [{"a": x, "z": y} for x, y in found]))
+        for r, m, s in zip(rows, repeated, shared, strict=True):
+            last = min(r[3], len(r[7]) - length + 1) - 1
+            gone = ([(0, last)] if last >= 0 else []) if r[4] > 1 else _ranges(m)
+            seen = _ranges(s)
+            if gone or seen:
+                out.append((r[1], r[2], *[[{"a": x, "z": y} for x, y in part] for part in (gone, seen)]))
         if out:
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*_KEY, "marks"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), _LISTS, _LISTS], strict=True)], ["d1", "d2", "gone", "seen"]
+            )
 
     def run(batches):
         rows, size = [], 0
@@ -347,110 +368,144 @@ def _sort_shards(length: int):
                     yield from done(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[6])
+                size += len(r[7])
         if rows:
             yield from done(rows)
 
     return run
 
 
-def _split_hot(length: int):
-    """A hot anchor's segments window by window: the anchor hash becomes the hash of the window."""
+def _recut(length: int, least: int, gram: int):
+    """The pieces of hot anchors cut at anchors of a longer gram: (p1, p2) names the piece, ``at`` is the place in it."""
 
     def run(batches):
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                data = np.frombuffer(r[6], np.uint8)
-                at = np.arange(r[4])
-                one, two = (Rolling(data, k).of(at, at + length).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([v] * r[4], k) for v, k in zip(r[:6], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()], strict=True)], pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)],
-                    [*_KEY, "copies", "at", "w1", "w2"],
-                )
+            for _, d1, d2, n, copies, lo, hi, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                cuts = segments(data, np.array([0, n - 1 + least]), least, length, gram, np.array([len(data)]))
+                for _, first, count, size, h, e1, e2 in cuts:
+                    for at in range(0, len(first), 2048):
+                        own = slice(at, at + 2048)
+                        m = len(first[own])
+                        parts = [raw[a : a + z] for a, z in zip(first[own].tolist(), size[own].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[pa.array([v] * m, pa.int64()) for v in (d1, d2)], pa.array(first[own].astype(np.int32)), *[pa.array(x[own]) for x in (h, e1, e2)],
+                                pa.array(count[own].astype(np.int32)), *[pa.array([v] * m, pa.int64()) for v in (copies, lo, hi)], pa.array(parts, pa.binary()),
+                            ],
+                            ["p1", "p2", "at", *_KEY, "n", "copies", "lo", "hi", "bytes"],
+                        )
 
     return run
 
 
-def _drop(id_kind: str):
-    def run(batches):
-        for b in batches:
-            texts, lists = b.column("b").to_pylist(), b.column("spans").to_pylist()
-            kept, spans = [], []
-            for t, s in zip(texts, lists, strict=True):
-                runs: list[list[int]] = []
-                for x in sorted((y["a"], y["z"]) for y in s or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append(list(x))
-                at, parts = 0, []
-                for a, z in runs:
-                    parts.append(t[at:a])
-                    at = z
-                kept.append(b"".join([*parts, t[at:]]))
-                spans.append([{"start": a, "end": z} for a, z in runs])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["_id", "kept", "spans"],
-            )
+def _hits(pieces: DataFrame, length: int, least: int, level: int = 0) -> DataFrame:
+    """``(d1, d2, gone, seen)``: the windows of distinct pieces that are repeated, and that several documents share.
+
+    ``pieces`` is a settled table.  Hot anchors are cut anew at the next gram.
+    """
+    spark = pieces.sparkSession
+    width = F.octet_length("bytes").cast("long")
+    gram = (*[g for g in GRAMS if g < least], least)
+    hot = None
+    if level + 1 < len(gram):
+        hot = pieces.groupBy("h").agg(F.sum(width).alias("w")).filter(F.col("w") > HOT_BYTES).select("h")
+        hot = materialize(hot, "hot")
+        hot = hot if hot.limit(1).count() else None
+    total = pieces.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    shards = max(partitions(spark), -(-total // SHARD_BYTES))
+    cool = pieces if hot is None else pieces.join(hot, "h", "left_anti")
+    shard = cool.select(*_KEY, "n", "copies", "lo", "hi", "bytes").repartition(shards, "h").sortWithinPartitions("h")
+    hits = shard.mapInArrow(_sort_shards(length, least), f"d1 long, d2 long, gone {_SPANS}, seen {_SPANS}")
+    if hot is None:
+        return hits
+    parts = pieces.join(hot, "h", "left_semi").select(*_KEY, "n", "copies", "lo", "hi", "bytes")
+    parts = materialize(parts.mapInArrow(_recut(length, least, gram[level + 1]), f"p1 long, p2 long, at int, {_PIECE}"), "recut")
+    distinct = parts.groupBy(*_KEY).agg(
+        F.min("n").alias("n"), F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("bytes").alias("bytes")
+    )
+    often = distinct.groupBy("h").agg(F.sum("copies").alias("all")).filter("all > 1").select("h")
+    found = _hits(materialize(distinct.join(often, "h", "left_semi"), "pieces"), length, least, level + 1)
+    move = lambda c: F.transform(c, lambda m: F.struct((m["a"] + F.col("at")).alias("a"), (m["z"] + F.col("at")).alias("z")))
+    back = parts.select("p1", "p2", "at", "d1", "d2").join(found, ["d1", "d2"]).select("p1", "p2", move("gone").alias("gone"), move("seen").alias("seen"))
+    back = back.groupBy(F.col("p1").alias("d1"), F.col("p2").alias("d2")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("gone", "seen")])  # one piece's
+    return hits.unionByName(back)
+
+
+def _union(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, z in sorted((y["a"], y["z"]) for y in spans or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
 
-    return run
 
+def _drop(batches):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        kept, spans, seen = [], [], []
+        for t, g, s in zip(b.column("b").to_pylist(), b.column("gone").to_pylist(), b.column("seen").to_pylist(), strict=True):
+            at, parts, runs = 0, [], _union(g)
+            for a, z in runs:
+                parts.append(t[at:a])
+                at = z
+            kept.append(b"".join([*parts, t[at:]]))
+            spans.append([{"start": a, "end": z} for a, z in runs])
+            seen.append([{"start": a, "end": z} for a, z in _union(s)])
+        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(seen, kind)], ["_id", "kept", "spans", "shared"])
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, least: int | None = None) -> DataFrame:
     """Drop every byte covered by a ``length``-byte string that also starts anywhere else.
 
-    Returns ``(<id_col>, kept binary, spans array<struct<start,end>>)``, a row for
-    a row: the remaining UTF-8 bytes and the maximal removed runs.  All copies of
-    a string are dropped, the first as well; strings are judged on the input;
-    matches don't cross documents.  A null text is empty; texts under ``length``
+    Returns ``(<id_col>, kept binary, spans, shared)``, a row for a row: the
+    remaining UTF-8 bytes, the maximal removed runs, and the maximal runs of the
+    input covered by ``least``-byte strings (default: ``length``) that another
+    document has too; spans are ``array<struct<start,end>>``.  All copies of a
+    string are dropped, the first as well; strings are judged on the input;
+    matches don't cross documents.  A null text is empty; texts under ``least``
     bytes come back whole; rows with equal or null ids are different documents;
     an empty table gives an empty result; other columns are ignored.
     """
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    least = length if least is None else least
+    if not GRAM + 8 <= least <= length:
+        raise ValueError(f"least must be at least {GRAM + 8} and at most length")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     whole = keyed(docs, id_col, text_col)
     whole = whole.select("rk", F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("b"))
-    long_enough = whole.select("rk", "b").filter(F.octet_length("b") >= length)
-    found = long_enough.mapInArrow(_scan(length), f"rk long, first long, {SEGMENT}")
+    long_enough = whole.select("rk", "b").filter(F.octet_length("b") >= least)
+    found = long_enough.mapInArrow(_scan(least, length), "rk long, first long, h long, d1 long, d2 long, n int, size int")
 
-    # equal segments collapse; anchors that occur once can't repeat
-    distinct = found.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk", "first")).alias("rep"))
+    # equal segments collapse; anchors that occur once can't repeat, those with one distinct segment need no sorting
+    distinct = found.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk", "first", "n", "size")).alias("rep"), F.max("rk").alias("hi"))
     distinct = materialize(distinct, "segments")
-    width = F.col("n") + F.lit(length - 1)
-    anchors = distinct.groupBy("h").agg(F.sum("copies").alias("all"), F.sum(width.cast("long")).alias("bytes")).filter("all > 1")
-    anchors = materialize(anchors, "anchors")
-    total = anchors.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    shards = max(partitions(spark), -(-total // SHARD_BYTES))
-
-    reps = distinct.join(anchors.select("h"), "h").select(
-        F.col("rep.rk").alias("rk"), F.struct(*_KEY, "copies", F.col("rep.first").alias("first")).alias("r")
+    anchors = materialize(distinct.groupBy("h").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"), "anchors")
+    several = distinct.join(anchors.filter("kinds > 1").select("h"), "h", "left_semi")
+    reps = several.select(
+        F.col("rep.rk").alias("rk"),
+        F.struct(*_KEY, "rep.n", "copies", F.col("rep.rk").alias("lo"), "hi", "rep.first", "rep.size").alias("r"),
     )
     reps = reps.groupBy("rk").agg(F.collect_list("r").alias("reps"))  # as many as the document's length allows
     dealt = whole.repartition(partitions(spark), "rk")
-    fetched = dealt.select("rk", "b").join(reps, "rk").select("b", "reps").mapInArrow(_fetch(length), f"{SEGMENT}, copies long, bytes binary")
-    hot = anchors.filter(F.col("bytes") > HOT_BYTES).select("h")
-    marks = "marks array<struct<a:int,z:int>>"
-    if hot.limit(1).count():
-        fetched = materialize(fetched, "fetched")
-        cool = fetched.join(hot, "h", "left_anti")
-        windows = fetched.join(hot, "h").select(*_KEY, "copies", "bytes").mapInArrow(_split_hot(length), f"{SEGMENT}, copies long, at int, w1 long, w2 long")
-        often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).filter("times > 1")
-        split = windows.join(often, ["w1", "w2"]).groupBy(*_KEY).agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("z"))).alias("marks"))
-        fetched = cool
-    else:
-        split = None
-    shard = fetched.select(*_KEY, "copies", "bytes").repartition(shards, "h").sortWithinPartitions("h")
-    hits = shard.mapInArrow(_sort_shards(length), f"{SEGMENT}, {marks}")
-    hits = materialize(hits if split is None else hits.unionByName(split), "hits")
-
-    spans = found.join(hits, _KEY).select(
-        "rk", F.explode(F.transform("marks", lambda m: F.struct((F.col("first") + m["a"]).alias("a"), (F.col("first") + m["z"] + length).alias("z")))).alias("s")
-    )
-    spans = spans.groupBy("rk").agg(F.collect_list("s").alias("spans"))
-    out = dealt.join(spans, "rk", "left").select("_id", "b", "spans").mapInArrow(
-        _drop(kind), f"_id {kind}, kept binary, spans array<struct<start:long,end:long>>"
-    )
-    return out.withColumnRenamed("_id", id_col)
+    pieces = materialize(dealt.select("rk", "b").join(reps, "rk").select("b", "reps").mapInArrow(_fetch, _PIECE), "pieces")
+    hits = _hits(pieces, length, least)
+
+    copies = distinct.filter("copies > 1").join(anchors.filter("kinds = 1").select("h"), "h", "left_semi")
+    run = lambda last: F.array(F.struct(F.lit(0).alias("a"), last.cast("int").alias("z")))
+    none = F.array().cast(_SPANS)
+    last = F.least(F.col("rep.n"), F.col("rep.size") - length + 1) - 1
+    copies = copies.select(
+        "d1", "d2", F.when(last >= 0, run(last)).otherwise(none).alias("gone"),
+        F.when(F.col("rep.rk") != F.col("hi"), run(F.col("rep.n") - 1)).otherwise(none).alias("seen"),
+    ).filter("size(gone) + size(seen) > 0")
+    hits = materialize(hits.unionByName(copies), "hits")
+
+    place = lambda c, wide: F.transform(c, lambda m: F.struct((F.col("first") + m["a"]).alias("a"), (F.col("first") + m["z"] + wide).alias("z")))
+    spans = found.select("rk", "first", "d1", "d2").join(hits, ["d1", "d2"]).select("rk", place("gone", length).alias("gone"), place("seen", least).alias("seen"))
+    spans = spans.groupBy("rk").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("gone", "seen")])  # one document's
+    out = dealt.join(spans, "rk", "left").select("_id", "b", "gone", "seen")
+    places = "array<struct<start:long,end:long>>"
+    return out.mapInArrow(_drop, f"_id {kind}, kept binary, spans {places}, shared {places}").withColumnRenamed("_id", id_col)

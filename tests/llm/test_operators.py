@@ -45,8 +45,41 @@ def test_suffix_array_against_brute_force():
                 p = p[:20] + q[at : at + 50] + p[20:]
             pieces.append(p)
         seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
-        got = suffix_dedup.repeated_windows(pieces, [len(p) - length + 1 for p in pieces], length)
+        least = r.choice([length, max(8, length // 2)])
+        doc = [r.randint(0, 2) for _ in pieces]
+        windows = [len(p) - least + 1 for p in pieces]
+        got, shared = suffix_dedup.repeated_windows(pieces, windows, length, least, doc, doc)
         assert [g.tolist() for g in got] == [[i for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1] for p in pieces]
+        of: dict[bytes, set[int]] = {}
+        for p, d, w in zip(pieces, doc, windows, strict=True):
+            for i in range(w):
+                of.setdefault(p[i : i + least], set()).add(d)
+        assert [g.tolist() for g in shared] == [[i for i in range(w) if len(of[p[i : i + least]]) > 1] for p, w in zip(pieces, windows, strict=True)]
+
+
+def repeats(texts, length, least):
+    """Brute force: kept bytes, and the shared runs, of each text."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    of: dict[bytes, set[int]] = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - least + 1):
+            of.setdefault(t[i : i + least], set()).add(k)
+    out = []
+    for t in texts:
+        gone, shared = np.zeros(len(t), bool), np.zeros(len(t) + 2, np.int8)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        for i in range(len(t) - least + 1):
+            if len(of[t[i : i + least]]) > 1:
+                shared[i + 1 : i + 1 + least] = 1
+        edges = np.flatnonzero(np.diff(shared)).tolist()
+        out.append((bytes(np.frombuffer(t, np.uint8)[~gone]), list(zip(edges[::2], edges[1::2], strict=True))))
+    return out
+
+
+def removed(df, **how):
+    return [(bytes(r["kept"]), [tuple(s) for s in r["shared"]]) for r in suffix_dedup.remove_repeats(df, **how).collect()]
 
 
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 100])
@@ -54,19 +87,26 @@ def test_remove_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     docs = documents(spark)
     texts = [(r["text"] or "").encode() for r in docs.collect()]
-    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
-    want = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        want.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
-    got = [bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want) and len(want[0]) < len(texts[0])
+    for least in (None, 256):
+        want = repeats(texts, 400, least or 400)
+        assert sorted(removed(docs, least=least)) == sorted(want) and len(want[0][0]) < len(texts[0])
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 2000])
+def test_hot_anchor(spark, monkeypatch, hot):
+    """One line in most documents, between different and between equal neighbours; copies; a run of one byte over chunks."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    r = random.Random(5)
+    line, turns = " the line that stands in a great many of the documents of this table. ", [words(50 + k, 60) for k in range(4)]
+    texts = [words(100 + k, 40) + line + words(300 + k, 40) for k in range(40)]
+    texts += [r.choice(turns)[r.randint(0, 200) :] + line + r.choice(turns) for _ in range(40)]
+    texts += [texts[0]] * 5 + ["a" * 3000, "ab" * 900, texts[41] + " " + texts[42] + texts[41], "", words(9, 45)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(removed(df, least=256)) == sorted(repeats([t.encode() for t in texts], 400, 256))
+
+
 def test_bpe_is_the_librarys(spark):
     from tokenizers import Tokenizer
 

@@ -76,7 +76,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spell = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     of = lambda kind: lambda x: x["kind"] == kind
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return got.select("doc_id", *counts, F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), spell(F.col("spans")).alias("spans"))
+    return got.select(
+        "doc_id", *counts, F.sha2(spell(F.col("base")).cast("binary"), 256).alias("base_sha256"), spell(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

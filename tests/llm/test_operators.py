@@ -343,25 +343,56 @@ def test_toxicity(spark):
     assert toxicity.score(documents(spark), none).count() == 13
 
 
-def test_ann(spark):
+def nearest_by_force(rows, queries, k):
+    """(query_id, rank, vec_id, score) over (id, vector) rows; of each query's own rows one is left out."""
+    out = []
+    for me, q in queries:
+        left, found = True, []
+        for c, v in rows:
+            if left and c == me and v == q:
+                left = False
+                continue
+            if len(v) == len(q):
+                found.append((-float(ann.exact(np.array(q), np.array([v]))[0]), c))
+        out += [(me, k + 1, c, -s) for k, (s, c) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def recall(got, want):
+    a, b = Counter((q, round(s, 12)) for q, _, _, s in got), Counter((q, round(s, 12)) for q, _, _, s in want)
+    return sum((a & b).values()) / sum(b.values())
+
+
+@pytest.mark.parametrize("shard_rows", [None, 64])
+def test_ann(spark, shard_rows):
+    """One shard and many: nulls, zeros, a vector of many rows, repeated ids, another length, columns with our names."""
     r = np.random.default_rng(0)
-    x = r.normal(size=(900, 16))
-    x[100:300] = x[0]
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(None, [1.0] * 16), (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0] * 3)]
+    centres = r.normal(size=(12, 16)) * 4
+    x = [(centres[k % 12] + r.normal(size=16)).tolist() for k in range(900)]
+    for k in range(100, 300):
+        x[k] = x[0]
+    good = list(enumerate(x)) + [(50, x[7]), (50, x[50]), (400, x[400]), (3000, [1.0, 2.0, 3.0]), (3050, [2.0, 1.0, 3.0])]
+    bad = [(None, [1.0] * 16), (2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2004, [1.0, None] * 8), (2006, [float("inf")] * 16)]
+    df = spark.createDataFrame([(*row, 1, "c") for row in good + bad], "vec_id long, embedding array<double>, cell int, h1 string")
+    got = [tuple(r) for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), 5, shard_rows=shard_rows).collect()]
+    queries = [row for row in good if row[0] % 50 == 0]
+    want = nearest_by_force(good, queries, 5)
+    assert len(got) == len(want) and recall(got, want) >= 0.9
+    assert [g[2] for g in sorted(g for g in got if g[0] == 0)] == [100, 101, 102, 103, 104]
+    assert [g[2] for g in sorted(g for g in got if g[0] == 250)] == [0, 100, 101, 102, 103]
+    assert sorted(g for g in got if g[0] == 400)[0][2:] == (400, pytest.approx(1))
+    assert [g[:3] for g in got if g[0] == 3050] == [(3050, 1, 3000)]
+    assert ann.nearest(df.limit(0), df, 5).count() == 0
+
+
+def test_ann_ties_between_shards(spark):
+    """Equal scores from different shards: the smaller id wins; fewer candidates than asked for are all returned."""
+    rows = [(k, [1.0, float(k % 2), 0.0] if k % 3 else [-1.0, 0.0, float(1 + k)]) for k in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).toPandas()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hit = total = 0
-    for q in range(0, 900, 50):
-        s = u @ u[q]
-        s[q] = -9
-        best = np.lexsort((np.arange(900), -np.round(s, 12)))[:5]
-        mine = got[got.query_id == q].sort_values("rank")
-        hit += len(set(best) & set(mine.vec_id))
-        total += 5
-        assert mine.score.is_monotonic_decreasing
-    assert hit / total >= 0.9
-    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [100, 101, 102, 103, 104]
+    for how in ({"shard_rows": 4, "probe_all": True}, {}):
+        got = sorted(map(tuple, ann.nearest(df, df.filter("vec_id % 10 = 0"), 5, **how).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(nearest_by_force(rows, [x for x in rows if x[0] % 10 == 0], 5))]
+    assert ann.nearest(df.limit(3), df.limit(3), 5).count() == 6
 
 
 def test_warc(spark):

@@ -27,8 +27,8 @@ from .common import materialize, partitions
 SHARD_ROWS = 65_536  # most vectors of a shard: some 60 MB
 LEAST_SHARD_ROWS = 4_096  # smaller shards only cost searches
 QUERY_BLOCK = 65_536
-CELLS = 4_096  # most centres
-SAMPLE = 65_536  # vectors, about, that centres and probes are fitted on
+CELLS = 1_024  # most centres
+SAMPLE = 16_384  # vectors, about, that centres and probes are fitted on
 PROBED = 0.99  # share of the sample's neighbours that the probed cells hold
 DEGREE = 28
 BUILD_BEAM = 48
@@ -186,11 +186,15 @@ class Cells:
             centres = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), centres).astype(np.float32)
         own = self._nearest(u, centres, 1)[:, 0]
         asked = r.choice(len(u), min(len(u), 500), replace=False)
-        s = u[asked] @ u.T
-        s[np.arange(len(asked)), asked] = -2
-        near = np.argpartition(-s, min(k, len(u) - 1) - 1, axis=1)[:, :k]
-        rank = np.argsort(np.argsort(-(u[asked] @ centres.T), 1, kind="stable"), 1)
-        probes = int(np.quantile(np.take_along_axis(rank, own[near], 1), PROBED, method="higher")) + 1
+        ranks = []
+        for at in range(0, len(asked), 64):
+            some = asked[at : at + 64]
+            s = u[some] @ u.T
+            s[np.arange(len(some)), some] = -2
+            near = np.argpartition(-s, min(k, len(u) - 1) - 1, axis=1)[:, :k]
+            rank = np.argsort(np.argsort(-(u[some] @ centres.T), 1, kind="stable"), 1)
+            ranks.append(np.take_along_axis(rank, own[near], 1).ravel())
+        probes = int(np.quantile(np.concatenate(ranks), PROBED, method="higher")) + 1
         self.of[x.shape[1]] = centres, cells if cells <= 4 else probes
 
     @staticmethod

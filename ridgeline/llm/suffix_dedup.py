@@ -21,9 +21,9 @@
 
 Shards of one anchor hash grow with the number of *different* segments around
 that gram.  The segments of an anchor with more than ``HOT_BYTES`` are cut anew
-at anchors of a longer gram (``GRAMS``), which reaches beyond what they have in
-common, and go through steps 2 to 4 again; the last gram is a whole window, of
-which equal ones collapse, so that no anchor stays hot.
+at anchors of a longer gram (``GRAMS``), which reaches beyond a common line, and
+go through steps 2 to 4 again; the last gram is a whole window, of which equal
+ones collapse, so that no anchor stays hot.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE_BITS = 24  # chunks are at most 2**24 bytes
 CHUNK = 1 << 20
 SHARD_BYTES = 4 << 20
-HOT_BYTES = 1 << 20
+HOT_BYTES = (2 << 20, 16 << 20)  # of an anchor that is cut anew, and of one that stays so although it was; that much is sorted at once
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -402,14 +403,14 @@ def _recut(length: int, least: int, gram: int):
 def _hits(pieces: DataFrame, length: int, least: int, level: int = 0) -> DataFrame:
     """``(d1, d2, gone, seen)``: the windows of distinct pieces that are repeated, and that several documents share.
 
-    ``pieces`` is a settled table.  Hot anchors are cut anew at the next gram.
+    ``pieces`` comes from settled tables.  Hot anchors are cut anew at the next gram.
     """
     spark = pieces.sparkSession
     width = F.octet_length("bytes").cast("long")
     gram = (*[g for g in GRAMS if g < least], least)
     hot = None
     if level + 1 < len(gram):
-        hot = pieces.groupBy("h").agg(F.sum(width).alias("w")).filter(F.col("w") > HOT_BYTES).select("h")
+        hot = pieces.groupBy("h").agg(F.sum(width).alias("w")).filter(F.col("w") > HOT_BYTES[min(level, 1)]).select("h")
         hot = materialize(hot, "hot")
         hot = hot if hot.limit(1).count() else None
     total = pieces.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
@@ -424,8 +425,9 @@ def _hits(pieces: DataFrame, length: int, least: int, level: int = 0) -> DataFra
     distinct = parts.groupBy(*_KEY).agg(
         F.min("n").alias("n"), F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("bytes").alias("bytes")
     )
-    often = distinct.groupBy("h").agg(F.sum("copies").alias("all")).filter("all > 1").select("h")
-    found = _hits(materialize(distinct.join(often, "h", "left_semi"), "pieces"), length, least, level + 1)
+    distinct = materialize(distinct, "pieces")
+    often = materialize(distinct.groupBy("h").agg(F.sum("copies").alias("all")).filter("all > 1").select("h"), "anchors")
+    found = _hits(distinct.join(often, "h", "left_semi"), length, least, level + 1)
     move = lambda c: F.transform(c, lambda m: F.struct((m["a"] + F.col("at")).alias("a"), (m["z"] + F.col("at")).alias("z")))
     back = parts.select("p1", "p2", "at", "d1", "d2").join(found, ["d1", "d2"]).select("p1", "p2", move("gone").alias("gone"), move("seen").alias("seen"))
     back = back.groupBy(F.col("p1").alias("d1"), F.col("p2").alias("d2")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("gone", "seen")])  # one piece's
@@ -443,18 +445,23 @@ def _union(spans) -> list[list[int]]:
 
 
 def _drop(batches):
+    """Only texts with marks are taken apart; the others' bytes stay where they are."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
-        kept, spans, seen = [], [], []
-        for t, g, s in zip(b.column("b").to_pylist(), b.column("gone").to_pylist(), b.column("seen").to_pylist(), strict=True):
+        marked = b.column("gone").is_valid()
+        part = b.filter(marked)
+        kept, spans, seen = [], [[]] * b.num_rows, [[]] * b.num_rows
+        rows = np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+        for k, t, g, s in zip(rows, *[part.column(c).to_pylist() for c in ("b", "gone", "seen")], strict=True):
             at, parts, runs = 0, [], _union(g)
             for a, z in runs:
                 parts.append(t[at:a])
                 at = z
             kept.append(b"".join([*parts, t[at:]]))
-            spans.append([{"start": a, "end": z} for a, z in runs])
-            seen.append([{"start": a, "end": z} for a, z in _union(s)])
-        yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(seen, kind)], ["_id", "kept", "spans", "shared"])
+            spans[k] = [{"start": a, "end": z} for a, z in runs]
+            seen[k] = [{"start": a, "end": z} for a, z in _union(s)]
+        left = pc.replace_with_mask(b.column("b"), marked, pa.array(kept, b.column("b").type))
+        yield pa.RecordBatch.from_arrays([b.column("_id"), left, pa.array(spans, kind), pa.array(seen, kind)], ["_id", "kept", "spans", "shared"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, least: int | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ identifier and their number, the last one the total length.  The reader groups
 continuation records by origin identifier, orders them by number, verifies the
 total length, and undoes the chunked framing.
 
-Records are written by Spark's text writer with the record separator of the
-format between rows, so the archives are committed like any other output and any
-file system Spark knows will do.
+Records are compressed one by one, as members of a gzip file, and written by
+Spark's text writer, whose line separator is an empty member; so the archives are
+committed like any other output and any file system Spark knows will do.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, new_path
+from .common import keyed, materialize, new_path
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
@@ -31,6 +31,8 @@ SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 4_096
 FILE_RECORDS = 2_000
 LEAST_REVISIT_BYTES = 1_000
+STEP = 1 << 14  # bytes of a compressed file fed at once
+LEVEL = 4  # of compression
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2024-01-01T00:00:00Z"
 
@@ -63,31 +65,75 @@ def unchunked(body: bytes) -> bytes:
 
 
 def record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
-    """A record without the two line ends that follow it."""
     lines = [VERSION, *[k + b": " + v for k, v in headers], b"Content-Length: %d" % len(block)]
-    return CRLF.join(lines) + CRLF * 2 + block
+    return CRLF.join(lines) + CRLF * 2 + block + CRLF * 2
 
 
-def records(data: bytes):
-    """(headers with lower-case names, block) of every record; Content-Length alone says where a block ends."""
-    at = 0
+def member(data: bytes) -> bytes:
+    """A gzip member of its own."""
+    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return c.compress(data) + c.flush()
+
+
+def inflated(data: bytes):
+    """The bytes of all members of a gzip file, in pieces; other data as it is.
+
+    The file is fed in small steps, as what follows a member's end is copied.
+    """
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    view, at = memoryview(data), 0
     while at < len(data):
-        if data.startswith(CRLF, at):
-            at += 2
+        if not any(view[at : at + 2]) and not any(view[at:]):
+            return  # padding
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("a member ends early")
+            part = view[at : at + STEP]
+            yield d.decompress(part)
+            at += len(part) - len(d.unused_data)
+
+
+def records(pieces):
+    """(headers with lower-case names, block) of every record in consecutive pieces of bytes; Content-Length alone
+    says where a block ends.  What is held is one record and one piece."""
+    held, pieces, open_ = bytearray(), iter(pieces), True
+
+    def fill() -> bool:
+        nonlocal open_
+        piece = next(pieces, None)
+        open_ = piece is not None
+        held.extend(piece or b"")
+        return open_
+
+    while True:
+        while len(held) < 5 and open_ and fill():
+            pass
+        if held.startswith(CRLF):
+            del held[:2]
             continue
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(CRLF * 2, at)
+        if not held:
+            return
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin: {bytes(held[:20])!r}")
+        seen = 0
+        while (end := held.find(CRLF * 2, seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not fill():
+                raise ValueError("a record's head ends early")
         head = {}
-        for line in data[at:end].split(CRLF)[1:]:
+        for line in bytes(held[:end]).split(CRLF)[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode()] = v.strip().decode()
-        size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
-            raise ValueError("a record ends early")
+        size, at = int(head["content-length"]), end + 4
+        while len(held) < at + size:
+            if not fill():
+                raise ValueError("a record ends early")
+        block = bytes(memoryview(held)[at : at + size])
+        del held[: at + size]
         yield head, block
-        at = end + 4 + size
 
 
 def page_records(name: str, page_id, uri: str, payload: bytes, refers: str | None, segment_bytes: int) -> list[bytes]:
@@ -121,7 +167,7 @@ def page_records(name: str, page_id, uri: str, payload: bytes, refers: str | Non
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = LEAST_REVISIT_BYTES, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write ``pages`` to gzipped archives under ``path``.
+    """Write ``pages`` to gzipped archives under ``path``, a member a record.
 
     Of equal payloads of at least ``least`` bytes the row with the largest id
     (null ids are smaller than any) is the response, the others are revisits.  A
@@ -144,11 +190,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str =
                 out = []
                 for rk, page, p, uri, refers in zip(*[c.to_pylist() for c in b.slice(at, 64).columns], strict=True):
                     out += page_records(f"urn:page:{rk}", page, uri, p, None if refers is None else f"urn:page:{refers}", segment_bytes)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["r"])
+                yield pa.RecordBatch.from_arrays([pa.array([member(x) for x in out], pa.binary())], ["r"])
 
     made = rows.join(again, "rk", "left").select("rk", "_id", "p", "url", "refers").mapInArrow(run, "r binary")
-    made.select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option(
-        "compression", "gzip"
+    # a separator can't be empty, but it can be a member of nothing
+    made.select(F.col("r").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("latin-1")).option(
+        "maxRecordsPerFile", FILE_RECORDS
     ).text(path)
 
 
@@ -166,8 +213,8 @@ def _parse(batches):
 
     for b in batches:
         for raw in b.column(0):
-            data, rows, size = inflate(raw.as_py()), [], 0
-            for h, block in records(data):
+            rows, size = [], 0
+            for h, block in records(inflated(raw.as_py())):
                 own = h["warc-record-id"].strip("<>")
                 part = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
                 total = h.get("warc-segment-total-length")
@@ -183,18 +230,6 @@ def _parse(batches):
                 yield batch(rows)
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip file; other data as it is."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
-
-
 CHUNKED = re.compile(rb"\r\ntransfer-encoding:[ \t]*chunked[ \t]*(?=\r\n)", re.I)
 
 
@@ -210,42 +245,54 @@ def _payloads(batches):
             p = None if kind == "revisit" else payload_of(block)
             out.append(p)
             digest.append(None if p is None else "sha1:" + base64.b32encode(hashlib.sha1(p).digest()).decode())
-        names = ["id", "type", "page", "uri", "digest", "refers"]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(out, pa.binary()), pa.array(digest, pa.string())], [*names, "payload", "computed"])
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _HEAD], pa.array(out, pa.binary()), pa.array(digest, pa.string())], [*_HEAD, "payload", "computed"])
+
+
+_HEAD = ["id", "type", "page", "uri", "digest", "refers"]
+_TEXT = "id string, type string, page string, uri string, digest string, refers string"
+
+
+def _reassemble(batches):
+    """Segments of a record in order, their numbers and the total length verified, joined once."""
+    for b in batches:
+        blocks = []
+        for origin, own, total, s in zip(*[b.column(c).to_pylist() for c in ("origin", "id", "total", "s")], strict=True):
+            s.sort(key=lambda x: x["segment"])
+            block = b"".join([x["block"] for x in s])
+            if own is None or total != len(block) or [x["segment"] for x in s] != list(range(1, len(s) + 1)):
+                raise ValueError(f"incomplete segments of {origin}")
+            blocks.append(block)
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _HEAD], pa.array(blocks, pa.binary())], [*_HEAD, "block"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, type, page, uri, digest, refers, payload, computed)``, a row for each response or revisit under ``path``.
+    """``(id, type, page, uri, digest, refers, payload, computed)``, a row for each response or revisit in the files of ``path``.
 
+    Files of any name are read, gzipped (a member a record, or otherwise) or not.
     ``payload`` is decoded and whole, null for revisits; ``digest`` is what the
-    record says and ``computed`` what its payload has.  Segments that are missing,
-    doubled or of another total length, and broken frames, are errors.
+    record says and ``computed`` what its payload has.  Other types of records are
+    left out; files without records give no rows.  Segments that are missing,
+    doubled or of another total length, and broken frames, are errors.  Only
+    segments are shuffled, so the files are read once for them and once for the rest.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = files.mapInArrow(_parse, _ROW)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(_parse, _ROW).filter("type in ('response', 'revisit', 'continuation')")
     single = rows.filter("segment is null")
     parts = rows.filter("segment is not null").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"),
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("id", "type", "page", "uri", "digest", "refers")],
-    )
-    block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    whole = parts.withColumn("block", block)
-    wrong = (
-        F.col("total").isNull() | F.col("id").isNull() | (F.element_at("s", -1)["segment"] != F.size("s"))
-        | (F.size(F.array_distinct(F.transform("s", lambda x: x["segment"]))) != F.size("s")) | (F.octet_length("block") != F.col("total"))
+        F.collect_list(F.struct("segment", "block")).alias("s"), F.max("total").alias("total"),
+        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in _HEAD],
     )
-    broken = F.raise_error(F.concat(F.lit("incomplete segments of "), F.col("origin"))).cast("binary")
-    names = ["id", "type", "page", "uri", "digest", "refers", "block"]
-    whole = whole.withColumn("block", F.when(wrong, broken).otherwise(F.col("block")))
-    text = "id string, type string, page string, uri string, digest string, refers string"
-    return single.select(*names).unionByName(whole.select(*names)).mapInArrow(_payloads, f"{text}, payload binary, computed string")
+    whole = parts.mapInArrow(_reassemble, f"{_TEXT}, block binary")
+    return single.select(*_HEAD, "block").unionByName(whole).mapInArrow(_payloads, f"{_TEXT}, payload binary, computed string")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Write ``pages`` to new archives and read them: ``(<id_col>, payload_bytes, payload_digest, record_type, refers_to)``.
 
     Revisits take length and digest from the response they refer to, which must
-    have the digest they state.
+    have the digest they state.  A null html is an empty payload; rows with null
+    or repeated ids are records of their own; an empty table gives an empty
+    result; other columns are ignored.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
@@ -255,6 +302,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         "id", "type", F.col("page").cast(kind).alias("page"), "refers", "digest", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("hex"),
         (F.col("type") == "revisit").alias("again"), (F.col("computed") != F.col("digest")).alias("wrong"),
     )
+    got = materialize(got, "read")  # no payloads
     bad = F.raise_error(F.concat(F.lit("wrong digest in "), F.col("id")))
     responses = got.filter("not again").select(
         "page", "n", F.when(F.col("wrong"), bad).otherwise(F.col("hex")).alias("hex"), F.lit("response").alias("record_type"), F.lit(None).cast(kind).alias("refers_to")

@@ -82,7 +82,7 @@ def removed(df, **how):
     return [(bytes(r["kept"]), [tuple(s) for s in r["shared"]]) for r in suffix_dedup.remove_repeats(df, **how).collect()]
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 100])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, (100, 100)])
 def test_remove_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     docs = documents(spark)
@@ -93,7 +93,7 @@ def test_remove_repeats(spark, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, 2000])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, (2000, 9000)])
 def test_hot_anchor(spark, monkeypatch, hot):
     """One line in most documents, between different and between equal neighbours; copies; a run of one byte over chunks."""
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
@@ -408,6 +408,40 @@ def test_warc(spark):
     assert warc.unchunked(warc.chunked(b"q" * 10_000)) == b"q" * 10_000 and warc.unchunked(warc.chunked(b"")) == b""
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc")
+    clash = pages.selectExpr("page_id", "html", "page_id as rk", "html as block", "1 as segment", "'x' as id")
+    assert {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(clash).collect()} == got
+
+
+def test_warc_members():
+    """Many members, one for each record; a long payload; plain and padded files; what ends early."""
+    import time
+
+    one = warc.record([(b"WARC-Type", b"response"), (b"WARC-Record-ID", b"<x>")], b"abc")
+    began = time.time()
+    assert [b for _, b in warc.records(warc.inflated((warc.member(one) + warc.member(b"")) * 10_000 + b"\0" * 50))] == [b"abc"] * 10_000
+    big = warc.chunked(bytes(100_000_000))
+    got = list(warc.records(warc.inflated(warc.member(warc.record([], big)) + warc.member(one))))
+    assert warc.unchunked(got[0][1]) == bytes(100_000_000) and got[1][1] == b"abc" and time.time() - began < 60
+    assert [b for _, b in warc.records(warc.inflated(one * 3))] == [b"abc"] * 3 and list(warc.records(warc.inflated(b""))) == []
+    for cut in (warc.member(one)[:-9], one[:-6], one[:20], b"junk" + one):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(cut)))
+
+
+def test_warc_files(spark, tmp_path):
+    """Segments in different files, out of order and of any name; a missing one is an error; other records are passed over."""
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload " * 40_000)
+    made = warc.page_records("urn:a", 7, "u", b"payload " * 40_000, None, 50_000)
+    info = warc.record([(b"WARC-Type", b"warcinfo"), (b"WARC-Record-ID", b"<i>")], b"software: x")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(warc.member(x) for x in [info, *made[1::2][::-1]]))
+    (tmp_path / "a.warc").write_bytes(b"".join(made[::2][::-1]))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert len(block) > 300_000 and [(r["page"], bytes(r["payload"]), r["digest"] == r["computed"]) for r in rows] == [("7", b"payload " * 40_000, True)]
+    (tmp_path / "b.warc.gz").unlink()
+    with pytest.raises(Exception, match="incomplete segments"):
+        warc.read(spark, str(tmp_path)).collect()
+    empty_pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(empty_pages).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

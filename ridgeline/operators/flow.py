@@ -1,22 +1,21 @@
 """Flow pointers and accumulation.
 
-Accumulation along single pointers doubles the pointers: a round adds to each
-cell what its pointer's predecessors hold and lets each pointer jump twice as
-far, so the rounds are the logarithm of the longest path.  Accumulation over
-several directions moves water one cell a round.  Every round is a join and a
-sum by cell, settled in shared files.
+Accumulation runs over tiles: water goes down the cells of a tile in the order of
+their heights, each cell once, and what leaves a tile enters its neighbour in the
+next round, so the rounds are the tiles that the longest path crosses.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DX, DY, NAMES
-from ..session import settled
 from .grid import neighbours
+from .tiles import SIDE, Tile, packed, rounds, unpacked
 
 
 def d8_pointers(df: DataFrame, size_x: float, size_y: float) -> DataFrame:
@@ -48,24 +47,70 @@ def inflow_count(pointers: DataFrame) -> DataFrame:
     )
 
 
-def d8_accumulation(df: DataFrame, size_x: float, size_y: float, log: bool = False, compat: bool = False) -> DataFrame:
+def _d8_shares(t: Tile, size_x: float, size_y: float) -> np.ndarray:
+    """Share of its water that each valid cell gives each neighbour: all to the steepest descent, the first on ties."""
+    diagonal = math.hypot(size_x, size_y)
+    lengths = np.array([diagonal if dx and dy else size_x if dx else size_y for dx, dy in zip(DX, DY, strict=True)])
+    fall = np.nan_to_num((t.z[t.valid] - t.around()) / lengths[:, None], nan=-np.inf)
+    best = fall.argmax(0)
+    out = np.zeros_like(fall)
+    at = np.arange(fall.shape[1])
+    out[best, at] = fall[best, at] > 0
+    return out
+
+
+def _fd8_shares(t: Tile) -> np.ndarray:
+    """In proportion to the squared falls to lower neighbours."""
+    fall = np.nan_to_num(np.maximum(0, t.z[t.valid] - t.around()))
+    square = fall * fall
+    return square / np.maximum(square.sum(0), np.finfo(float).tiny)
+
+
+def _drained(t: Tile, shares: np.ndarray, places: np.ndarray, values: np.ndarray, first: bool) -> np.ndarray:
+    """What passes each cell of a tile, and what arrives in its ring, when ``values`` come in (and 1 to every cell, at first)."""
+    acc = np.zeros(len(t.z))
+    if first:
+        acc[t.valid] = 1.0
+    np.add.at(acc, places, values)
+    water = acc.tolist()
+    order = np.argsort(-t.z[t.valid], kind="stable")
+    for i, own, to in zip(t.valid[order].tolist(), shares.T[order].tolist(), (t.valid[order][:, None] + t.steps).tolist(), strict=True):
+        if w := water[i]:
+            for share, j in zip(own, to, strict=True):
+                if share:
+                    water[j] += w * share
+    return np.array(water)
+
+
+def _accumulated(df: DataFrame, shares, log: bool, side: int) -> DataFrame:
+    def leaving(t, places, values, first):
+        water = _drained(t, shares(t), places, values, first)
+        out = np.flatnonzero(t.ring & (water > 0))
+        return out, water[out], False
+
+    def whole(t, places, values):
+        return np.where(np.isnan(t.z), np.nan, _drained(t, shares(t), places, values, True))
+
+    tiles = packed(df, side)
+    out = unpacked(tiles, rounds(tiles, leaving, "sum", side), whole, side)
+    return out.withColumn("z", F.log("z")) if log else out
+
+
+def d8_accumulation(df: DataFrame, size_x: float, size_y: float, log: bool = False, compat: bool = False, side: int = SIDE) -> DataFrame:
     """Cells that drain through each cell, itself included; no-data stays null (``compat``: 1)."""
-    start = _targets(d8_pointers(df, size_x, size_y)).filter("z is not null")
-    key = ["raster_id", "row", "col"]
-    state = settled(start.select(*key, F.col("to_row").alias("pr"), F.col("to_col").alias("pc"), F.lit(1).cast("long").alias("s")))
-    while state.filter("pr is not null").limit(1).count():
-        moving = state.filter("pr is not null")
-        gain = moving.groupBy("raster_id", F.col("pr").alias("row"), F.col("pc").alias("col")).agg(F.sum("s").alias("g"))
-        hop = state.select("raster_id", F.col("row").alias("pr"), F.col("col").alias("pc"), F.col("pr").alias("qr"), F.col("pc").alias("qc"))
-        further = moving.join(hop, ["raster_id", "pr", "pc"]).select(*key, "qr", "qc")
-        state = state.select(*key, "s").join(gain, key, "left").join(further, key, "left")
-        state = settled(state.select(*key, F.col("qr").alias("pr"), F.col("qc").alias("pc"), (F.col("s") + F.coalesce("g", F.lit(0))).alias("s")))
-    out = df.select(*key).join(state.select(*key, F.col("s").cast("double").alias("z")), key, "left")
+    out = _accumulated(df, lambda t: _d8_shares(t, size_x, size_y), False, side)
     if compat:
         out = out.withColumn("z", F.coalesce("z", F.lit(1.0)))
     return out.withColumn("z", F.log("z")) if log else out
 
 
+def fd8_inflow_count(df: DataFrame) -> DataFrame:
+    """How many neighbours are higher than each cell."""
+    near = neighbours(df)
+    n = sum((F.coalesce((F.col(k) > F.col("z")).cast("int"), F.lit(0)) for k in NAMES), F.lit(0))
+    return near.select("raster_id", "row", "col", F.when(F.col("z").isNotNull(), n).alias("n"))
+
+
 def fd8_edges(df: DataFrame) -> DataFrame:
     """``(raster_id, row, col, to_row, to_col, w)``: shares of the squared falls to lower neighbours."""
     near = neighbours(df)
@@ -79,24 +124,6 @@ def fd8_edges(df: DataFrame) -> DataFrame:
     return e.select("raster_id", "row", "col", (F.col("row") + F.col("x.dy")).alias("to_row"), (F.col("col") + F.col("x.dx")).alias("to_col"), (F.col("x.f") * F.col("x.f") / F.col("t")).alias("w"))
 
 
-def fd8_accumulation(df: DataFrame, log: bool = False, together: int = 8) -> DataFrame:
-    """Accumulation shared over all lower neighbours.
-
-    A round sends what arrived at each cell on to its lower neighbours; an edge
-    of each cell to itself carries what the cell has gathered, so a round is one
-    join and one sum by cell.  ``together`` rounds make one job.
-    """
-    key = ["raster_id", "row", "col"]
-    cells = df.filter("z is not null").select(*key)
-    own = cells.select(*key, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(None).cast("double").alias("w"))
-    edges = settled(fd8_edges(df).unionByName(own))
-    state = settled(cells.select(*key, F.lit(1.0).alias("v"), F.lit(1.0).alias("sum")))
-    while state.filter("v > 0").limit(1).count():
-        for _ in range(together):
-            sent = F.coalesce(F.col("v") * F.col("w"), F.lit(0.0))
-            gathered = F.when(F.col("w").isNull(), F.col("sum")).otherwise(sent)
-            moved = state.join(edges, key).select("raster_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), sent.alias("v"), gathered.alias("sum"))
-            state = moved.groupBy(*key).agg(F.sum("v").alias("v"), F.sum("sum").alias("sum"))
-        state = settled(state)
-    out = df.select(*key).join(state.select(*key, F.col("sum").alias("z")), key, "left")
-    return out.withColumn("z", F.log("z")) if log else out
+def fd8_accumulation(df: DataFrame, log: bool = False, side: int = SIDE) -> DataFrame:
+    """Accumulation shared over all lower neighbours; no-data stays null."""
+    return _accumulated(df, _fd8_shares, log, side)

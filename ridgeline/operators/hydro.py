@@ -1,9 +1,11 @@
 """Depression filling and breaching.
 
-The order in which a flood from the edges reaches the cells decides the result,
-so these run as kernels over one grid each (grids run in parallel).  One flood
-gives every cell's order and the cell it was reached from; filling raises along
-that order, breaching carves back along it.
+Filling runs over tiles: each floods its cells from the edges it has and from the
+levels its neighbours have reached along its border, and tiles whose surroundings
+fell flood again, until none does.  Breaching carves back along the order of one
+flood over the whole grid, which can't be parted without changing the trenches:
+it is a kernel over one grid each (grids run in parallel), so a grid must fit in a
+worker.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quantisation
 from ..model import DX, DY
-from .grid import neighbours
+from .grid import extremes, neighbours
+from .tiles import SIDE, Tile, packed, rounds, unpacked
 
 
 def edge_cells(df: DataFrame) -> DataFrame:
@@ -102,6 +106,7 @@ def breach_kernel(
     raised[lift] = lowest[lift] - small  # just below the lowest neighbour: a shorter trench will do
     pits = (hollow & ~edge).tolist()
     z, seen, back = raised.tolist(), (~g.valid).tolist(), [0] * len(raised)
+    valid, wet = g.valid.tolist(), None if stream is None else stream.tolist()
     late = [0] * len(z) if stream is None else (~stream).astype(int).tolist()  # streams are reached first
     heap = [(late[i], original[i], k, i) for k, i in enumerate(np.flatnonzero(edge).tolist())]
     for h in heap:
@@ -114,6 +119,10 @@ def breach_kernel(
         level = z[i]
         while back[i]:
             level -= small
+            if wet is not None and wet[i]:  # a stream runs below the lowest of the dry cells beside it
+                beside = min((z[i + s] for s in steps if valid[i + s] and not wet[i + s]), default=math.inf)
+                if beside < level:
+                    level = beside - small
             i = back[i]
             if z[i] <= level:
                 return
@@ -145,9 +154,47 @@ def breach_kernel(
 _CELL = "raster_id string, row int, col int, z double"
 
 
-def fill_depressions(df: DataFrame, fix_flats: bool = False) -> DataFrame:
+def _flooded(t: Tile, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Levels of a tile's cells (infinite where no water gets out yet) with its neighbours' levels at ring places."""
+    edge = t.valid[np.isnan(t.around()).any(0)]
+    level = np.full(len(t.z), np.inf)
+    level[edge] = t.z[edge]
+    level[places] = values
+    todo = np.zeros(len(t.z), bool)
+    todo[t.valid] = True
+    todo[edge] = False
+    levels, z, open_, steps, small = level.tolist(), t.z.tolist(), todo.tolist(), t.steps.tolist(), t.extra
+    heap = [(levels[i], i) for i in (*edge.tolist(), *places.tolist())]
+    heapq.heapify(heap)
+    last = len(z) - 1
+    while heap:
+        v, i = heapq.heappop(heap)
+        for s in steps:
+            j = i + s
+            if 0 <= j <= last and open_[j]:
+                open_[j] = False
+                levels[j] = w = z[j] if z[j] > v else v + small
+                heapq.heappush(heap, (w, j))
+    return np.array(levels)
+
+
+def fill_depressions(df: DataFrame, fix_flats: bool = False, side: int = SIDE) -> DataFrame:
     """Each cell at the lowest level from which water gets out; ``fix_flats`` adds a small fall to filled flats."""
-    return df.select("raster_id", "row", "col", "z").groupBy("raster_id").applyInPandas(lambda p: fill_kernel(p, fix_flats), _CELL)
+
+    def spread(t, places, values, first):
+        level = _flooded(t, places, values)
+        rim = t.perimeter()
+        rim = rim[np.isfinite(level[rim])]
+        return rim, level[rim], True
+
+    def whole(t, places, values):
+        return np.where(np.isnan(t.z), np.nan, _flooded(t, places, values))
+
+    tiles = packed(df, side)
+    if fix_flats:
+        small = extremes(df).select("raster_id", (1 / quantisation(F.col("min_z"), F.col("max_z"))).alias("extra"))
+        tiles = tiles.drop("extra").join(small, "raster_id").select("raster_id", "tr", "tc", "z", F.coalesce("extra", F.lit(0.0)).alias("extra"))
+    return unpacked(tiles, rounds(tiles, spread, "min", side), whole, side)
 
 
 def breach_depressions(df: DataFrame, mode: str = "complete", max_depth: float = math.inf, max_length: int = 1 << 31, then_fill: bool = False) -> DataFrame:

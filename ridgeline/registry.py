@@ -70,10 +70,9 @@ def _d8(spark, df, h, log=False):
 
 
 def _breach(spark, df, h, depth=-1.0, length=-1, constrained=False, fill=False):
-    if depth == -1 and length == -1:
-        return hydro.breach_depressions(df)
     limits = (float("inf") if depth < 0 else depth, 1 << 31 if length < 0 else length)
-    return hydro.breach_depressions(df, "constrained" if constrained else "selective", *limits, fill)
+    mode = "complete" if depth < 0 and length < 0 else "constrained" if constrained else "selective"
+    return hydro.breach_depressions(df, mode, *limits, fill)
 
 
 def _med(spark, df, h, least=1, most=3, step=1):

@@ -1,8 +1,11 @@
-"""Codecs of grid formats: ``header(path)``, ``rows(path, header, first, end)`` and ``write(path, header, values)``.
-
-A header is a dict with the fields of the metadata table.  Values are float64
-arrays in which NaN stands for no-data.  ``rows`` reads just the rows asked for
-where the format has rows at fixed places, so row blocks can be read in parallel.
+"""Codecs of grid formats.
+
+``header(path)`` and ``rows(path, header, first, end, span)`` read; ``head(header,
+least, most)`` and ``encode(header, values)`` make the bytes of a header and of a
+block of rows.  A header is a dict with the fields of the metadata table.  Values
+are float64 arrays in which NaN stands for no-data.  Formats with ``ROW_BYTES``
+have rows at fixed places, so blocks are read and written in parallel; for text
+``spans`` finds the bytes of each block in one light pass.
 """
 
 from __future__ import annotations
@@ -70,6 +73,49 @@ def stored(z: np.ndarray, nodata: float) -> np.ndarray:
     return np.where(np.isnan(z), nodata, z)
 
 
+def as_kept(nodata: float, kind: np.dtype) -> float:
+    """No-data as cells of a type hold it: floats round it."""
+    return float(kind.type(nodata)) if kind.kind == "f" else nodata
+
+
+def spans(path: str, skip: int, h: dict, step: int, chunk: int = 1 << 24) -> list[tuple[int, int]]:
+    """(start, end) in bytes of every ``step`` rows of white-space separated values behind ``skip`` lines; values may break lines anywhere."""
+    out, seen, inside, want = [], 0, False, step * h["cols"]
+    with open(path, "rb") as f:
+        for _ in range(skip):
+            f.readline()
+        start = at = f.tell()
+        while block := f.read(chunk):
+            word = np.frombuffer(block, np.uint8) > 32
+            first = word.copy()
+            first[1:] &= ~word[:-1]
+            first[0] &= not inside
+            places = np.flatnonzero(first)
+            k = want * (len(out) + 1) - seen  # the word that begins the next block
+            while k < len(places):
+                out.append((start, at + int(places[k])))
+                start = at + int(places[k])
+                k += want
+            seen, inside, at = seen + len(places), bool(word[-1]), at + len(block)
+    if seen < h["rows"] * h["cols"]:
+        raise DataError(f"{path}: {seen} values")
+    out.append((start, at))
+    return out[: -(-h["rows"] // step)]
+
+
+def words(path: str, h: dict, span: tuple[int, int] | None, first: int, end: int) -> list[bytes]:
+    """The values of rows first to end - 1 as text, from a span of the file that begins with row first."""
+    a, z = span or spans(path, h["_skip"], h, end)[0]
+    with open(path, "rb") as f:
+        f.seek(a)
+        got = f.read(z - a).split()
+    return got[(0 if span else first * h["cols"]) : (end - (first if span else 0)) * h["cols"]]
+
+
+def lines(h: dict, z: np.ndarray) -> bytes:
+    return "".join([" ".join(map(spelled, row)) + "\n" for row in stored(z, h["nodata"]).tolist()]).encode()
+
+
 # ---- the two ESRI formats ----
 
 
@@ -92,6 +138,8 @@ def _esri_lines(h: dict) -> list[str]:
 
 
 class ArcAscii:
+    TEXT = True
+
     @staticmethod
     def header(path: str) -> dict:
         h, k = dict(EMPTY), {}
@@ -106,24 +154,24 @@ class ArcAscii:
         return h
 
     @staticmethod
-    def rows(path: str, h: dict, first: int, end: int) -> np.ndarray:
-        with open(path) as f:
-            for _ in range(h["_skip"]):
-                next(f)
-            z = np.array(f.read().split(), np.float64)  # values may break lines anywhere
-        if len(z) < h["rows"] * h["cols"]:
-            raise DataError(f"{path}: {len(z)} values")
-        return blanked(z[first * h["cols"] : end * h["cols"]].reshape(-1, h["cols"]), h["nodata"])
+    def rows(path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
+        z = np.array(words(path, h, span, first, end), np.float64)
+        return blanked(z.reshape(-1, h["cols"]), h["nodata"])
 
     @staticmethod
-    def write(path: str, h: dict, z: np.ndarray) -> None:
-        with open(path, "w") as f:
-            f.write("\n".join(_esri_lines(h)) + "\n")
-            for row in stored(z, h["nodata"]):
-                f.write(" ".join(map(spelled, row.tolist())) + "\n")
+    def head(h: dict, least: float, most: float) -> bytes:
+        return ("\n".join(_esri_lines(h)) + "\n").encode()
+
+    encode = staticmethod(lines)
 
 
 class ArcBinary:
+    DATA, HEAD = ".flt", ".hdr"
+
+    @staticmethod
+    def row_bytes(h: dict) -> int:
+        return 4 * h["cols"]
+
     @staticmethod
     def header(path: str) -> dict:
         h = dict(EMPTY)
@@ -134,25 +182,27 @@ class ArcBinary:
         return h
 
     @staticmethod
-    def rows(path: str, h: dict, first: int, end: int) -> np.ndarray:
+    def rows(path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
         kind = np.dtype(">f4" if h["byte_order"] == "BIG_ENDIAN" else "<f4")
         z = np.fromfile(sibling(path, ".flt"), kind, (end - first) * h["cols"], offset=first * h["cols"] * 4)
         if len(z) != (end - first) * h["cols"]:
             raise DataError(f"{path} is too short")
-        return blanked(z.reshape(-1, h["cols"]), np.float32(h["nodata"]))
+        return blanked(z.reshape(-1, h["cols"]), as_kept(h["nodata"], kind))
 
     @staticmethod
-    def write(path: str, h: dict, z: np.ndarray) -> None:
-        big = h["byte_order"] == "BIG_ENDIAN"
-        with open(sibling(path, ".hdr"), "w") as f:
-            f.write("\n".join([*_esri_lines(h), f"BYTEORDER {'MSBFIRST' if big else 'LSBFIRST'}"]) + "\n")
-        stored(z, h["nodata"]).astype(">f4" if big else "<f4").tofile(sibling(path, ".flt"))
+    def head(h: dict, least: float, most: float) -> bytes:
+        return ("\n".join([*_esri_lines(h), f"BYTEORDER {'MSBFIRST' if h['byte_order'] == 'BIG_ENDIAN' else 'LSBFIRST'}"]) + "\n").encode()
+
+    @staticmethod
+    def encode(h: dict, z: np.ndarray) -> bytes:
+        return stored(z, h["nodata"]).astype(">f4" if h["byte_order"] == "BIG_ENDIAN" else "<f4").tobytes()
 
 
 # ---- GRASS ----
 
 
 class GrassAscii:
+    TEXT = True
     KEYS = ("north", "south", "east", "west", "rows", "cols", "null", "nodata", "type", "multiplier")
 
     @classmethod
@@ -174,25 +224,16 @@ class GrassAscii:
         return h
 
     @staticmethod
-    def rows(path: str, h: dict, first: int, end: int) -> np.ndarray:
-        with open(path) as f:
-            for _ in range(h["_skip"]):
-                next(f)
-            words = f.read().split()
-        if len(words) < h["rows"] * h["cols"]:
-            raise DataError(f"{path}: {len(words)} values")
-        part = words[first * h["cols"] : end * h["cols"]]
-        z = np.array([np.nan if w == "*" else float(w) for w in part])
+    def rows(path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
+        z = np.array([np.nan if w == b"*" else float(w) for w in words(path, h, span, first, end)])
         return blanked(z.reshape(-1, h["cols"]), h["nodata"])
 
     @staticmethod
-    def write(path: str, h: dict, z: np.ndarray) -> None:
-        with open(path, "w") as f:
-            for e in ("north", "south", "east", "west"):
-                f.write(f"{e}: {spelled(h[e])}\n")
-            f.write(f"rows: {h['rows']}\ncols: {h['cols']}\nnodata: {spelled(h['nodata'])}\n")
-            for row in stored(z, h["nodata"]):
-                f.write(" ".join(map(spelled, row.tolist())) + "\n")
+    def head(h: dict, least: float, most: float) -> bytes:
+        ends = "".join(f"{e}: {spelled(h[e])}\n" for e in ("north", "south", "east", "west"))
+        return f"{ends}rows: {h['rows']}\ncols: {h['cols']}\nnodata: {spelled(h['nodata'])}\n".encode()
+
+    encode = staticmethod(lines)
 
 
 # ---- header and payload in two files ----
@@ -203,6 +244,7 @@ def _order(h: dict) -> str:
 
 
 class Whitebox:
+    DATA, HEAD = ".tas", ".dep"
     KINDS = {"double": "f8", "float": "f4", "integer": "i2", "byte": "u1"}
     TYPES = {"double": "FLOAT64", "float": "FLOAT32", "integer": "INT16", "byte": "UINT8"}
 
@@ -234,19 +276,30 @@ class Whitebox:
         return h | {"data_type": cls.TYPES[h["_kind"]], "metadata": notes}
 
     @classmethod
-    def rows(cls, path: str, h: dict, first: int, end: int) -> np.ndarray:
+    def rows(cls, path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
         kind = np.dtype(_order(h) + cls.KINDS[h["_kind"]])
         z = np.fromfile(sibling(path, ".tas"), kind, (end - first) * h["cols"], offset=first * h["cols"] * kind.itemsize)
         if len(z) != (end - first) * h["cols"]:
             raise DataError(f"{path} is too short")
-        return blanked(z.reshape(-1, h["cols"]), kind.type(h["nodata"]) if kind.kind == "f" else h["nodata"])
+        return blanked(z.reshape(-1, h["cols"]), as_kept(h["nodata"], kind))
 
     @classmethod
-    def write(cls, path: str, h: dict, z: np.ndarray) -> None:
+    def _written(cls, h: dict) -> tuple[dict, str]:
         kind = {"FLOAT64": "double", "INT8": "integer", "INT16": "integer", "UINT8": "byte"}.get(h["data_type"], "float")
-        lo, hi = (float(np.nanmin(z)), float(np.nanmax(z))) if np.isfinite(z).any() else (0.0, 0.0)
-        if kind == "byte" and not 0 <= h["nodata"] <= 255:
-            h = h | {"nodata": 255.0}
+        return (h | {"nodata": 255.0} if kind == "byte" and not 0 <= h["nodata"] <= 255 else h), kind
+
+    @classmethod
+    def row_bytes(cls, h: dict) -> int:
+        return h["cols"] * np.dtype(cls.KINDS[cls._written(h)[1]]).itemsize
+
+    @classmethod
+    def encode(cls, h: dict, z: np.ndarray) -> bytes:
+        h, kind = cls._written(h)
+        return stored(z, h["nodata"]).astype(_order(h) + cls.KINDS[kind]).tobytes()
+
+    @classmethod
+    def head(cls, h: dict, lo: float, hi: float) -> bytes:
+        h, kind = cls._written(h)
         lines = {
             "Min": lo, "Max": hi, "North": h["north"], "South": h["south"], "East": h["east"], "West": h["west"], "Cols": h["cols"], "Rows": h["rows"], "Stacks": h["n_bands"],
             "Data Type": kind.upper(), "Z Units": h["z_units"] or "not specified", "XY Units": h["xy_units"] or "not specified",
@@ -254,13 +307,12 @@ class Whitebox:
             "Display Max": hi if h["display_max"] is None else h["display_max"], "Preferred Palette": h["palette"] or "grey.pal", "NoData": spelled(h["nodata"]),
             "Byte Order": h["byte_order"], "Palette Nonlinearity": h["palette_nonlinearity"],
         }
-        with open(sibling(path, ".dep"), "w") as f:
-            f.writelines(f"{k}:\t{v}\n" for k, v in lines.items())
-            f.writelines(f"Metadata Entry:\t{m.replace(':', ';')}\n" for m in h["metadata"])
-        stored(z, h["nodata"]).astype(_order(h) + cls.KINDS[kind]).tofile(sibling(path, ".tas"))
+        notes = [f"Metadata Entry:\t{m.replace(':', ';')}\n" for m in h["metadata"]]
+        return "".join([*[f"{k}:\t{v}\n" for k, v in lines.items()], *notes]).encode()
 
 
 class Idrisi:
+    DATA, HEAD = ".rst", ".rdc"
     KINDS = {"real": "<f4", "integer": "<i2", "byte": "u1"}
 
     @classmethod
@@ -293,28 +345,38 @@ class Idrisi:
         return h | {"data_type": {"real": "FLOAT32", "integer": "INT16", "byte": "UINT8"}[h["_kind"]], "metadata": notes}
 
     @classmethod
-    def rows(cls, path: str, h: dict, first: int, end: int) -> np.ndarray:
+    def rows(cls, path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
         kind = np.dtype(cls.KINDS[h["_kind"]])
         z = np.fromfile(sibling(path, ".rst"), kind, (end - first) * h["cols"], offset=first * h["cols"] * kind.itemsize)
         if len(z) != (end - first) * h["cols"]:
             raise DataError(f"{path} is too short")
-        return blanked(z.reshape(-1, h["cols"]), h["nodata"])
+        return blanked(z.reshape(-1, h["cols"]), as_kept(h["nodata"], kind))
+
+    @staticmethod
+    def _written(h: dict) -> str:
+        return {"INT8": "integer", "INT16": "integer", "UINT8": "byte"}.get(h["data_type"], "real")
+
+    @classmethod
+    def row_bytes(cls, h: dict) -> int:
+        return h["cols"] * np.dtype(cls.KINDS[cls._written(h)]).itemsize
+
+    @classmethod
+    def encode(cls, h: dict, z: np.ndarray) -> bytes:
+        return stored(z, h["nodata"]).astype(cls.KINDS[cls._written(h)]).tobytes()
 
     @classmethod
-    def write(cls, path: str, h: dict, z: np.ndarray) -> None:
-        kind = {"INT8": "integer", "INT16": "integer", "UINT8": "byte"}.get(h["data_type"], "real")
-        lo, hi = (float(np.nanmin(z)), float(np.nanmax(z))) if np.isfinite(z).any() else (0.0, 0.0)
+    def head(cls, h: dict, lo: float, hi: float) -> bytes:
+        kind = cls._written(h)
+        shown = [lo if h["display_min"] is None else h["display_min"], hi if h["display_max"] is None else h["display_max"]]
         lines = [
             ("file format", "IDRISI Raster A.1"), ("file title", ""), ("data type", kind), ("file type", "binary"), ("columns", h["cols"]), ("rows", h["rows"]),
             ("ref. system", "plane"), ("ref. units", h["xy_units"] or "m"), ("unit dist.", "1.0"), ("min. X", h["west"]), ("max. X", h["east"]),
             ("min. Y", h["south"]), ("max. Y", h["north"]), ("pos'n error", "unspecified"), ("resolution", (h["east"] - h["west"]) / h["cols"]),
-            ("min. value", lo), ("max. value", hi), ("display min", lo), ("display max", hi), ("value units", h["z_units"] or "unspecified"),
+            ("min. value", lo), ("max. value", hi), ("display min", shown[0]), ("display max", shown[1]), ("value units", h["z_units"] or "unspecified"),
             ("value error", "unspecified"), ("flag value", spelled(h["nodata"])), ("flag def'n", "missing data"), ("legend cats", 0),
             *[("comment", m) for m in h["metadata"]],
         ]
-        with open(sibling(path, ".rdc"), "w") as f:
-            f.writelines(f"{k:<12}: {v}\n" for k, v in lines)
-        stored(z, h["nodata"]).astype(cls.KINDS[kind]).tofile(sibling(path, ".rst"))
+        return "".join([f"{k:<12}: {v}\n" for k, v in lines]).encode()
 
 
 class GeoTiff:
@@ -323,12 +385,21 @@ class GeoTiff:
         return EMPTY | geotiff.header(path)
 
     @staticmethod
-    def rows(path: str, h: dict, first: int, end: int) -> np.ndarray:
-        return blanked(geotiff.rows(path, first, end), h["nodata"])
+    def rows(path: str, h: dict, first: int, end: int, span=None) -> np.ndarray:
+        kind = np.dtype("f4" if h["data_type"] == "FLOAT32" else "f8")
+        return blanked(geotiff.rows(path, first, end), as_kept(h["nodata"], kind))
+
+    @staticmethod
+    def row_bytes(h: dict) -> int:
+        return geotiff.row_bytes(h)
+
+    @staticmethod
+    def head(h: dict, least: float, most: float) -> bytes:
+        return geotiff.head(h)
 
     @staticmethod
-    def write(path: str, h: dict, z: np.ndarray) -> None:
-        geotiff.write(path, h, stored(z, h["nodata"]))
+    def encode(h: dict, z: np.ndarray) -> bytes:
+        return geotiff.encode(h, stored(z, h["nodata"]))
 
 
 CODECS = {"arcgis_ascii": ArcAscii, "arcgis_binary": ArcBinary, "grass_ascii": GrassAscii, "whitebox": Whitebox, "idrisi": Idrisi, "geotiff": GeoTiff}
@@ -339,3 +410,36 @@ def codec(path: str, name: str | None = None):
     if name not in CODECS:
         raise UnsupportedFormat(f"{name} can be neither read nor written")
     return name, CODECS[name]
+
+
+def is_text(c) -> bool:
+    return getattr(c, "TEXT", False)
+
+
+def files(path: str, c) -> tuple[str, str]:
+    """Where a format keeps values and where its header; the same file where it has one."""
+    return (sibling(path, c.DATA), sibling(path, c.HEAD)) if hasattr(c, "DATA") else (path, path)
+
+
+def remove(path: str, c) -> None:
+    for f in set(files(path, c)):
+        if os.path.exists(f):
+            os.remove(f)
+
+
+def ends(z: np.ndarray) -> tuple[float, float]:
+    """Least and greatest value; (0, 0) where there is none."""
+    good = z[np.isfinite(z)]
+    return (float(good.min()), float(good.max())) if len(good) else (0.0, 0.0)
+
+
+def write(path: str, c, h: dict, z: np.ndarray) -> None:
+    """A whole grid at once."""
+    data, head = files(path, c)
+    with open(head, "wb") as f:
+        f.write(c.head(h, *ends(z)))
+        if head == data:
+            f.write(c.encode(h, z))
+    if head != data:
+        with open(data, "wb") as f:
+            f.write(c.encode(h, z))

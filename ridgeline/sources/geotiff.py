@@ -106,7 +106,7 @@ def header(path: str) -> dict:
     return {
         "rows": rows, "cols": cols, "west": west, "north": north, "east": west + wide * sx, "south": north - high * sy, "nodata": nodata, "data_type": kind,
         "epsg": epsg, "n_bands": samples, "photometric": photometric, "byte_order": "LITTLE_ENDIAN" if order == "<" else "BIG_ENDIAN", "pixel_is_area": area,
-        "crs_wkt": "PROJCS[]" if 3072 in keys else "", "metadata": [f"{name}: {value}" for _, _, name, _, _, value in tag_rows(path)],
+        "crs_wkt": next((keys[k][1][0] for k in (1026, 3073) if k in keys and "projcs[" in str(keys[k][1][0]).lower()), "PROJCS[]" if 3072 in keys else ""), "metadata": [f"{name}: {value}" for _, _, name, _, _, value in tag_rows(path)],
     }
 
 
@@ -203,6 +203,12 @@ def rows(path: str, first: int, end: int) -> np.ndarray:
                 out[a - first : z - first, c * bw : c * bw + wide] = block[a - r * bh : z - r * bh, :wide]
     if samples == 1:
         z = out[:, :, 0]
+        if one(262, 1) == 3 and 320 in tags:  # a colour map: all reds, all greens, all blues, of 16 bits
+            red, green, blue = (np.array(tags[320][2], np.int64).reshape(3, -1) * 255 // 65535).tolist()
+            colours = np.array([0xFF << 24 | r << 16 | g << 8 | b for r, g, b in zip(red, green, blue, strict=True)], np.float64)
+            if z.size and z.max() >= len(colours):
+                raise DataError(f"{path}: a cell beyond the colour map")
+            return colours[z]
         if one(262, 1) == 0 and kind[0] == "u":  # white is zero
             z = np.iinfo(z.dtype).max - z
         return z.astype(np.float64)
@@ -213,37 +219,69 @@ def rows(path: str, first: int, end: int) -> np.ndarray:
     return (alpha << 24 | c[:, :, 0] << 16 | c[:, :, 1] << 8 | c[:, :, 2]).astype(np.float64)
 
 
-def write(path: str, h: dict, z: np.ndarray) -> None:
-    """One uncompressed row a strip; numbers of any type, or colours packed as alpha, red, green, blue."""
-    colour = h["data_type"].startswith("RGB")
-    kind = {v: k for k, v in TYPES.items()}.get(h["data_type"], "f4")
-    high, cols = z.shape
+def _sampled(h: dict) -> tuple[np.dtype, int]:
+    """Type and number of samples of a cell as written."""
     order = ">" if h["byte_order"] == "BIG_ENDIAN" else "<"
-    if colour:
-        p = z.astype(np.int64)
-        n = 4 if h["data_type"].startswith("RGBA") else 3
-        data = np.stack([p >> 16 & 255, p >> 8 & 255, p & 255, p >> 24 & 255][:n], 2).astype("u1")
-        bits, form, photometric = [8] * n, [1] * n, 2
-    else:
-        data = z.astype(order + kind)
-        bits, form, photometric = [8 * data.dtype.itemsize], [{"u": 1, "i": 2, "f": 3}[kind[0]]], 1
-        n = 1
+    if h["data_type"].startswith("RGB"):
+        return np.dtype("u1"), 4 if h["data_type"].startswith("RGBA") else 3
+    if h["data_type"] == "PALETTED":
+        return np.dtype("u1"), 1
+    return np.dtype(order + {v: k for k, v in TYPES.items()}.get(h["data_type"], "f4")), 1
+
+
+def row_bytes(h: dict) -> int:
+    kind, n = _sampled(h)
+    return h["cols"] * kind.itemsize * n
+
+
+def encode(h: dict, z: np.ndarray) -> bytes:
+    """Rows of numbers of any type, of colours packed as alpha, red, green, blue, or of places in a colour map."""
+    kind, n = _sampled(h)
+    if h["data_type"] == "PALETTED" and h.get("colours"):
+        place = {c: k for k, c in reversed(list(enumerate(h["colours"])))}
+        try:
+            return bytes([place[int(c)] for c in z.ravel()])
+        except KeyError as e:
+            raise DataError(f"colour {e} is not in the colour map") from None
+    if n == 1:
+        return z.astype(kind).tobytes()
+    p = z.astype(np.int64)
+    return np.stack([p >> 16 & 255, p >> 8 & 255, p & 255, p >> 24 & 255][:n], 2).astype("u1").tobytes()
+
+
+def head(h: dict) -> bytes:
+    """What stands before the rows: one uncompressed row a strip follows.  ``metadata`` goes into the description."""
+    kind, n = _sampled(h)
+    high, cols = h["rows"], h["cols"]
+    order = ">" if h["byte_order"] == "BIG_ENDIAN" else "<"
+    form = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    photometric = 3 if h["data_type"] == "PALETTED" else 2 if n > 1 else 1
     area = h["pixel_is_area"]
     sx = (h["east"] - h["west"]) / (cols if area else max(1, cols - 1))
     sy = (h["north"] - h["south"]) / (high if area else max(1, high - 1))
+    text, citation = b"", (h["crs_wkt"] or "").encode("latin-1", "replace")
     keys = [1024, 0, 1, 2 if "projcs[" not in (h["crs_wkt"] or "").lower() and not h["epsg"] else 1, 1025, 0, 1, 1 if area else 2]
+    if citation and citation != b"PROJCS[]":
+        text = citation + b"|\0"
+        keys += [1026, 34737, len(citation) + 1, 0]
     if h["epsg"]:
         keys += [2048 if 4000 <= h["epsg"] < 5000 else 3072, 0, 1, h["epsg"]]
-    strip = data[0].nbytes if high else 0
+    strip = row_bytes(h)
     nodata = repr(int(h["nodata"]) if h["nodata"] == int(h["nodata"]) else h["nodata"]).encode() + b"\0"
+    notes = "; ".join(h["metadata"] or []).encode("latin-1", "replace") + b"\0"
+    colours = [c >> shift & 255 for shift in (16, 8, 0) for c in [*map(int, h.get("colours") or [0xFF000000 | 0x010101 * k for k in range(256)]), *[0] * 256][:256]]
     tags: list[tuple[int, int, list | bytes]] = [
-        (256, 4, [cols]), (257, 4, [high]), (258, 3, bits), (259, 3, [1]), (262, 3, [photometric]), (273, 4, [0] * high), (277, 3, [n]), (278, 4, [1]),
-        (279, 4, [strip] * high), (284, 3, [1]), *([(338, 3, [2])] if n == 4 else []), (339, 3, form), (33550, 12, [sx, sy, 0.0]),
-        (33922, 12, [0.0, 0.0, 0.0, h["west"], h["north"], 0.0]), (34735, 3, [1, 1, 0, len(keys) // 4, *keys]), (42113, 2, nodata),
+        (256, 4, [cols]), (257, 4, [high]), (258, 3, [8 * kind.itemsize] * n), (259, 3, [1]), (262, 3, [photometric]),
+        *([(270, 2, notes)] if len(notes) > 1 else []), (273, 4, [0] * high), (277, 3, [n]), (278, 4, [1]), (279, 4, [strip] * high), (284, 3, [1]),
+        *([(320, 3, [c * 257 for c in colours])] if photometric == 3 else []), *([(338, 3, [2])] if n == 4 else []), (339, 3, [form] * n),
+        (33550, 12, [sx, sy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, h["west"], h["north"], 0.0]), (34735, 3, [1, 1, 0, len(keys) // 4, *keys]),
+        *([(34737, 2, text)] if text else []), (42113, 2, nodata),
     ]
     extra_at = 8 + 2 + 12 * len(tags) + 4
     sizes = [len(v) * FIELD[k][1] for _, k, v in tags]
     data_at = extra_at + sum(s + s % 2 for s in sizes if s > 4)
+    if data_at + strip * high >= 1 << 32:
+        raise UnsupportedFormat("a TIFF file holds at most 4 GB")
     tags = [(c, k, [data_at + strip * r for r in range(high)] if c == 273 else v) for c, k, v in tags]
     entries, extra = [], b""
     for (code, k, v), size in zip(tags, sizes, strict=True):
@@ -254,6 +292,4 @@ def write(path: str, h: dict, z: np.ndarray) -> None:
         else:
             place = raw.ljust(4, b"\0")
         entries.append(struct.pack(order + "HHI", code, k, len(v)) + place)
-    with open(path, "wb") as f:
-        f.write((b"II" if order == "<" else b"MM") + struct.pack(order + "HIH", 42, 8, len(tags)) + b"".join(entries) + b"\0" * 4 + extra)
-        f.write(data.tobytes())
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HIH", 42, 8, len(tags)) + b"".join(entries) + b"\0" * 4 + extra

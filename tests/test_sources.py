@@ -1,5 +1,6 @@
 """Formats: hand-made bytes, round trips, detection."""
 
+import os
 import struct
 import zlib
 
@@ -9,8 +10,9 @@ import pytest
 from ridgeline import registry
 from ridgeline.__main__ import command
 from ridgeline.operators import points
-from ridgeline.sources import formats, geotiff, las, read_raster
-from ridgeline.sources.errors import AmbiguousFormat, UnsupportedFormat
+from ridgeline.sources import formats, geotiff, las, read_raster, write_raster
+from ridgeline.sources.datasource import add_metadata, from_values
+from ridgeline.sources.errors import AmbiguousFormat, DataError, OverwriteError, UnsupportedFormat
 
 Z = np.array([[1.0, 2.5, np.nan], [4.0, -5.0, 6.0]])
 H = formats.EMPTY | {"rows": 2, "cols": 3, "west": 10.0, "south": 20.0, "east": 25.0, "north": 30.0, "crs_wkt": "PROJCS[x]"}
@@ -21,7 +23,7 @@ H = formats.EMPTY | {"rows": 2, "cols": 3, "west": 10.0, "south": 20.0, "east":
 def test_round_trip(tmp_path, name, ext, order):
     path = str(tmp_path / f"a{ext}")
     _, c = formats.codec(path, name)
-    c.write(path, H | {"byte_order": order, "metadata": ["made: here"]}, Z)
+    formats.write(path, c, H | {"byte_order": order, "metadata": ["made: here"]}, Z)
     assert formats.detect(path) == name
     h = c.header(path)
     assert [h[k] for k in ("rows", "cols", "west", "south", "east", "north", "nodata")] == [2, 3, 10, 20, 25, 30, -32768]
@@ -29,6 +31,82 @@ def test_round_trip(tmp_path, name, ext, order):
     np.testing.assert_array_equal(c.rows(path, h, 1, 2), Z[1:])
 
 
+@pytest.mark.parametrize("name,ext", [("arcgis_ascii", ".asc"), ("arcgis_binary", ".flt"), ("grass_ascii", ".txt"), ("whitebox", ".dep"), ("idrisi", ".rst"), ("geotiff", ".tif")])
+def test_distributed_round_trip(spark, tmp_path, name, ext):
+    """Blocks of rows written by several tasks, some missing; read in blocks; header kept; save modes."""
+    z = np.round(np.random.default_rng(1).normal(0, 100, (23, 7)))
+    z[3, 2] = np.nan
+    z[20:] = np.nan  # the last rows have no cells at all
+    cells = [("g", r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(20) for c in range(7)]
+    df = spark.createDataFrame(cells[::-1], "raster_id string, row int, col int, z double").repartition(5)
+    path = str(tmp_path / f"a{ext}")
+    h = H | {"rows": 23, "cols": 7, "east": 45.0, "north": 135.0, "metadata": ["made: here"], "display_min": -5.0, "display_max": 5.0, "nodata": -3.40282346638529e38}
+    write_raster(df, path, h, name)
+    got = spark.read.format("raster").option("blockCells", 30).load(path).toPandas()
+    assert len(got) == 23 * 7
+    back = np.full((23, 7), np.nan)
+    back[got["row"], got["col"]] = got["z"]
+    np.testing.assert_array_equal(back, z)
+    _, c = formats.codec(path)
+    kept = c.header(path)
+    assert (kept["north"], kept["west"], kept["rows"]) == (135, 10, 23)
+    if name in ("whitebox", "idrisi"):
+        assert (kept["display_min"], kept["display_max"]) == (-5, 5) and "made" in " ".join(kept["metadata"])
+    if name == "geotiff":
+        assert any("made: here" in m for m in kept["metadata"]) and kept["crs_wkt"] == "PROJCS[x]"
+    assert sorted(x.name for x in tmp_path.iterdir()) == sorted({os.path.basename(f) for f in formats.files(path, c)})
+    with pytest.raises(OverwriteError):
+        write_raster(df, path, h, name, mode="error")
+    write_raster(df.limit(0), path, h, name, mode="ignore")
+    assert spark.read.format("raster").load(path).filter("z is not null").count() == 139
+    write_raster(df.limit(0), path, h, name)
+    assert spark.read.format("raster").load(path).filter("z is not null").count() == 0
+
+
+@pytest.mark.parametrize("nodata", [-3.40282346638529e38, -9999.9])
+@pytest.mark.parametrize("name,ext", [("arcgis_binary", ".flt"), ("whitebox", ".dep"), ("idrisi", ".rst"), ("geotiff", ".tif")])
+def test_no_data_is_rounded_as_cells_are(tmp_path, name, ext, nodata):
+    path = str(tmp_path / f"a{ext}")
+    _, c = formats.codec(path, name)
+    formats.write(path, c, H | {"nodata": nodata}, Z)
+    np.testing.assert_array_equal(c.rows(path, c.header(path), 0, 2), Z)
+
+
+def test_text_blocks(tmp_path):
+    """Values that break lines anywhere, read in blocks of rows by their bytes, across chunks."""
+    z = np.arange(60.0).reshape(20, 3) * 1.5
+    values = [repr(v) for v in z.ravel().tolist()]
+    p = tmp_path / "a.asc"
+    body = "".join(v + ("\n" if k % 7 == 3 else "  " if k % 5 else "\t") for k, v in enumerate(values))
+    p.write_text("ncols 3\nnrows 20\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -1\n" + body)
+    h = formats.ArcAscii.header(str(p))
+    for step in (1, 2, 7, 20, 50):
+        for chunk in (5, 64, 1 << 20):
+            got = formats.spans(str(p), h["_skip"], h, step, chunk)
+            parts = [formats.ArcAscii.rows(str(p), h, r, min(20, r + step), got[r // step]) for r in range(0, 20, step)]
+            np.testing.assert_array_equal(np.concatenate(parts), z)
+    p.write_text(p.read_text()[:-20])
+    with pytest.raises(DataError):
+        formats.spans(str(p), h["_skip"], h, 4)
+
+
+def test_palette(tmp_path):
+    p = str(tmp_path / "p.tif")
+    colours = [0xFF000000, 0xFFFF0000, 0xFF00FF00, 0xFF0102FE]
+    z = np.array([[colours[1], colours[3], colours[0]], [colours[2]] * 3], float)
+    formats.write(p, formats.GeoTiff, H | {"data_type": "PALETTED", "colours": colours}, z)
+    assert formats.GeoTiff.header(p)["data_type"] == "PALETTED"
+    np.testing.assert_array_equal(formats.GeoTiff.rows(p, formats.GeoTiff.header(p), 0, 2), z)
+
+
+def test_values_and_metadata(spark):
+    df = from_values(spark, [1, None, 3, 4, 5, float("nan")], 2, 3)
+    assert [tuple(r)[1:] for r in df.orderBy("row", "col").collect()][1::2] == [(0, 1, None), (1, 0, 4.0), (1, 2, None)]
+    with pytest.raises(DataError):
+        from_values(spark, [1, 2], 2, 3)
+    assert add_metadata(H, "x")["metadata"] == ["x"] and H["metadata"] == []
+
+
 def test_ascii_headers(tmp_path):
     p = tmp_path / "a.txt"
     p.write_text("ncols 3\nnrows 2\nxllcenter 12.5\nyllcenter 22.5\ncellsize 5\nNODATA_value -9999\n1 2 -9999\n4 5 6\n")
@@ -122,9 +200,9 @@ def test_tiles(tmp_path, compression, pack, predictor):
 def test_colours(tmp_path):
     p = str(tmp_path / "c.tif")
     z = np.array([[0xFF010203, 0xFF0A0B0C]], float)
-    geotiff.write(p, H | {"data_type": "RGB24", "rows": 1, "cols": 2}, z)
+    formats.write(p, formats.GeoTiff, H | {"data_type": "RGB24", "rows": 1, "cols": 2}, z)
     np.testing.assert_array_equal(geotiff.rows(p, 0, 1), z)
-    geotiff.write(p, H | {"data_type": "RGBA32", "rows": 1, "cols": 2}, z - (1 << 24))
+    formats.write(p, formats.GeoTiff, H | {"data_type": "RGBA32", "rows": 1, "cols": 2}, z - (1 << 24))
     np.testing.assert_array_equal(geotiff.rows(p, 0, 1), z - (1 << 24))
 
 
@@ -146,7 +224,7 @@ def test_las(spark, tmp_path):
 def test_tools_on_files(spark, tmp_path):
     z = np.add.outer(np.arange(6.0), np.arange(7.0))
     src = str(tmp_path / "dem.dep")
-    formats.Whitebox.write(src, H | {"rows": 6, "cols": 7, "east": 17.0, "north": 26.0}, z)
+    formats.write(src, formats.Whitebox, H | {"rows": 6, "cols": 7, "east": 17.0, "north": 26.0}, z)
     for name, rest in (("Slope", []), ("quantiles", ["3"]), ("D8FlowAccumulation", ["true"]), ("FillDepressions", []), ("breachdepressions", []), ("Whitebox2GeoTiff", []), ("MeanFilter", ["3", "3"])):
         registry.run(spark, name, ["dem.dep", f"{name}.tif", *rest], str(tmp_path), lambda s: None)
         assert geotiff.rows(str(tmp_path / f"{name}.tif"), 0, 6).shape == (6, 7)

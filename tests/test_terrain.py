@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from ridgeline.model import DX, DY
 from ridgeline.operators import flow, focal, hydro, local, stats
 
 PLANE = [[c for c in range(5)] for _ in range(5)]
@@ -89,3 +90,152 @@ def test_errors_and_flat(spark):
     assert grid(stats.quantiles(flat, 3)) == [[3, 3], [3, 3]]
     assert grid(local.aspect(flat, 1)) == [[-1, -1], [-1, -1]]
     assert math.isclose(sum(v for r in grid(flow.fd8_accumulation(frame(spark, PLANE))) for v in r if v), 5 * 15, rel_tol=0.5)
+
+
+def rough(seed, rows, cols, holes=0.05, levels=40, tilt=0.0):
+    r = np.random.default_rng(seed)
+    z = r.integers(0, levels, (rows, cols)).astype(float) + tilt * np.add.outer(np.arange(rows), np.arange(cols))
+    z[r.random((rows, cols)) < holes] = np.nan
+    return z
+
+
+def cells(spark, grids):
+    rows = [(name, r, c, None if np.isnan(v) else float(v)) for name, z in grids.items() for (r, c), v in np.ndenumerate(z)]
+    return spark.createDataFrame(rows, "raster_id string, row int, col int, z double").repartition(3)
+
+
+def arrays(df):
+    out = {}
+    for name, p in df.toPandas().groupby("raster_id"):
+        z = np.full((p["row"].max() + 1, p["col"].max() + 1), np.nan)
+        assert not p.duplicated(["row", "col"]).any() and len(p) == z.size
+        z[p["row"], p["col"]] = p["z"].astype(float)
+        out[name] = z
+    return out
+
+
+def around(z):
+    wide = np.pad(z, 1, constant_values=np.nan)
+    return np.stack([wide[1 + dy : 1 + dy + z.shape[0], 1 + dx : 1 + dx + z.shape[1]] for dx, dy in zip(DX, DY, strict=True)])
+
+
+def filled_by_force(z, small=0.0):
+    """The least fixpoint: levels fall until each cell is at its own height or just above its lowest neighbour's level."""
+    edge = ~np.isnan(z) & np.isnan(around(z)).any(0)
+    level = np.where(edge, z, np.where(np.isnan(z), np.nan, np.inf))
+    while True:
+        low = np.nanmin(np.where(np.isnan(around(level)), np.inf, around(level)), 0)
+        new = np.where(edge | np.isnan(z), level, np.minimum(level, np.where(z > low, z, low + small)))
+        if np.array_equal(new, level, equal_nan=True):
+            return level
+        level = new
+
+
+@pytest.mark.parametrize("side", [5, 256])
+def test_tiles_agree_with_brute_force(spark, side):
+    grids = {"a": rough(1, 23, 17), "b": rough(2, 11, 30, 0.0, 6), "c": rough(3, 9, 9, 0.3, 3, 1.0), "none": np.full((3, 4), np.nan)}
+    df = cells(spark, grids)
+    got = arrays(hydro.fill_depressions(df, side=side))
+    for k, z in grids.items():
+        np.testing.assert_array_equal(got[k], filled_by_force(z))
+    got = arrays(hydro.fill_depressions(df, True, side=side))
+    for k, z in grids.items():
+        if k != "none":
+            digits = len(str(int(np.nanmax(z) - np.nanmin(z))))
+            np.testing.assert_allclose(got[k], filled_by_force(z, 10.0 ** (digits - 8)), atol=1e-9)
+    d8, fd8 = arrays(flow.d8_accumulation(df, 1, 1, side=side)), arrays(flow.fd8_accumulation(df, side=side))
+    for k, z in grids.items():
+        one, many = np.where(np.isnan(z), np.nan, 1.0), np.where(np.isnan(z), np.nan, 1.0)
+        for r, c in sorted(((r, c) for (r, c), v in np.ndenumerate(z) if not np.isnan(v)), key=lambda x: -z[x]):
+            falls = [(z[r, c] - z[r + dy, c + dx], r + dy, c + dx, math.hypot(dx, dy)) for dx, dy in zip(DX, DY, strict=True) if 0 <= r + dy < z.shape[0] and 0 <= c + dx < z.shape[1] and z[r + dy, c + dx] < z[r, c]]
+            if falls:
+                _, rr, cc, _ = max(falls, key=lambda f: f[0] / f[3])
+                one[rr, cc] += one[r, c]
+                total = sum(f[0] ** 2 for f in falls)
+                for f, rr, cc, _ in falls:
+                    many[rr, cc] += many[r, c] * f**2 / total
+        np.testing.assert_array_equal(d8[k], one)
+        np.testing.assert_allclose(fd8[k], many, rtol=1e-9)
+    inflow = arrays(flow.fd8_inflow_count(df).withColumnRenamed("n", "z"))
+    for k, z in grids.items():
+        np.testing.assert_array_equal(inflow[k], np.where(np.isnan(z), np.nan, (around(z) > z).sum(0)))
+
+
+def test_tiles_of_an_empty_table(spark):
+    df = cells(spark, {"a": rough(1, 3, 3)}).limit(0)
+    for got in (hydro.fill_depressions(df), hydro.fill_depressions(df, True), flow.d8_accumulation(df, 1, 1), flow.fd8_accumulation(df, True)):
+        assert got.count() == 0
+
+
+def pits(z):
+    return ~np.isnan(z) & ~np.isnan(around(z)).any(0) & (np.nanmin(np.where(np.isnan(around(z)), np.inf, around(z)), 0) >= z)
+
+
+def breached_by_force(z, mode="complete", depth=math.inf, length=1 << 31, streams=None):
+    """The same rules over dicts: flood from the edges, and from each pit reached walk back, carving."""
+    small = 10 ** (len(str(int(np.nanmax(z) - np.nanmin(z)))) - (4 if streams is None else 8))
+    cell = {p: v for p, v in np.ndenumerate(z) if not np.isnan(v)}
+    next_to = {p: [(p[0] + dy, p[1] + dx) for dx, dy in zip(DX, DY, strict=True)] for p in cell}
+    edge = [p for p in cell if any(q not in cell for q in next_to[p])]
+    hollow = {p for p in cell if all(cell[q] >= cell[p] for q in next_to[p] if q in cell)}
+    now = dict(cell)
+    for p in hollow:
+        if beside := [cell[q] for q in next_to[p] if q in cell]:
+            now[p] = min(beside) - small
+    start, back = dict(now), {p: None for p in edge}
+    late = {p: 0 if streams is None else int(streams[p] <= 0) for p in cell}
+    queue = [(late[p], cell[p], k, p) for k, p in enumerate(edge)]
+    n = len(queue)
+    while queue:
+        queue.sort()
+        *_, p = queue.pop(0)
+        for q in next_to[p]:
+            if q not in cell or q in back:
+                continue
+            back[q] = p
+            if q in hollow and q not in edge:
+                trench, level, c = [], now[q], q
+                while back[c] is not None:
+                    level -= small
+                    if streams is not None and streams[c] > 0:
+                        dry = [now[x] for x in next_to[c] if x in cell and streams[x] <= 0]
+                        level = min(dry) - small if dry and min(dry) < level else level
+                    c = back[c]
+                    if now[c] <= level:
+                        break
+                    trench.append((c, level))
+                deepest = max((cell[c] - v for c, v in trench), default=0)
+                if mode == "complete" or (len(trench) <= length and deepest <= depth):
+                    now.update(trench)
+                elif mode == "constrained":
+                    for c, v in trench[:length]:
+                        now[c] = min(now[c], max(v, cell[c] - depth))
+            n += 1
+            queue.append((late[q], now[q] if streams is not None else start[q], n, q))
+    out = z.copy()
+    for p, v in now.items():
+        out[p] = v
+    return out
+
+
+@pytest.mark.parametrize("mode,depth,length", [("complete", math.inf, 1 << 31), ("selective", 8.0, 3), ("constrained", 8.0, 3), ("constrained", 2.0, 50)])
+def test_breaching(spark, mode, depth, length):
+    grids = {"a": rough(4, 14, 12), "b": rough(5, 9, 16, 0.0, 30)}
+    df = cells(spark, grids)
+    got = arrays(hydro.breach_depressions(df, mode, depth, length))
+    for k, z in grids.items():
+        np.testing.assert_allclose(got[k], breached_by_force(z, mode, depth, length), atol=1e-9)
+        assert mode != "complete" or not pits(got[k]).any()
+    then = arrays(hydro.breach_depressions(df, mode, depth, length, then_fill=True))
+    for k in grids:
+        np.testing.assert_allclose(then[k], filled_by_force(got[k]), atol=1e-9)
+
+
+def test_breach_streams(spark):
+    """Streams are reached first, and run below what lies dry beside them."""
+    grids = {"a": rough(6, 14, 12, 0.03), "b": rough(7, 12, 12, 0.0)}
+    streams = {k: (np.random.default_rng(8).random(z.shape) < 0.15).astype(float) for k, z in grids.items()}
+    got = arrays(hydro.breach_streams(cells(spark, grids), cells(spark, streams)))
+    for k, z in grids.items():
+        np.testing.assert_allclose(got[k], breached_by_force(z, streams=streams[k]), atol=1e-9)
+        assert not np.array_equal(got[k], z, equal_nan=True)

@@ -16,7 +16,7 @@ POINT_FIELDS = (
     "edge_of_flightline boolean, class_value int, class_name string, synthetic boolean, key_point boolean, withheld boolean, scan_angle int, "
     "user_data int, point_source_id int"
 )
-TAG_FIELDS = "path string, section string, code int, name string, dtype string, count long, value string"
+TAG_FIELDS = "path string, section string, code int, name string, dtype string, count long, value string, keyword string"
 
 # neighbours in the order NE, E, SE, S, SW, W, NW, N (fixed values)
 NAMES = ("NE", "E", "SE", "S", "SW", "W", "NW", "N")
@@ -24,6 +24,7 @@ DX = (1, 1, 1, 0, -1, -1, -1, 0)
 DY = (-1, 0, 1, 1, 1, 0, -1, -1)
 
 GEOGRAPHIC_EPSG = (4322, 4326, 4629, 4277)  # fixed values
+DEGREE = 113200  # metres, for the conversion of heights (fixed value)
 
 
 def cell_size_x() -> Column:
@@ -43,8 +44,10 @@ def is_geographic() -> Column:
     return F.col("epsg").isin(*GEOGRAPHIC_EPSG) | ~wkt.contains("projcs[") | units.contains("deg")
 
 
-def z_conversion(compat: bool = False) -> Column:
-    """Factor for heights over geographic coordinates; ``compat`` takes half the extent for the middle latitude."""
+def z_conversion(compat: bool = False, geographic: bool | None = None) -> Column:
+    """Factor for heights over geographic coordinates; ``compat`` takes half the extent for the middle latitude,
+    ``geographic`` overrides what the projection says."""
     mid = (F.col("north") - F.col("south")) / 2 if compat else (F.col("north") + F.col("south")) / 2
-    factor = F.when(F.abs(mid) <= 90, 1 / (113200 * F.cos(F.radians(mid)))).otherwise(1.0)
-    return F.when(F.coalesce(is_geographic(), F.lit(False)), factor).otherwise(1.0)
+    factor = F.when(F.abs(mid) <= 90, 1 / (DEGREE * F.cos(F.radians(mid)))).otherwise(1.0)
+    degrees = F.coalesce(is_geographic(), F.lit(False)) if geographic is None else F.lit(geographic)
+    return F.when(degrees, factor).otherwise(1.0)

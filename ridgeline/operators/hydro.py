@@ -99,8 +99,11 @@ def breach_kernel(
     original, steps = g.z.tolist(), g.steps
     near = g.around()
     edge = g.edges()
-    lowest = np.where(np.isnan(near).all(0), np.inf, np.nanmin(np.where(np.isnan(near), np.inf, near), 0))
-    hollow = g.valid & ~(near < g.z).any(0)
+    lower = near < g.z
+    lowest = np.where(np.isnan(near) | lower, np.inf, near).min(0)  # of those that aren't lower
+    if stream is not None:  # water of a stream stays in it: only lower stream cells count
+        lower &= ~stream | np.stack([np.roll(stream, -s) for s in g.steps])
+    hollow = g.valid & ~lower.any(0)
     raised = g.z.copy()
     lift = hollow & np.isfinite(lowest)
     raised[lift] = lowest[lift] - small  # just below the lowest neighbour: a shorter trench will do

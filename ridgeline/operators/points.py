@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values of the LAS format
+# fixed values of the LAS specification, versions 1.1 to 1.3
 CLASS_NAMES = (
-    "Created, never classified", "Unclassified", "Ground", "Low vegetation", "Medium vegetation", "High vegetation", "Building",
-    "Low point (noise)", "Model key-point (mass point)", "Water", "Reserved", "Reserved", "Overlap",
+    "Created, never classified", "Unclassified", "Ground", "Low Vegetation", "Medium Vegetation", "High Vegetation", "Building",
+    "Low Point (noise)", "Model Key-point (mass point)", "Water", "Reserved for ASPRS Definition", "Reserved for ASPRS Definition", "Overlap Points",
 )
 
 

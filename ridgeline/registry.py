@@ -34,6 +34,8 @@ class Tool:
     run: Callable
     outputs: int = 1
     aliases: list[str] = field(default_factory=list)
+    palettes: tuple[str, ...] = ("",)  # of each output; "" keeps the input's
+    shown: Callable | None = None  # display range of an output, by its number and values
 
 
 IN = Argument("InputFile", str, "The input grid, with its extension")
@@ -44,12 +46,24 @@ BINS = Argument("NumBins", int, "How many classes", 1)
 LOG = Argument("LogTransform", bool, "Whether the natural logarithm is written", False)
 
 
+def _symmetric(k: int, df: DataFrame) -> tuple[float, float]:
+    """The lesser of the two ends, on either side of 0."""
+    lo, hi = df.agg(F.min("z"), F.max("z")).first()
+    most = min(abs(lo or 0.0), hi or 0.0)
+    return -most, most
+
+
+def _trimmed(k: int, df: DataFrame) -> tuple[float, float]:
+    r = local.trimmed(local.histogram(df)).first()
+    return (r["display_min"], r["display_max"]) if r else (0.0, 255.0)
+
+
 def _geometry(spark: SparkSession, h: dict, compat: bool = False) -> tuple[float, float, float]:
-    """Cell width and height, and the factor for heights."""
+    """Cell width and height, and the factor for heights; a header's ``geographic`` overrides what its projection says."""
     row = [(float(h["rows"]), float(h["cols"]), h["north"], h["south"], h["east"], h["west"], h["pixel_is_area"], h["epsg"], h["crs_wkt"], h["xy_units"])]
     spec = "rows double, cols double, north double, south double, east double, west double, pixel_is_area boolean, epsg int, crs_wkt string, xy_units string"
     m = spark.createDataFrame(row, spec)
-    return tuple(m.select(model.cell_size_x(), model.cell_size_y(), model.z_conversion(compat)).first())
+    return tuple(m.select(model.cell_size_x(), model.cell_size_y(), model.z_conversion(compat, h.get("geographic"))).first())
 
 
 def _focal(fn: Callable) -> Callable:
@@ -58,7 +72,7 @@ def _focal(fn: Callable) -> Callable:
 
 def _gradient(fn: Callable) -> Callable:
     def run(spark, df, h):
-        x, y, factor = _geometry(spark, h)
+        x, y, factor = _geometry(spark, h, h.get("compat", False))
         return fn(df, (x + y) / 2, factor)
 
     return run
@@ -66,7 +80,7 @@ def _gradient(fn: Callable) -> Callable:
 
 def _d8(spark, df, h, log=False):
     x, y, _ = _geometry(spark, h)
-    return flow.d8_accumulation(df, x, y, log)
+    return flow.d8_accumulation(df, x, y, log, h.get("compat", False))
 
 
 def _breach(spark, df, h, depth=-1.0, length=-1, constrained=False, fill=False):
@@ -105,21 +119,21 @@ def geotiff_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 TOOLS = [
-    Tool("Slope", "Slope in degrees", [IN, OUT], _gradient(local.slope)),
-    Tool("Aspect", "Downslope direction in degrees", [IN, OUT], _gradient(local.aspect)),
-    Tool("Hillshade", "Shaded relief", [IN, OUT], _gradient(local.hillshade)),
+    Tool("Slope", "Slope in degrees", [IN, OUT], _gradient(local.slope), palettes=("spectrum.pal",)),
+    Tool("Aspect", "Downslope direction in degrees", [IN, OUT], _gradient(local.aspect), palettes=("circular_bw.pal",)),
+    Tool("Hillshade", "Shaded relief", [IN, OUT], _gradient(local.hillshade), palettes=("grey.pal",), shown=_trimmed),
     Tool("MeanFilter", "Mean of a box around each cell", [IN, OUT, Argument("FilterSizeX", int, "Columns of the box", 3), Argument("FilterSizeY", int, "Rows of the box")], _focal(focal.mean_filter)),
-    Tool("DeviationFromMean", "Standard score in a box", [DEM, OUT, SIZE], _focal(focal.deviation_from_mean)),
-    Tool("DeviationFromMeanTraditional", "Standard score in a symmetric box", [DEM, OUT, SIZE], _focal(focal.deviation_from_mean_traditional)),
-    Tool("DifferenceFromMean", "Difference from the mean of a box", [DEM, OUT, SIZE], _focal(focal.difference_from_mean)),
+    Tool("DeviationFromMean", "Standard score in a box", [DEM, OUT, SIZE], _focal(focal.deviation_from_mean), palettes=("blue_white_red.plt",), shown=lambda k, df: (-2.58, 2.58)),
+    Tool("DeviationFromMeanTraditional", "Standard score in a symmetric box", [DEM, OUT, SIZE], _focal(focal.deviation_from_mean_traditional), palettes=("blue_white_red.plt",), shown=lambda k, df: (-2.58, 2.58)),
+    Tool("DifferenceFromMean", "Difference from the mean of a box", [DEM, OUT, SIZE], _focal(focal.difference_from_mean), palettes=("blue_white_red.plt",), shown=_symmetric),
     Tool("MaxElevationDeviation", "Largest standard score over scales",
          [DEM, Argument("OutputMagnitudeFile", str, "The output of scores"), Argument("OutputScaleFile", str, "The output of radii"), Argument("MinNeighbourhoodSize", int, "Least radius", 1),
-          Argument("MaxNeighbourhoodSize", int, "Greatest radius", 3), Argument("NeighbourhoodStep", int, "Step of the radius", 1)], _med, outputs=2),
-    Tool("ElevationPercentile", "Percentile in a box", [DEM, OUT, SIZE, BINS], _focal(focal.elevation_percentile)),
+          Argument("MaxNeighbourhoodSize", int, "Greatest radius", 3), Argument("NeighbourhoodStep", int, "Step of the radius", 1)], _med, outputs=2, palettes=("blue_white_red.plt", "imhof1.plt"), shown=lambda k, df: None if k else (-3.0, 3.0)),
+    Tool("ElevationPercentile", "Percentile in a box", [DEM, OUT, SIZE, BINS], _focal(focal.elevation_percentile), palettes=("blue_white_red.plt",), shown=lambda k, df: (0.0, 100.0)),
     Tool("Quantiles", "Classes of equal counts", [IN, OUT, BINS], _focal(stats.quantiles)),
     Tool("FillSmallNodataHoles", "Fills no-data between valid cells", [DEM, OUT], _focal(focal.fill_small_nodata_holes)),
-    Tool("D8FlowAccumulation", "Accumulation along steepest descents", [DEM, OUT, LOG], _d8),
-    Tool("FD8FlowAccum", "Accumulation over all descents", [DEM, OUT, LOG, Argument("PerformParallel", bool, "Kept for scripts; every run is parallel", True)], lambda s, df, h, log=False, _=True: flow.fd8_accumulation(df, log)),
+    Tool("D8FlowAccumulation", "Accumulation along steepest descents", [DEM, OUT, LOG], _d8, palettes=("blueyellow.pal",)),
+    Tool("FD8FlowAccum", "Accumulation over all descents", [DEM, OUT, LOG, Argument("PerformParallel", bool, "Kept for scripts; every run is parallel", True)], lambda s, df, h, log=False, _=True: flow.fd8_accumulation(df, log), palettes=("blueyellow.pal",)),
     Tool("FillDepressions", "Raises cells from which water can't get out", [DEM, OUT, Argument("FixFlats", bool, "Whether flats get a small fall", False)], _focal(hydro.fill_depressions)),
     Tool("BreachDepressions", "Carves trenches out of pits",
          [DEM, OUT, Argument("MaxDepth", float, "Greatest depth of a trench, -1 for any", -1.0), Argument("MaxLength", int, "Most cells of a trench, -1 for any", -1),
@@ -127,6 +141,7 @@ TOOLS = [
     Tool("BreachStreams", "Carves trenches along a stream network", [DEM, OUT, Argument("StreamsFile", str, "Grid with streams over 0")], _streams),
     Tool("Whitebox2GeoTiff", "Converts a grid to GeoTIFF, or any format to any", [IN, OUT], lambda spark, df, h: df, aliases=["Convert"]),
 ]
+KEEPS_RANGE = ("FillDepressions", "BreachDepressions", "BreachStreams", "FillSmallNodataHoles", "Whitebox2GeoTiff")  # outputs are heights as the input's
 PRINTERS = {"PrintGeoTiffTags": geotiff_tags, "PrintLASInfo": las_info}
 
 
@@ -178,8 +193,14 @@ def resolve(name: str, folder: str) -> str:
     return name if os.sep in name else os.path.join(folder, name)
 
 
-def run(spark: SparkSession, name: str, arguments: list, folder: str = ".", listener: Callable[[str], None] = print):
-    """Run a tool on files; printers return a table, the others the seconds they took."""
+def run(
+    spark: SparkSession, name: str, arguments: list, folder: str = ".", listener: Callable[[str], None] = print, compat: bool = False, geographic: bool | None = None
+):
+    """Run a tool on files; printers return a table, the others the seconds they took.
+
+    ``compat`` reproduces old quirks where a tool has them; ``geographic`` says
+    whether coordinates are degrees, where the header doesn't tell.
+    """
     for p, show in PRINTERS.items():
         if p.lower()[:NAME_LENGTH] == name.lower()[:NAME_LENGTH]:
             return show(spark, resolve(arguments[0], folder))
@@ -192,12 +213,17 @@ def run(spark: SparkSession, name: str, arguments: list, folder: str = ".", list
     rest = [_value(a, v) for a, v in zip(tool.arguments[files:], arguments[files:], strict=False)]
     rest = [resolve(v, folder) if a.kind is str else v for a, v in zip(tool.arguments[files:], rest, strict=False)]
     df, h = datasource.read_raster(spark, source)
-    h["_path"] = source
+    h |= {"_path": source, "compat": compat, "geographic": geographic}
     got = tool.run(spark, df, h, *rest)
     kind = {"Quantiles": "INT16"}.get(tool.name, h["data_type"] if tool.name == "Whitebox2GeoTiff" else "FLOAT32")
-    for out, target in zip(got if isinstance(got, list) else [got], targets, strict=True):
+    outs = got if isinstance(got, list) else [got]
+    for k, (out, target) in enumerate(zip(outs, targets, strict=True)):
         codec(target)
-        datasource.write_raster(out, target, h | {"data_type": kind, "nodata": h["nodata"] if abs(h["nodata"]) < 1e30 else -32768.0, "metadata": [f"Created by {tool.name}"]})
+        shown = tool.shown and tool.shown(k, out)
+        lo, hi = shown or ((h["display_min"], h["display_max"]) if tool.name in KEEPS_RANGE else (None, None))
+        settings = {"data_type": kind, "palette": tool.palettes[k] or h["palette"], "display_min": lo, "display_max": hi, "nodata": h["nodata"] if abs(h["nodata"]) < 1e30 else -32768.0}
+        notes = [f"Created by {tool.name}", *[f"{a.name}: {v}" for a, v in zip(tool.arguments[files:], rest, strict=False)]]
+        datasource.write_raster(out, target, h | settings | {"metadata": notes})
     took = time.time() - began
     listener(f"{tool.name}: {took:.2f} s")
     return took

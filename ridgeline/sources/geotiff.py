@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from .codes import keyword
 from .errors import DataError, HeaderError, UnsupportedFormat
 
 # code: (struct letter, bytes) (fixed values of the format)
@@ -106,16 +107,16 @@ def header(path: str) -> dict:
     return {
         "rows": rows, "cols": cols, "west": west, "north": north, "east": west + wide * sx, "south": north - high * sy, "nodata": nodata, "data_type": kind,
         "epsg": epsg, "n_bands": samples, "photometric": photometric, "byte_order": "LITTLE_ENDIAN" if order == "<" else "BIG_ENDIAN", "pixel_is_area": area,
-        "crs_wkt": next((keys[k][1][0] for k in (1026, 3073) if k in keys and "projcs[" in str(keys[k][1][0]).lower()), "PROJCS[]" if 3072 in keys else ""), "metadata": [f"{name}: {value}" for _, _, name, _, _, value in tag_rows(path)],
+        "crs_wkt": next((keys[k][1][0] for k in (1026, 3073) if k in keys and "projcs[" in str(keys[k][1][0]).lower()), "PROJCS[]" if 3072 in keys else ""), "metadata": [f"{name}: {word or value}" for _, _, name, _, _, value, word in tag_rows(path)],
     }
 
 
-def tag_rows(path: str) -> list[tuple[str, int, str, str, int, str]]:
-    """(section, code, name, type, count, value) of every tag and geokey, in order."""
+def tag_rows(path: str) -> list[tuple[str, int, str, str, int, str, str | None]]:
+    """(section, code, name, type, count, value, keyword) of every tag and geokey, in order."""
     _, tags = directory(path)
     show = lambda v: ", ".join(map(str, v[:16])) + (" ..." if len(v) > 16 else "")
-    image = [("image", c, TAG_NAMES.get(c, f"Unknown {c}"), FIELD_NAMES[k], n, show(v)) for c, (k, n, v) in sorted(tags.items())]
-    return image + [("geokey", c, KEY_NAMES.get(c, f"Unknown {c}"), k, len(v), show(v)) for c, (k, v) in sorted(geokeys(tags).items())]
+    image = [("image", c, TAG_NAMES.get(c, f"Unknown {c}"), FIELD_NAMES[k], n, show(v), keyword(c, v[0]) if n == 1 else None) for c, (k, n, v) in sorted(tags.items())]
+    return image + [("geokey", c, KEY_NAMES.get(c, f"Unknown {c}"), k, len(v), show(v), keyword(c, v[0]) if len(v) == 1 else None) for c, (k, v) in sorted(geokeys(tags).items())]
 
 
 def unlzw(data: bytes) -> bytes:

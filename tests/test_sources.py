@@ -230,6 +230,19 @@ def test_tools_on_files(spark, tmp_path):
         assert geotiff.rows(str(tmp_path / f"{name}.tif"), 0, 6).shape == (6, 7)
     np.testing.assert_array_equal(geotiff.rows(str(tmp_path / "Whitebox2GeoTiff.tif"), 0, 6), z)
     registry.run(spark, "MaxElevationDeviation", ["dem.dep", "m.tif", "s.flt"], str(tmp_path), lambda s: None)
+    for name, want in (("Hillshade", None), ("DeviationFromMean", (-2.58, 2.58)), ("ElevationPercentile", (0, 100)), ("DifferenceFromMean", None), ("FillSmallNodataHoles", None)):
+        registry.run(spark, name, ["dem.dep", f"{name}.dep"], str(tmp_path), lambda s: None)
+        h = formats.Whitebox.header(str(tmp_path / f"{name}.dep"))
+        assert h["palette"] == {"Hillshade": "grey.pal", "FillSmallNodataHoles": "grey.pal"}.get(name, "blue_white_red.plt") and f"Created by {name}" in h["metadata"]
+        assert want is None or (h["display_min"], h["display_max"]) == want
+        assert name != "DifferenceFromMean" or h["display_min"] == -h["display_max"]
+    lat = str(tmp_path / "lat.dep")
+    formats.write(lat, formats.Whitebox, H | {"rows": 6, "cols": 7, "east": 17.0, "north": 26.0, "south": 20.0, "crs_wkt": ""}, z)
+    slopes = []
+    for how in ({}, {"compat": True}, {"geographic": False}):
+        registry.run(spark, "Slope", ["lat.dep", "o.flt"], str(tmp_path), lambda s: None, **how)
+        slopes.append(float(formats.ArcBinary.rows(str(tmp_path / "o.flt"), formats.ArcBinary.header(str(tmp_path / "o.flt")), 2, 3)[0, 3]))
+    assert slopes[0] != slopes[1] and slopes[2] > 10 > slopes[0]
     tags = registry.geotiff_tags(spark, str(tmp_path / "Slope.tif")).collect()
     assert ("image", 256, "ImageWidth") in {(t["section"], t["code"], t["name"]) for t in tags}
     df, h = read_raster(spark, src)

@@ -177,10 +177,11 @@ def breached_by_force(z, mode="complete", depth=math.inf, length=1 << 31, stream
     cell = {p: v for p, v in np.ndenumerate(z) if not np.isnan(v)}
     next_to = {p: [(p[0] + dy, p[1] + dx) for dx, dy in zip(DX, DY, strict=True)] for p in cell}
     edge = [p for p in cell if any(q not in cell for q in next_to[p])]
-    hollow = {p for p in cell if all(cell[q] >= cell[p] for q in next_to[p] if q in cell)}
+    counts = lambda p, q: streams is None or streams[p] <= 0 or streams[q] > 0
+    hollow = {p for p in cell if not any(cell[q] < cell[p] and counts(p, q) for q in next_to[p] if q in cell)}
     now = dict(cell)
     for p in hollow:
-        if beside := [cell[q] for q in next_to[p] if q in cell]:
+        if beside := [cell[q] for q in next_to[p] if q in cell and cell[q] >= cell[p]]:
             now[p] = min(beside) - small
     start, back = dict(now), {p: None for p in edge}
     late = {p: 0 if streams is None else int(streams[p] <= 0) for p in cell}

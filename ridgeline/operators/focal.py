@@ -1,13 +1,13 @@
-"""Neighbourhood statistics over boxes, by two passes of range frames."""
+"""Neighbourhood statistics over boxes, by two passes of running sums, or by tiles with a margin."""
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import beside, box_sums, by_col, by_row, extremes
+from .grid import beside, box_sums, by_col, by_row, extremes, running, with_small
 from .stats import fine_bin, regrouped
 
 
@@ -20,8 +20,8 @@ def mean_filter(df: DataFrame, size_x: int = 3, size_y: int | None = None) -> Da
 
 
 def _shifted(df: DataFrame, shift: Column) -> DataFrame:
-    """``z`` less a number of its grid, for sums that keep their digits; the grid's row is one for each raster."""
-    return df.join(F.broadcast(extremes(df).select("raster_id", shift.alias("_k"))), "raster_id").withColumn("z", F.col("z") - F.col("_k")).drop("_k")
+    """``z`` less a number of its grid, for sums that keep their digits."""
+    return with_small(df, extremes(df).select("raster_id", shift.alias("_k")), ["raster_id"]).withColumn("z", F.col("z") - F.col("_k")).drop("_k")
 
 
 def _middle() -> Column:
@@ -72,9 +72,9 @@ def max_elevation_deviation(df: DataFrame, least: int = 1, most: int = 3, step:
     z, counted = F.col("z"), _inner()
     parts = {"s": F.when(counted, z).otherwise(0.0), "q": F.when(counted, z * z).otherwise(0.0), "n": counted.cast("long")}
     flat = _shifted(df, _middle()).select(
-        "raster_id", "row", "col", "z", *[F.sum(e).over(by_row().rangeBetween(-r, r)).alias(f"{k}{r}") for r in radii for k, e in parts.items()]
+        "raster_id", "row", "col", "z", *[running(e, by_row(), r).alias(f"{k}{r}") for r in radii for k, e in parts.items()]
     )
-    full = flat.select("raster_id", "row", "col", "z", *[F.sum(f"{k}{r}").over(by_col().rangeBetween(-r, r)).alias(f"{k}{r}") for r in radii for k in parts])
+    full = flat.select("raster_id", "row", "col", "z", *[running(f"{k}{r}", by_col(), r).alias(f"{k}{r}") for r in radii for k in parts])
     found = []
     for r in radii:
         s, q, n = F.col(f"s{r}"), F.col(f"q{r}"), F.col(f"n{r}")
@@ -85,20 +85,48 @@ def max_elevation_deviation(df: DataFrame, least: int = 1, most: int = 3, step:
     return full.select("raster_id", "row", "col", best["d"].alias("magnitude"), (-best["r"]).cast("double").alias("scale"))
 
 
-def elevation_percentile(df: DataFrame, radius: int = 1, bins: int = 1) -> DataFrame:
-    """Where a cell stands among its box's cells, by ``bins`` groups of about equally many cells of the grid."""
+def elevation_percentile(df: DataFrame, radius: int = 1, bins: int = 1, side: int = 256) -> DataFrame:
+    """Where a cell stands among its box's cells, by ``bins`` groups of about equally many cells of the grid.
+
+    Tiles with a margin of ``radius`` (a tile is never narrower than its margins)
+    count each group by an integral image, so neither many groups nor a large
+    radius make the plan or a task's memory grow beyond a tile's cells.
+    """
     tagged = fine_bin(df)
-    mapped = tagged.join(F.broadcast(regrouped(tagged, bins)), ["raster_id", "fine"], "left")  # 10 000 rows a grid at most
-    counted = _inner()
-    sums = {f"b{k}": (counted & (F.col("bin") == k)).cast("long") for k in range(bins)}
-    sums = {k: F.coalesce(e, F.lit(0)) for k, e in sums.items()}
-    box = box_sums(mapped, sums, radius, radius, keep=("bin", "prob"))
-    counts = [F.col(f"b{k}") for k in range(bins)]
-    total = reduce(Column.__add__, counts)
-    less = reduce(Column.__add__, [F.when(F.col("bin") > k, c).otherwise(0) for k, c in enumerate(counts)])
-    own = reduce(Column.__add__, [F.when(F.col("bin") == k, c).otherwise(0) for k, c in enumerate(counts)])
-    value = F.when(total > 0, 100.0 * (less + F.col("prob") * own) / total)
-    return box.select("raster_id", "row", "col", F.when(F.col("z").isNotNull(), value).alias("z"))
+    cells = with_small(tagged, regrouped(tagged, bins), ["raster_id", "fine"], "left")  # 10 000 rows a grid at most
+    side = max(side, 2 * radius)
+    for name, c in (("tr", "row"), ("tc", "col")):
+        of = [F.floor((F.col(c) + d) / side).cast("int") for d in (-radius, 0, radius)]
+        cells = cells.withColumn(name, F.explode(F.array_distinct(F.array(*of))))
+
+    def count(p: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(p["tr"].iloc[0]), int(p["tc"].iloc[0])
+        row, col = p["row"].to_numpy() - tr * side, p["col"].to_numpy() - tc * side
+        own = (row >= 0) & (row < side) & (col >= 0) & (col < side)
+        group = p["bin"].to_numpy(np.float64)
+        counted = ~np.isnan(group) & (p["row"].to_numpy() > 0) & (p["col"].to_numpy() > 0)
+        size = side + 2 * radius + 1
+        row, col = row + radius + 1, col + radius + 1  # the first row and column of an integral image are zero
+        less, same, total = (np.zeros(int(own.sum())) for _ in range(3))
+        mine = np.nan_to_num(group[own], nan=-1)
+        r, c = row[own], col[own]
+        for k in range(bins):
+            one = np.zeros((size, size), np.int32)
+            at = counted & (group == k)
+            one[row[at], col[at]] = 1
+            image = one.cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)
+            a, b, x, y = r - radius - 1, r + radius, c - radius - 1, c + radius
+            n = image[b, y] - image[a, y] - image[b, x] + image[a, x]
+            total += n
+            less += n * (mine > k)
+            same += n * (mine == k)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = 100.0 * (less + p["prob"].to_numpy(np.float64)[own] * same) / total
+        z = np.where((total > 0) & (mine >= 0), z, np.nan)
+        return pd.DataFrame({"raster_id": p["raster_id"][own], "row": p["row"][own], "col": p["col"][own], "z": pd.Series(z, index=p.index[own])})
+
+    got = cells.select("raster_id", "row", "col", "tr", "tc", "bin", "prob").groupBy("raster_id", "tr", "tc").applyInPandas(count, "raster_id string, row int, col int, z double")
+    return got.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
 def fill_small_nodata_holes(df: DataFrame, compat: bool = False) -> DataFrame:
@@ -111,6 +139,6 @@ def fill_small_nodata_holes(df: DataFrame, compat: bool = False) -> DataFrame:
     if compat:
         last = df.groupBy("raster_id").agg(F.max("row").alias("_last"))
         inside = (F.col("row") > 0) & (F.col("row") < F.col("_last"))
-        one = one.join(F.broadcast(last), "raster_id").select("raster_id", "row", "col", F.when(inside, F.col("z")).alias("z"))
+        one = with_small(one, last, ["raster_id"]).select("raster_id", "row", "col", F.when(inside, F.col("z")).alias("z"))
     mean = (beside("z", "col", -1, by_row()) + beside("z", "col", 1, by_row())) / 2
     return one.select("raster_id", "row", "col", F.coalesce(F.col("z"), mean).alias("z"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import NAMES
+from ..session import settled
 
 
 def by_row():
@@ -49,11 +50,26 @@ def neighbours(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return flat.withColumns(up | down).select("raster_id", "row", "col", "z", *keep, *NAMES)
 
 
+def running(value: str | Column, window, radius: int) -> Column:
+    """The sum within ``radius`` on either side, as the difference of two running sums: the cost doesn't grow with the radius."""
+    value = F.col(value) if isinstance(value, str) else value
+    upto = lambda end: F.coalesce(F.sum(value).over(window.rangeBetween(W.unboundedPreceding, end)), F.lit(0))
+    return upto(radius) - upto(-radius - 1)
+
+
 def box_sums(df: DataFrame, sums: dict[str, Column], rx: int, ry: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Sums of expressions over the box of ``rx`` columns and ``ry`` rows on either side, clipped at the edges."""
-    row, col = by_row().rangeBetween(-rx, rx), by_col().rangeBetween(-ry, ry)
-    flat = df.select("raster_id", "row", "col", "z", *keep, *[F.sum(e).over(row).alias(k) for k, e in sums.items()])
-    return flat.select("raster_id", "row", "col", "z", *keep, *[F.sum(k).over(col).alias(k) for k in sums])
+    """Sums of expressions (null counts as 0) over the box of ``rx`` columns and ``ry`` rows on either side, clipped at the edges."""
+    flat = df.select("raster_id", "row", "col", "z", *keep, *[running(e, by_row(), rx).alias(k) for k, e in sums.items()])
+    return flat.select("raster_id", "row", "col", "z", *keep, *[running(k, by_col(), ry).alias(k) for k in sums])
+
+
+BROADCAST_ROWS = 100_000
+
+
+def with_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of few rows a grid: settled, counted, and only broadcast if it is small, for there may be very many grids."""
+    small = settled(small)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
 def prefix_sums(df: DataFrame, value: Column, name: str = "s") -> DataFrame:

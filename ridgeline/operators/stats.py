@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import extremes
+from .grid import extremes, with_small
 
 FINE = 10_000
 
@@ -16,7 +16,7 @@ def fine_bin(df: DataFrame) -> DataFrame:
     ends = extremes(df).select("raster_id", "min_z", (F.ceil(F.col("max_z") - F.col("min_z")) / FINE).alias("_size"))
     at = F.least(F.floor((F.col("z") - F.col("min_z")) / F.col("_size")), F.lit(FINE - 1))
     fine = F.when(F.col("z").isNotNull(), F.when(F.col("_size") > 0, at).otherwise(0)).cast("int")
-    return df.join(F.broadcast(ends), "raster_id").withColumn("fine", fine).drop("min_z", "_size")
+    return with_small(df, ends, ["raster_id"]).withColumn("fine", fine).drop("min_z", "_size")
 
 
 def quantiles(df: DataFrame, bins: int = 1) -> DataFrame:
@@ -27,7 +27,7 @@ def quantiles(df: DataFrame, bins: int = 1) -> DataFrame:
     share = 100.0 * F.sum("n").over(of.orderBy("fine")) / F.sum("n").over(of)
     cls = F.least(F.floor(share / (100.0 / bins)), F.lit(bins - 1)) + 1
     classes = hist.select("raster_id", "fine", cls.cast("double").alias("class"))
-    out = tagged.join(F.broadcast(classes), ["raster_id", "fine"], "left")
+    out = with_small(tagged, classes, ["raster_id", "fine"], "left")
     return out.select("raster_id", "row", "col", F.col("class").alias("z"))
 
 

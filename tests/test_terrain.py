@@ -240,3 +240,41 @@ def test_breach_streams(spark):
     for k, z in grids.items():
         np.testing.assert_allclose(got[k], breached_by_force(z, streams=streams[k]), atol=1e-9)
         assert not np.array_equal(got[k], z, equal_nan=True)
+
+
+@pytest.mark.parametrize("radius,bins", [(1, 3), (4, 40), (9, 2)])
+def test_percentile_tiles(spark, radius, bins):
+    """Small tiles, boxes wider than a tile, many groups: the counts of a plain loop."""
+    grids = {"a": rough(9, 21, 13), "b": rough(10, 6, 25, 0.4, 5)}
+    df = cells(spark, grids)
+    tagged = stats.fine_bin(df)
+    groups = {(r["raster_id"], r["row"], r["col"]): (r["bin"], r["prob"]) for r in tagged.join(stats.regrouped(tagged, bins), ["raster_id", "fine"]).collect()}
+    got = arrays(focal.elevation_percentile(df, radius, bins, side=4))
+    for k, z in grids.items():
+        for (r, c), v in np.ndenumerate(z):
+            box = [groups[k, i, j][0] for i in range(max(1, r - radius), r + radius + 1) for j in range(max(1, c - radius), c + radius + 1) if (k, i, j) in groups]
+            if np.isnan(v) or not box:
+                assert np.isnan(got[k][r, c])
+            else:
+                g, prob = groups[k, r, c]
+                assert got[k][r, c] == pytest.approx(100 * (sum(b < g for b in box) + prob * box.count(g)) / len(box))
+
+
+def test_boxes_of_any_radius(spark):
+    z = rough(11, 15, 18)
+    df = cells(spark, {"a": z})
+    for rx, ry in ((1, 1), (2, 0), (30, 3)):
+        got = arrays(focal.mean_filter(df, 2 * rx + 1, 2 * ry + 1))["a"]
+        want = [[np.nan if np.isnan(v) else np.nanmean(z[max(0, r - ry) : r + ry + 1, max(0, c - rx) : c + rx + 1]) for c, v in enumerate(line)] for r, line in enumerate(z)]
+        np.testing.assert_allclose(got, want)
+
+
+def test_many_grids_are_not_broadcast(spark, monkeypatch):
+    from ridgeline.operators import grid as grids
+
+    df = cells(spark, {k: rough(12, 4, 5) for k in "abcd"})
+    want = arrays(focal.deviation_from_mean(df, 1))
+    monkeypatch.setattr(grids, "BROADCAST_ROWS", 2)
+    got = focal.deviation_from_mean(df, 1)
+    for k, z in arrays(got).items():
+        np.testing.assert_allclose(z, want[k])

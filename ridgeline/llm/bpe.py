@@ -2,7 +2,7 @@
 
 For every prefix of a word the encoder stores the one token that ends the
 prefix's encoding.  The candidates are the vocabulary tokens that are suffixes
-of the prefix (found by a suffix automaton over the vocabulary); a candidate is
+of the prefix (found by an Aho-Corasick automaton over the vocabulary, which gives all of a prefix's suffixes that are tokens); a candidate is
 right if the token stored for what precedes it is *compatible*: merging the two
 tokens' texts together gives just these two tokens.  Exactly one candidate
 passes, so following the back-pointers from the last prefix gives the ids that

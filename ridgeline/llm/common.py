@@ -1,58 +1,13 @@
-"""What the corpus operators share: row keys, shared storage, text columns."""
+"""What the corpus operators share: row keys, and tables settled in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests only) a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="ridgeline-"))
-    return f"file://{_LOCAL[0]}"
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` through Hadoop's file system layer; a session that has ended is left alone."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM is gone: nothing can be deleted any more
-        pass
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(forget, spark, path)
-    return path
+from ..session import delete, forget, new_path, settled, shared_dir
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage so that a lost executor never recomputes what came
-    before, and it fixes values that depend on partitioning.  The files go when
-    the driver ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+materialize = settled
 
 
 def keyed(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
@@ -75,3 +30,6 @@ def keyed(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+__all__ = ["delete", "forget", "keyed", "materialize", "new_path", "partitions", "shared_dir"]

@@ -171,6 +171,11 @@ class LibraryIds:
         self.tokenizer.no_padding()
         self.table: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        # what the tables rest on is asked of the vocabulary, not taken for granted
+        words, gaps = ("Hello", "WORLD", "\u00e9t\u00c9", "naïve", "don't", "x1", "中文", "a"), (" ", "  ", "\n", "\t\n ")
+        one = lambda t: self.ids([t])[0]
+        self.chunked = all(one(f"{g}{a}{g}{b}{g}") == one(a) + one(b) for a in words for b in words[:4] for g in gaps)
+        self.folded = self.chunked and all(one(w) == one(w.lower()) and one(w + m) == one(w) + one(m) for w in words[:4] for m in ".,;:!?")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -185,14 +190,14 @@ class LibraryIds:
         return {c: raw[cut[k] : cut[k + 1]] for k, c in enumerate(chunks)}
 
     def learn(self, chunks: list[str]) -> None:
-        """Enter chunks into the table.  Letters and one mark behind them are words of their own to the
-        tokenizer, and case is dropped, so such a chunk is put together from what is known of its parts."""
+        """Enter chunks into the table.  Where letters and one mark behind them are words of their own to the
+        tokenizer, and case is dropped, such a chunk is put together from what is known of its parts."""
         table, words, match = self.table, self.words, PLAIN.fullmatch
         if len(table) + len(chunks) > CACHE_CHUNKS:
             table.clear()
         if len(words) > CACHE_CHUNKS:
             words.clear()
-        parts = [(c, m[1].lower(), m[2]) for c in chunks if (m := match(c))]
+        parts = [(c, m[1].lower(), m[2]) for c in chunks if (m := match(c))] if self.folded else []
         lacking = list({w for _, w, _ in parts if w not in words} | {m for _, _, m in parts if m and m not in words})
         for at in range(0, len(lacking), 2_000):
             words.update(self.apart(lacking[at : at + 2_000]))
@@ -206,7 +211,10 @@ class LibraryIds:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; what the table lacks is looked for once for all the texts."""
+        """Ids of each text; what the table lacks is looked for once for all the texts.  Whole texts go to the library
+        where white space doesn't part them into chunks of their own."""
+        if not self.chunked:
+            return self.ids(texts)
         out: list[bytes] = [b""] * len(texts)
         table, lacking, new = self.table, [], set()
         for k, text in enumerate(texts):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed, materialize, new_path
+from .common import forget, keyed, materialize
 
 RUN = 3
 LEAST_WORDS = 12
@@ -109,7 +109,7 @@ def said(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
 def runs(counts: list[int], run: int, least_words: int) -> list[tuple[int, int]]:
     """From each sentence the least run of ``run`` or more that hold ``least_words``; at last one up to the end of the text.
 
-    A text with fewer sentences or words in all has no run.
+    A text with fewer sentences is one run if it holds the words, else it has none.
     """
     out, z, words = [], 0, 0
     for a, count in enumerate(counts):
@@ -122,7 +122,7 @@ def runs(counts: list[int], run: int, least_words: int) -> list[tuple[int, int]]
         words -= count
     if out and out[-1][1] < len(counts):
         out.append((out[-1][0], len(counts)))
-    return out
+    return out or ([(0, len(counts))] if sum(counts) >= least_words else [])
 
 
 def span_hashes(text: str, run: int, least_words: int) -> list[tuple[int, int]]:
@@ -190,23 +190,23 @@ def remove_repeated_spans(
 
     ``kept`` is the text without the removed sentences; ``removed`` has their
     character places.  A null text stays null.  Of equal spans the one with the
-    least id (then the earliest) stays; of repeated rows one stays.  Texts of
-    fewer than ``run`` sentences come back whole, as do empty ones; an empty
-    table gives an empty result; other columns are ignored.
+    least id (then the earliest) stays; of repeated rows one stays.  A text of
+    fewer than ``run`` sentences is a span of its own; texts of fewer than
+    ``least_words`` words come back whole, as do empty ones; an empty table gives
+    an empty result; other columns are ignored.
     """
     names = (id_col, *carry)
     kinds = [docs.schema[c].dataType.simpleString() for c in names]
     whole = keyed(docs, id_col, text_col, *carry)
     whole = whole.select("rk", F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])
     spark = docs.sparkSession
-    hashed = spans(whole.select("rk", "t").filter("t is not null"), run, least_words)
-    path = new_path(spark, "spans")
-    hashed.write.parquet(path)
-    found = spark.read.schema(hashed.schema).parquet(path)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = materialize(found.join(often, "h", "left_semi"), "repeated")
-    forget(spark, path)  # nothing below reads it, and it is as large as half the texts
-    first = found.groupBy("h").agg(F.min(F.struct("rk", "at")).alias("first"))
+    every = materialize(spans(whole.select("rk", "t").filter("t is not null"), run, least_words), "spans")
+    # what spans are joined with is settled, so that a passage of very many documents is a key whose rows Spark can split
+    often = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
+    found = materialize(every.join(often, "h", "left_semi"), "repeated")
+    forget(spark, every)  # nothing below reads it, and it is as large as half the texts
+    forget(spark, often)
+    first = materialize(found.groupBy("h").agg(F.min(F.struct("rk", "at")).alias("first")), "first")
     again = found.join(first, "h").filter(F.struct("rk", "at") != F.col("first"))
     hits = again.groupBy("rk").agg(F.collect_set("at").alias("hits"))  # as many as the document has sentences
     out = whole.join(hits, "rk", "left").select("t", "hits", *[f"_k{i}" for i in range(len(names))])

@@ -240,5 +240,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(roots, "roots")
     linked = roots.join(points, roots["node"] == points["fp"]).groupBy("root").agg(F.min("least").alias("c"))
     named = roots.join(linked, "root").select(F.col("node").alias("fp"), "c")
-    of = points.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
+    of = materialize(points.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id")), "of")
+    # settled, so that this join has an exchange on either side and a fingerprint of very many rows can be split
     return prints.join(of, "fp").select(id_col, "fp", "component_id")

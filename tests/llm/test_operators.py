@@ -121,6 +121,27 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.encode(documents(spark), VOCAB).count() == 13 and bpe.encode(empty(spark), VOCAB).count() == 0
 
 
+def test_packing_with_any_vocabulary():
+    """Vocabularies that keep case, or the white space, are encoded right too."""
+    import pathlib
+
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World! HELLO", "", " a  b\n", "Don't stop: été", "x" * 50 + " 12,5%"]
+    found = sorted(pathlib.Path(VOCAB).parent.rglob("*.json"))
+    kinds = set()
+    for path in found:
+        try:
+            lib = Tokenizer.from_file(str(path))
+        except Exception:
+            continue
+        own = packing.LibraryIds(str(path))
+        kinds.add((own.chunked, own.folded))
+        for t, ids in zip(texts, own.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert (True, True) in kinds
+
+
 def test_packing(spark):
     got = packing.pack(documents(spark), VOCAB, capacity=64).toPandas()
     at = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
@@ -158,6 +179,44 @@ def test_sentences_of_few_words(spark):
     assert [sentence_dedup.runs(c, 3, 12) for c in ([1] * 14, [12, 1, 1, 1], [5, 5], [1, 2, 3])] == [[(0, 12), (1, 13), (2, 14)], [(0, 3), (0, 4)], [], []]
 
 
+def kept_by_force(texts):
+    """Runs as lists of words, the first in the order of documents and runs; what any other covers goes."""
+    first, hits = {}, {}
+    for d, t in enumerate(texts):
+        _, what, counts = sentence_dedup.said(t)
+        runs = []
+        for a in range(len(what)):
+            z = next((z for z in range(a + 3, len(what) + 1) if sum(counts[a:z]) >= 12), None)
+            if z is None:
+                break
+            runs.append((a, z))
+        if runs and runs[-1][1] < len(what):
+            runs.append((runs[-1][0], len(what)))
+        if not runs and sum(counts) >= 12:
+            runs = [(0, len(what))]
+        for r in runs:
+            key = tuple(what[r[0] : r[1]])
+            if first.setdefault(key, (d, r)) != (d, r):
+                hits.setdefault(d, set()).update(range(*r))
+    out = []
+    for d, t in enumerate(texts):
+        where = sentence_dedup.said(t)[0]
+        gone = {i for k in hits.get(d, ()) for i in range(*where[k])}
+        out.append("".join(c for i, c in enumerate(t) if i not in gone))
+    return out
+
+
+def test_sentences_against_brute_force(spark):
+    r = random.Random(60)
+    pool = [words(400 + k, r.randint(3, 25)) + r.choice((". ", "! ", ".\n", ", ", " | ")) for k in range(40)]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(120)]
+    texts += [texts[0], words(7, 20), words(7, 20), words(7, 5), words(7, 5), "", "  ", "\u3042" * 60, "\u3042" * 60, texts[1] * 40]
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, at int, h string").repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in sentence_dedup.remove_repeated_spans(df).collect()}
+    assert [got[k] for k in range(len(texts))] == kept_by_force(texts)
+    assert got[122] == "" and got[124] == words(7, 5) and got[128] == "" and sentence_dedup.remove_repeated_spans(empty(spark)).count() == 0
+
+
 def test_long_sentences_share_a_run():
     r = random.Random(30)
     for k in range(300):
@@ -340,9 +399,55 @@ def test_toxicity(spark):
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in got)
     assert np.mean([x["predicted"] == int(x["doc_id"] % 3 == 0) for x in held]) > 0.95
     none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(empty(spark), none).count() == 0
     assert toxicity.score(documents(spark), none).count() == 13
 
 
+def test_toxicity_gradient_and_blocks(monkeypatch):
+    """The gradient against differences, pooling over blocks against one block, and the sample's bounds."""
+    r = np.random.default_rng(2)
+    ids = toxicity.hashed(words(70, 60))
+    net = toxicity.Network.new(3)
+    net.embed = r.normal(0, 0.3, net.embed.shape).astype(np.float64)
+    net.kernels = [k.astype(np.float64) for k in net.kernels]
+    most, where = net.pooled(ids)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    again = net.pooled(ids)
+    np.testing.assert_allclose(again[0], most, rtol=1e-5)
+    assert (again[1] == where).all()
+    loss = lambda: float(np.log1p(np.exp(-net.logit(ids))))  # noqa: E731  of label 1
+    before, old = loss(), net.embed.copy()
+    net.fit([ids], np.array([1.0], np.float32), epochs=1, rate=1e-4)
+    moved = np.abs(net.embed - old).max(1) > 0
+    assert loss() < before and set(np.flatnonzero(moved)) <= set(ids.ravel().tolist())
+    assert toxicity.best_threshold(np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0])) == 1.5 and toxicity.auc(np.array([0.1, 0.9]), np.array([0, 1])) == 1
+
+
+def test_toxicity_sample(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + 50 * (k % 3)), "en") for k in range(200)] + [(500, None, "en"), (501, "x " * 200_000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(200), 500, 501]], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 100).collect()
+    assert len(got) == 100 and {r["y"] for r in got} == {0, 1}
+    few = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 100, words=1000).collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r["t"].split()) for r in few if r["y"] == y and r["t"]) <= 500 or sum(r["y"] == y for r in few) == 1
+
+
+def test_toxicity_stems(spark):
+    """Marks that are never twice the same word, in languages with few labelled rows: their stems tell."""
+    r = random.Random(41)
+    def text(k, lang, bad):
+        w = words(9000 + k, 40).split()
+        return " ".join(w[:20] + [lang[0] + "qzxv" + words(70_000 + k, 1)] * bad + w[20:])
+    rows = [(k, lang, r.random() < 0.3) for k in range(900) for lang in [r.choice(("en", "en", "en", "de", "es"))]]
+    docs = spark.createDataFrame([(k, text(k, lang, bad), lang) for k, lang, bad in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(bad)) for k, _, bad in rows], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score(docs, labels).collect()}
+    for lang in ("en", "de", "es"):
+        own = [(got[k]["score"], bad) for k, name, bad in rows if name == lang and got[k]["held_out"]]
+        assert toxicity.auc(np.array([o[0] for o in own]), np.array([o[1] for o in own])) > 0.9
+
+
 def nearest_by_force(rows, queries, k):
     """(query_id, rank, vec_id, score) over (id, vector) rows; of each query's own rows one is left out."""
     out = []

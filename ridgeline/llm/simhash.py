@@ -16,11 +16,16 @@ anchor is compared there, and only a spanning forest of the links found is
 emitted, so that a group of near copies costs edges in proportion to its size.
 An anchor with more than ``HOT`` fingerprints is cut into blocks that are
 compared two by two, in different tasks.
+
+``similar_documents`` finds what is alike in its word shingles, however the
+threshold of bits would fall: fingerprints of the set of words, which differ in
+few bits even where shingles differ in a fifth, propose candidates at the anchors
+(radius plus 2, ``WIDE_THRESHOLD`` bits), and the shingles themselves decide.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import forget, keyed, materialize, partitions
 from .components import components
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -111,22 +116,27 @@ def anchors_of(block: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray,
     return row, block[row] ^ patterns[at], over[at]
 
 
-def placements(fp: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each fingerprint is compared: (row, anchor, at home there)."""
+def placements(fp: np.ndarray, pairs: bool, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each fingerprint is compared: (row, anchor, at home there).
+
+    Of ``threshold`` differing bits at most a third fall into some block, and at
+    most two thirds into some pair of blocks.
+    """
     u = fp.view(np.uint64)
     parts = [((u >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in BLOCKS]
     rows, keys, homes = [], [], []
     if not pairs:
         for k, part in enumerate(parts):
-            row, code, over = anchors_of(part, 1)
+            row, code, over = anchors_of(part, threshold // 3)
             rows.append(row)
             keys.append(code | k << 48)
             homes.append(over == 0)
     else:
+        most = 2 * threshold // 3
         for k, (i, j) in enumerate(combinations(range(3), 2)):
-            row, code, over = anchors_of(parts[i], 2)
-            row2, code2, over2 = anchors_of(parts[j][row], 2)
-            keep = over[row2] + over2 <= 2
+            row, code, over = anchors_of(parts[i], most)
+            row2, code2, over2 = anchors_of(parts[j][row], most)
+            keep = over[row2] + over2 <= most
             rows.append(row[row2][keep])
             keys.append((code[row2] << 23 | code2 | k << 48)[keep])
             homes.append((over[row2] + over2 == 0)[keep])
@@ -155,72 +165,199 @@ def forest(left: np.ndarray, right: np.ndarray, threshold: int, step: int = 1 <<
     return out
 
 
-def _compare(threshold: int):
-    """Groups arrive ordered by (anchor, cut); a group's home rows are compared with all its rows."""
-
-    def emit(edges):
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _compare(group):
+    """Groups arrive ordered by (anchor, cut); ``group`` gets a group's columns and gives a batch or None."""
 
     def run(batches):
         key, rest = None, []
         for b in batches:
             k = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-            fp, side = b.column(2).to_numpy(), b.column(3).to_numpy()
+            cols = [b.column(c).to_numpy() for c in range(2, b.num_columns)]
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if x == y:
                     continue
                 if key != (now := tuple(k[x].tolist())):
-                    if rest and (edges := _group(rest, threshold)):
-                        yield emit(edges)
+                    if rest and (out := group(*map(np.concatenate, zip(*rest, strict=True)))) is not None:
+                        yield out
                     key, rest = now, []
-                rest.append((fp[x:y], side[x:y]))
-        if rest and (edges := _group(rest, threshold)):
-            yield emit(edges)
+                rest.append([c[x:y] for c in cols])
+        if rest and (out := group(*map(np.concatenate, zip(*rest, strict=True)))) is not None:
+            yield out
 
     return run
 
 
-def _group(rest, threshold):
-    fp, side = (np.concatenate([r[k] for r in rest]) for k in (0, 1))
-    if len(fp) < 2:
-        return []
-    return forest(np.ascontiguousarray(fp[side & 1 > 0]), np.ascontiguousarray(fp[side & 2 > 0]), threshold)
+def _met(points: DataFrame, threshold: int, pairs: bool, hot: int) -> DataFrame:
+    """``(anchor, cut, side, fp, ...)``: the rows of ``points`` (``fp`` and other longs) at every anchor they are compared at, in order.
 
-
-def links(points: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
-    """Edges ``(a, b)`` that connect just what links of at most ``threshold`` (4 or less) bits connect, over distinct ``fp``."""
-    if threshold > THRESHOLD:
-        raise ValueError("the anchors cover at most 4 differing bits")
-    spark = points.sparkSession
-    n = points.count()
-    pairs = n > MANY
+    ``side`` has 1 for what is at home there and 2 for what it is compared with; a
+    hot anchor's rows are dealt to cuts, each a block of homes with a block of all.
+    """
+    names = points.columns
+    step = 2048 if pairs else 16384
 
     def place(batches):
         for b in batches:
-            fp = b.column(0).to_numpy()
-            for at in range(0, len(fp), 2048 if pairs else 16384):
-                part = np.ascontiguousarray(fp[at : at + (2048 if pairs else 16384)])
-                row, key, home = placements(part, pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(part[row]), pa.array(np.where(home, 3, 2).astype(np.int32))], ["anchor", "fp", "side"]
-                )
-
-    placed = points.select("fp").mapInArrow(place, "anchor long, fp long, side int")
+            fp = np.ascontiguousarray(b.column("fp").to_numpy())
+            for at in range(0, len(fp), step):
+                row, key, home = placements(fp[at : at + step], pairs, threshold)
+                take = pa.array(row + at)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(home, 3, 2).astype(np.int32)), *[c.take(take) for c in b.columns]], ["anchor", "side", *names])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    placed = points.mapInArrow(place, f"anchor long, side int, {fields}")
     sizes = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     sizes = materialize(sizes.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("k")), "hot")
     placed = placed.withColumn("cut", F.lit(0))
-    if sizes.limit(1).count():
+    if not sizes.isEmpty():
         # k blocks of homes times k blocks of all: a row's side 1 is compared with side 2
         wide = placed.join(sizes, "anchor", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+        mine = F.pmod(F.xxhash64(*names), F.col("k")).cast("int")
         every = F.sequence(F.lit(0), F.col("k") - 1)
         as_home = F.when(F.col("side") == 3, F.transform(every, lambda x: F.struct((mine * F.col("k") + x).alias("cut"), F.lit(1).alias("side"))))
         as_all = F.transform(every, lambda x: F.struct((x * F.col("k") + mine).alias("cut"), F.lit(2).alias("side")))
         parts = F.explode(F.concat(F.coalesce(as_home, F.array().cast("array<struct<cut:int,side:int>>")), as_all))
-        placed = wide.select("anchor", "fp", parts.alias("p")).select("anchor", "fp", F.col("p.side").alias("side"), F.col("p.cut").alias("cut"))
-    grouped = placed.select("anchor", "cut", "fp", "side").repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
-    return grouped.mapInArrow(_compare(threshold), "a long, b long")
+        placed = wide.select("anchor", *names, parts.alias("p")).select("anchor", *names, F.col("p.side").alias("side"), F.col("p.cut").alias("cut"))
+    return placed.select("anchor", "cut", "side", *names).repartition(partitions(points.sparkSession), "anchor", "cut").sortWithinPartitions("anchor", "cut")
+
+
+def links(points: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, many: int = MANY) -> DataFrame:
+    """Edges ``(a, b)`` that connect just what links of at most ``threshold`` (4 or less) bits connect, over distinct ``fp``."""
+    if threshold > THRESHOLD:
+        raise ValueError("the anchors cover at most 4 differing bits")
+    pairs = points.count() > many
+
+    def group(side, fp):
+        if len(fp) < 2:
+            return None
+        edges = forest(np.ascontiguousarray(fp[side & 1 > 0]), np.ascontiguousarray(fp[side & 2 > 0]), threshold)
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]) if edges else None
+
+    return _met(points.select("fp"), threshold, pairs, hot).mapInArrow(_compare(group), "a long, b long")
+
+
+# ---- similarity of shingles ----
+
+WIDE_THRESHOLD = 8
+FIRST_NEAREST = 4
+
+
+def word_fingerprint(words: list[bytes]) -> int:
+    """SimHash of the set of words."""
+    if not words:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    bits = 2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) > len(h)
+    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct hashes of the word shingles; of the whole sequence where it is shorter; of no words, none."""
+    n = max(1, len(words) - size + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + size]), 1) for k in range(n)], np.uint64)).view(np.int64)
+
+
+def _nearest(threshold: int, similarity: float, most: int):
+    """Of a group's homes the ``most`` nearest others of another component whose numbers of shingles allow the similarity."""
+
+    def group(side, fp, node, n, comp):
+        home, every = np.flatnonzero(side & 1 > 0), np.flatnonzero(side & 2 > 0)
+        if not len(home) or not len(every):
+            return None
+        u, found = fp.view(np.uint64), []
+        rows = max(1, (1 << 22) // len(every))
+        for at in range(0, len(home), rows):
+            h = home[at : at + rows]
+            d = np.bitwise_count(u[h][:, None] ^ u[every][None, :])
+            m, o = n[h][:, None], n[every][None, :]
+            d[(comp[h][:, None] == comp[every][None, :]) | (np.minimum(m, o) < similarity * np.maximum(m, o) - 1e-9)] = 255
+            fits = (d <= threshold).sum(1)
+            for k in np.flatnonzero(fits):
+                near = np.flatnonzero(d[k] <= threshold)
+                if fits[k] > most:
+                    near = near[np.argsort(d[k][near], kind="stable")[:most]]
+                found.append((np.full(len(near), node[h[k]]), node[every[near]], np.full(len(near), fits[k] > most)))
+        if not found:
+            return None
+        a, b, more = map(np.concatenate, zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+
+    return group
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, threshold: int = WIDE_THRESHOLD, hot: int = HOT,
+    nearest: int = FIRST_NEAREST,
+) -> DataFrame:
+    """``(<id_col>, component_id)``, a row for a row: documents are linked if the Jaccard similarity of their sets of word
+    shingles is at least ``similarity`` and the fingerprints of their sets of words differ in at most ``threshold`` bits.
+
+    ``component_id`` is the least row key that links reach (the id itself, where
+    ids are integers without null or repeats).  A-Z count as a-z.  Equal word
+    sequences are one node, so copies are never compared.  A node is first
+    compared in shingles with its ``nearest`` nearest candidates of each block,
+    then, with its component's other nodes left out, with four times as many, until
+    no candidate outside the component is left untried: large groups of copies
+    merge in the first rounds, and no link is lost.  Null, empty and wordless texts
+    are one node; an empty table gives an empty result; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = keyed(docs, id_col, text_col).select("rk", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+
+    def sketch(batches):
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                words = (t or "").encode().lower().split()
+                raw = xxhash.xxh3_128_digest(b" ".join(words))
+                out.append((int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True), word_fingerprint(words), len(shingles(words, size))))
+            d1, d2, fp, n = zip(*out, strict=True) if out else ([],) * 4
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["rk", "d1", "d2", "fp", "n"]
+            )
+
+    prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long"), "prints")
+    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"))
+
+    def cut(batches):
+        for b in batches:
+            sets = [shingles((t or "").encode().lower().split(), size) for t in b.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["node", "s"])
+
+    good, roots, most = [], None, nearest
+    while True:
+        tried = _met(points, threshold, False, hot).mapInArrow(_compare(_nearest(threshold, similarity, most)), "a long, b long, more boolean")
+        tried = materialize(tried.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        ends = materialize(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        texts = rows.select(F.col("rk").alias("node"), "_t").join(ends, "node", "left_semi")
+        sets = materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
+        both = tried.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        same = F.size(F.array_intersect("x", "y"))
+        linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("m")).filter(F.col("m") >= similarity * (F.col("nx") + F.col("ny") - F.col("m")) - 1e-9)
+        linked = materialize(linked.select("a", "b"), "links")
+        left = not tried.filter("more").isEmpty()
+        for table in (tried, ends, sets):
+            forget(spark, table)
+        if not linked.isEmpty():
+            good.append(linked)
+            roots = materialize(components(reduce(DataFrame.unionByName, good), "a", "b"), "roots")
+            found = roots.select("node", "root")
+            points = materialize(points.drop("comp").join(found, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("comp")), "points")
+        if not left:
+            break
+        most *= 4
+    of = nodes.select("d1", "d2", "node")
+    if roots is not None:
+        of = of.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
+    else:
+        of = of.withColumnRenamed("node", "component_id")
+    of = prints.join(materialize(of, "of"), ["d1", "d2"]).select("rk", "component_id")
+    return rows.select("rk", "_id").join(of, "rk").select(F.col("_id").alias(id_col), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

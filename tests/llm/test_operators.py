@@ -280,8 +280,8 @@ def test_simhash(spark):
     from ridgeline.llm.components import components
 
     points = spark.createDataFrame([(int(x),) for x in fp], "fp long")
-    for hot in (20_000, 8):
-        got = {r["node"]: r["root"] for r in components(simhash.links(points, hot=hot), "a", "b").collect()}
+    for how in ({}, {"hot": 8}, {"many": 10}, {"many": 10, "hot": 3}):
+        got = {r["node"]: r["root"] for r in components(simhash.links(points, **how), "a", "b").collect()}
         assert [got.get(int(x), int(x)) for x in fp] == [int(fp[k]) for k in root]
     rows = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(documents(spark)).collect()}
     assert {(2, 2), (7, 2), (3, 3), (4, 3)} <= rows and simhash.near_duplicates(empty(spark)).count() == 0
@@ -290,6 +290,44 @@ def test_simhash(spark):
         assert home.sum() == 3 * len(fp)
 
 
+@pytest.mark.parametrize("how", [{}, {"hot": 7, "nearest": 1}])
+def test_similar_documents(spark, how):
+    """Components against all pairs: chains, edited copies around the limit, copies, case, short and empty texts."""
+    r = random.Random(90)
+    base = [words(500 + k, 120).split() for k in range(6)]
+    texts = []
+    for w in base:
+        for _ in range(9):
+            edited = list(w)
+            for _ in range(r.randint(0, 5)):
+                edited[r.randrange(len(edited))] = words(r.randint(0, 10**6), 1)
+            texts.append(" ".join(edited))
+    texts += [texts[0], texts[0].upper(), "A b", "a B", "a c", "", None, "  ", words(7, 300), words(7, 300) + " " + words(8, 30)]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(texts)], "doc_id long, text string, node int, fp int").repartition(3)
+    sets = [set(simhash.shingles((t or "").encode().lower().split(), 5).tolist()) for t in texts]
+    fps = [simhash.word_fingerprint((t or "").encode().lower().split()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = sets[a] == sets[b] if not (sets[a] and sets[b]) else len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+            if alike:
+                near = (fps[a] ^ fps[b]).bit_count() <= 8
+                n += not near
+                if near and find(a) != find(b):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(df, **how).collect()}
+    assert [got[k] for k in range(len(texts))] == [find(k) for k in range(len(texts))] and n <= 5
+    assert len(set(got.values())) < 40 and simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_pii(spark):
     r = random.Random(5)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -24,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id.
+    """One document of each group of near-duplicates (similarity of at least 0.8 in five-word shingles): the one with the least id.
 
     Rows with null or repeated ids are told apart by row keys, so one of each
     group stays whatever the ids are.
     """
     rows = keyed(docs, *COLUMNS)
-    groups = simhash.near_duplicates(rows.select("rk", "text"), id_col="rk")
+    groups = simhash.similar_documents(rows.select("rk", "text"), id_col="rk", size=5, similarity=0.8)
     first = groups.filter("rk = component_id").select("rk")
     return rows.join(first, "rk", "left_semi").select(*COLUMNS)
 

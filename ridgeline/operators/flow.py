@@ -7,6 +7,7 @@ next round, so the rounds are the tiles that the longest path crosses.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -69,9 +70,10 @@ def _fd8_shares(t: Tile) -> np.ndarray:
 def _drained(t: Tile, shares: np.ndarray, places: np.ndarray, values: np.ndarray, first: bool) -> np.ndarray:
     """What passes each cell of a tile, and what arrives in its ring, when ``values`` come in (and 1 to every cell, at first)."""
     acc = np.zeros(len(t.z))
-    if first:
-        acc[t.valid] = 1.0
     np.add.at(acc, places, values)
+    if not first:
+        return _trickled(t, shares, acc, places)
+    acc[t.valid] += 1.0
     water = acc.tolist()
     order = np.argsort(-t.z[t.valid], kind="stable")
     for i, own, to in zip(t.valid[order].tolist(), shares.T[order].tolist(), (t.valid[order][:, None] + t.steps).tolist(), strict=True):
@@ -82,6 +84,25 @@ def _drained(t: Tile, shares: np.ndarray, places: np.ndarray, values: np.ndarray
     return np.array(water)
 
 
+def _trickled(t: Tile, shares: np.ndarray, water: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """As above for a little water: only the cells it reaches are visited, the highest first."""
+    column = np.full(len(t.z), -1)
+    column[t.valid] = np.arange(len(t.valid))
+    due = {int(i) for i in places}
+    queue = [(-t.z[i], i) for i in due]
+    heapq.heapify(queue)
+    while queue:
+        _, i = heapq.heappop(queue)
+        for k, share in enumerate(shares[:, column[i]].tolist()):
+            if share:
+                j = int(i + t.steps[k])
+                water[j] += water[i] * share
+                if column[j] >= 0 and j not in due:
+                    due.add(j)
+                    heapq.heappush(queue, (-t.z[j], j))
+    return water
+
+
 def _accumulated(df: DataFrame, shares, log: bool, side: int) -> DataFrame:
     def leaving(t, places, values, first):
         water = _drained(t, shares(t), places, values, first)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..model import DX, DY
 from ..session import forget, settled
+from .grid import BROADCAST_ROWS
 
-SIDE = 256  # cells; a tile is about half a megabyte
+SIDE = 512  # cells; a tile is some two megabytes
 KEY = ["raster_id", "tr", "tc"]
 _TILE = "raster_id string, tr int, tc int, z binary"
 _RING = "raster_id string, tr int, tc int, pos int, v double"
@@ -118,18 +119,20 @@ def rounds(tiles: DataFrame, kernel: Callable, combine: str, side: int = SIDE) -
     before, and arrivals add up; with "min" a tile that got something smaller sees
     all that it has.  Every round is settled and the one before it deleted.
     """
-    spark, joined = tiles.sparkSession, F.sum("v") if combine == "sum" else F.min("v")
-    exists = tiles.select(*KEY)
+    spark, joined = tiles.sparkSession, F.sum if combine == "sum" else F.min
 
     def passed(given: DataFrame, first: bool) -> DataFrame:
-        return given.mapInArrow(_passed(kernel, first, side), _RING).join(exists, KEY, "left_semi").groupBy(*KEY, "pos").agg(joined.alias("v"))
+        return given.mapInArrow(_passed(kernel, first, side), _RING)
 
-    state = settled(passed(tiles.withColumn("got", F.lit(None).cast("array<struct<pos:int,v:double>>")), True).withColumn("fresh", F.col("v")))
-    while not state.filter("fresh is not null").isEmpty():
+    first = passed(tiles.withColumn("got", F.lit(None).cast("array<struct<pos:int,v:double>>")), True)
+    state = settled(first.groupBy(*KEY, "pos").agg(joined("v").alias("v")).withColumn("fresh", F.col("v")))
+    while n := state.filter("fresh is not null").count():
         new = state.filter("fresh is not null")
         due = new.select(*KEY, "pos", F.col("fresh").alias("v")) if combine == "sum" else state.join(new.select(*KEY).distinct(), KEY, "left_semi")
-        got = due.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "v")).alias("got"))  # a ring's or a border's cells at most
-        both = passed(tiles.join(got, KEY), False).join(state.select(*KEY, "pos", F.col("v").alias("had")), [*KEY, "pos"], "full")
+        sent = passed(tiles.join(_gathered(due, n if combine == "sum" else state.count()), KEY), False)
+        none = F.lit(None).cast("double")
+        both = sent.withColumn("had", none).unionByName(state.select(*KEY, "pos", none.alias("v"), F.col("v").alias("had")))
+        both = both.groupBy(*KEY, "pos").agg(joined("v").alias("v"), F.max("had").alias("had"))
         if combine == "sum":
             v, fresh = F.coalesce("had", F.lit(0.0)) + F.coalesce("v", F.lit(0.0)), F.col("v")
         else:
@@ -139,6 +142,12 @@ def rounds(tiles: DataFrame, kernel: Callable, combine: str, side: int = SIDE) -
     return state.drop("fresh")
 
 
+def _gathered(arrived: DataFrame, n: int) -> DataFrame:
+    """What arrived, a row for each tile (a ring's or a border's cells at most); broadcast if it is small, so that tiles stay where they are."""
+    got = arrived.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "v")).alias("got"))
+    return F.broadcast(got) if n <= BROADCAST_ROWS else got
+
+
 def unpacked(tiles: DataFrame, arrived: DataFrame, kernel: Callable, side: int = SIDE) -> DataFrame:
     """The cells ``(raster_id, row, col, z)`` from ``kernel(tile, places, values)``, which gives the tile's array anew."""
 
@@ -156,5 +165,4 @@ def unpacked(tiles: DataFrame, arrived: DataFrame, kernel: Callable, side: int =
                     ["raster_id", "row", "col", "z"],
                 )
 
-    got = arrived.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "v")).alias("got"))
-    return tiles.join(got, KEY, "left").mapInArrow(run, "raster_id string, row int, col int, z double")
+    return tiles.join(_gathered(arrived, arrived.count()), KEY, "left").mapInArrow(run, "raster_id string, row int, col int, z double")

@@ -10,6 +10,14 @@ from . import __version__, registry
 from .sources.formats import EXTENSIONS
 
 
+COMMANDS = {
+    "bench": "tells whether benchmark mode is on", "benchoff": "runs tools once", "benchon": "runs tools ten times and gives the mean", "clear": "clears the screen (c, cls, clr)",
+    "cwd": "changes the working folder (cd, dir)", "exit": "ends (logout, esc)", "help": "this list (h)", "licence": "the licence", "listtools": "all tools",
+    "memprof": "memory in use", "pwd": "the working folder", "rasterformats": "grid formats and their extensions", "run": "runs a tool: run Slope in.dep;out.tif (r)",
+    "toolargs": "a tool's arguments", "toolhelp": "a tool's description and arguments", "version": "the version (v)",
+}
+
+
 def session():
     from .session import local_session
 
@@ -38,16 +46,22 @@ def command(line: str, state: dict) -> str | None:
     if word == "rasterformats":
         return "\n".join(f"{f:<16}{' '.join(e)}" for f, e in EXTENSIONS.items())
     if word in ("licence", "license"):
-        return "See the repository."
+        return "No licence is stated for this repository."
     if word in ("benchon", "benchoff"):
         state["bench"] = word == "benchon"
-        return f"benchmark mode {'on' if state['bench'] else 'off'}"
+    if word in ("bench", "benchon", "benchoff"):
+        return f"benchmark mode {'on' if state.get('bench') else 'off'}"
+    if word == "memprof":
+        import resource
+
+        return f"largest memory of this process: {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024:.1f} MB"
     if word in ("r", "run"):
         name, _, text = rest.partition(" ")
         runs = 10 if state.get("bench") else 1
         out = [registry.run(session(), name, registry.split_arguments(text), state["folder"]) for _ in range(runs)]
         return "" if not isinstance(out[0], float) else f"mean of {runs}: {sum(out) / runs:.3f} s"
-    return "commands: run, toolhelp, toolargs, listtools, rasterformats, cwd, pwd, benchon, benchoff, clear, licence, version, exit"
+    known = "\n".join(f"{name:<16}{text}" for name, text in COMMANDS.items())
+    return known if word in ("h", "help") else f"unknown command {word!r}; known are\n{known}"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -58,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-listtools", action="store_true")
     p.add_argument("-toolhelp", metavar="TOOL")
     p.add_argument("-toolargs", metavar="TOOL")
+    p.add_argument("-help", action="help")
     p.add_argument("-version", action="version", version=__version__)
     a = p.parse_args(argv)
     state = {"folder": a.cwd}

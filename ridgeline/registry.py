@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import model
+from . import __version__, model
 from .operators import flow, focal, hydro, local, points, stats
 from .sources import datasource
 from .sources.formats import EXTENSIONS, codec, is_supported
@@ -188,19 +188,39 @@ def _value(a: Argument, text):
     return a.kind(text)
 
 
+_FOLDER = ["."]
+
+
+def set_working_folder(path: str) -> str:
+    """Where names without a separator are looked for from now on; it must exist."""
+    if not os.path.isdir(path):
+        raise NotADirectoryError(path)
+    _FOLDER[0] = path
+    return path
+
+
+def working_folder() -> str:
+    return _FOLDER[0]
+
+
+def version() -> str:
+    return __version__
+
+
 def resolve(name: str, folder: str) -> str:
     """Names without a separator are in the working folder; outputs of unknown kind become GeoTIFF."""
     return name if os.sep in name else os.path.join(folder, name)
 
 
 def run(
-    spark: SparkSession, name: str, arguments: list, folder: str = ".", listener: Callable[[str], None] = print, compat: bool = False, geographic: bool | None = None
+    spark: SparkSession, name: str, arguments: list, folder: str | None = None, listener: Callable[[str], None] = print, compat: bool = False, geographic: bool | None = None
 ):
     """Run a tool on files; printers return a table, the others the seconds they took.
 
     ``compat`` reproduces old quirks where a tool has them; ``geographic`` says
     whether coordinates are degrees, where the header doesn't tell.
     """
+    folder = working_folder() if folder is None else folder
     for p, show in PRINTERS.items():
         if p.lower()[:NAME_LENGTH] == name.lower()[:NAME_LENGTH]:
             return show(spark, resolve(arguments[0], folder))

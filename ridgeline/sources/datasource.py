@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..model import CELL_FIELDS, META_FIELDS, TAG_FIELDS
 from . import geotiff, las
-from .errors import DataError, OverwriteError, UnsupportedFormat
+from .errors import DataError, DeleteError, MissingFile, OverwriteError, UnsupportedFormat, WriteError
 from .formats import EMPTY, codec, ends, files, is_text, remove, spans
 
 BLOCK_CELLS = 4_000_000
@@ -246,8 +246,11 @@ def read_raster(spark: SparkSession, path: str, driver: str | None = None) -> tu
     reader = spark.read.format("raster")
     if driver:
         reader = reader.option("driver", driver)
-    name, c = codec(path, driver)
-    return reader.load(path), c.header(path) | {"format": name}
+    at = path.removeprefix("file://")
+    if not os.path.exists(at):
+        raise MissingFile(at)
+    name, c = codec(at, driver)
+    return reader.load(path), c.header(at) | {"format": name}
 
 
 def add_metadata(header: dict, entry: str) -> dict:
@@ -288,6 +291,10 @@ def write_raster(df: DataFrame, path: str, header: dict, driver: str | None = No
     # some blocks share a task; a task writes one after another, so a block is all it holds
     blocks = df.select("raster_id", "row", "col", "z").withColumn("_b", F.floor(F.col("row") / step)).repartition("_b").sortWithinPartitions("_b").drop("_b")
     out = blocks.write.format("raster").mode("append").option("header", json.dumps(h)).option("blockRows", step).option("driver", name).option("token", uuid.uuid4().hex)
-    data, head = files(path, c)
-    remove(path, c)
+    if not os.access(os.path.dirname(os.path.abspath(path)), os.W_OK):
+        raise WriteError(path)
+    try:
+        remove(path, c)
+    except OSError as e:
+        raise DeleteError(path) from e
     out.save(path)

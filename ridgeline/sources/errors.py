@@ -20,3 +20,15 @@ class DataError(RasterError):
 
 class OverwriteError(RasterError):
     """The target exists and overwriting wasn't asked for."""
+
+
+class MissingFile(RasterError, FileNotFoundError):
+    """There is no such file."""
+
+
+class DeleteError(RasterError):
+    """A file that is to be replaced can't be removed."""
+
+
+class WriteError(RasterError):
+    """The target can't be written."""

@@ -12,7 +12,7 @@ from ridgeline.__main__ import command
 from ridgeline.operators import points
 from ridgeline.sources import formats, geotiff, las, read_raster, write_raster
 from ridgeline.sources.datasource import add_metadata, from_values
-from ridgeline.sources.errors import AmbiguousFormat, DataError, OverwriteError, UnsupportedFormat
+from ridgeline.sources.errors import AmbiguousFormat, DataError, MissingFile, OverwriteError, UnsupportedFormat, WriteError
 
 Z = np.array([[1.0, 2.5, np.nan], [4.0, -5.0, 6.0]])
 H = formats.EMPTY | {"rows": 2, "cols": 3, "west": 10.0, "south": 20.0, "east": 25.0, "north": 30.0, "crs_wkt": "PROJCS[x]"}
@@ -99,6 +99,15 @@ def test_palette(tmp_path):
     np.testing.assert_array_equal(formats.GeoTiff.rows(p, formats.GeoTiff.header(p), 0, 2), z)
 
 
+def test_named_errors(spark, tmp_path):
+    with pytest.raises(MissingFile):
+        read_raster(spark, str(tmp_path / "none.dep"))
+    with pytest.raises(WriteError):
+        write_raster(from_values(spark, [1], 1, 1), str(tmp_path / "no" / "a.flt"), H | {"rows": 1, "cols": 1})
+    with pytest.raises(UnsupportedFormat):
+        formats.codec("a.sdat")
+
+
 def test_values_and_metadata(spark):
     df = from_values(spark, [1, None, 3, 4, 5, float("nan")], 2, 3)
     assert [tuple(r)[1:] for r in df.orderBy("row", "col").collect()][1::2] == [(0, 1, None), (1, 0, 4.0), (1, 2, None)]
@@ -255,6 +264,11 @@ def test_names_and_prompt():
     assert registry.find("MaxElevationDeviatio").name == "MaxElevationDeviation"
     state = {"folder": "/tmp"}
     assert "Slope" in command("listtools", state) and command("cwd /x", state) == "/x" and command("exit", state) is None
+    assert command("bench", state).endswith("off") and command("benchon", state).endswith("on") and command("bench", state).endswith("on")
+    assert "MB" in command("memprof", state) and all(w in command("help", state) for w in ("memprof", "toolargs", "licence")) and "unknown" in command("zzz", state)
+    assert registry.set_working_folder("/tmp") == registry.working_folder() == "/tmp" and registry.version() == command("v", state)
+    with pytest.raises(NotADirectoryError):
+        registry.set_working_folder("/no/such")
     assert "NumBins" in command("toolhelp Quantiles", state) and "geotiff" in command("rasterformats", state)
 
 

@@ -270,14 +270,17 @@ def _nearest(threshold: int, similarity: float, most: int):
         for at in range(0, len(home), rows):
             h = home[at : at + rows]
             d = np.bitwise_count(u[h][:, None] ^ u[every][None, :])
-            m, o = n[h][:, None], n[every][None, :]
-            d[(comp[h][:, None] == comp[every][None, :]) | (np.minimum(m, o) < similarity * np.maximum(m, o) - 1e-9)] = 255
-            fits = (d <= threshold).sum(1)
-            for k in np.flatnonzero(fits):
-                near = np.flatnonzero(d[k] <= threshold)
-                if fits[k] > most:
-                    near = near[np.argsort(d[k][near], kind="stable")[:most]]
-                found.append((np.full(len(near), node[h[k]]), node[every[near]], np.full(len(near), fits[k] > most)))
+            r, c = np.nonzero(d <= threshold)
+            m, o = n[h[r]], n[every[c]]
+            fits = (comp[h[r]] != comp[every[c]]) & (np.minimum(m, o) >= similarity * np.maximum(m, o) - 1e-9)
+            r, c = r[fits], c[fits]
+            order = np.lexsort((d[r, c], r))
+            r, c = r[order], c[order]
+            count = np.bincount(r, minlength=len(h))
+            rank = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            near = rank < most
+            if near.any():
+                found.append((node[h[r[near]]], node[every[c[near]]], count[r[near]] > most))
         if not found:
             return None
         a, b, more = map(np.concatenate, zip(*found, strict=True))

@@ -10,6 +10,12 @@ from ..session import delete, forget, new_path, settled, shared_dir
 materialize = settled
 
 
+def apart(id_col: str, *result: str) -> None:
+    """An id column can't be named as a column of the result."""
+    if id_col in result:
+        raise ValueError(f"the id column can't be named {id_col!r}: the result has a column of that name")
+
+
 def keyed(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """``df`` as ``(rk, <id_col>, *cols)`` where ``rk`` is a long that no two rows share.
 
@@ -32,4 +38,4 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["delete", "forget", "keyed", "materialize", "new_path", "partitions", "shared_dir"]
+__all__ = ["apart", "delete", "forget", "keyed", "materialize", "new_path", "partitions", "shared_dir"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import apart, materialize
 
 CAPACITY = 2048
 CACHE_CHUNKS = 700_000
@@ -276,7 +276,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, capacit
 
 
 def ranked(cut: DataFrame, id_col: str, n: int, each: int = 20_000) -> DataFrame:
-    """Number the pieces of each length from 0, in ``rank``, without gathering a length in one task.
+    """Number the pieces of each length from 0, in ``_rank``, without gathering a length in one task.
 
     Each length is dealt over enough salts that a salt holds about ``each``
     pieces even if all have one length; a salt's pieces are numbered from where
@@ -291,7 +291,7 @@ def ranked(cut: DataFrame, id_col: str, n: int, each: int = 20_000) -> DataFrame
     return (
         cut.withColumn("_k", F.row_number().over(within) - 1)
         .join(starts, ["length", "_salt"])
-        .withColumn("rank", F.col("_from") + F.col("_k"))
+        .withColumn("_rank", F.col("_from") + F.col("_k"))
         .drop("_salt", "_from", "_k")
     )
 
@@ -301,8 +301,10 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
 
     A null text is empty and still has its closing id 0.  Rows with equal or null
     ids are packed separately.  An empty table gives an empty result.  Only
-    documents longer than ``capacity`` are cut.  Other columns are ignored.
+    documents longer than ``capacity`` are cut.  Other columns are ignored; an id
+    column named as one of the result's is an error.
     """
+    apart(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     cut = materialize(pieces(docs, vocab_path, id_col, text_col, capacity), "pieces")
     counts = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     p = plan(counts, capacity)
@@ -313,7 +315,7 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
 
     def place(batches):
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             k = np.searchsorted(code, length << 40 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(f.name) for f in schema], pa.array(first[k] + rank - lo[k]), pa.array(offset[k])],

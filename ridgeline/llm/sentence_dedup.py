@@ -197,8 +197,8 @@ def remove_repeated_spans(
     """
     names = (id_col, *carry)
     kinds = [docs.schema[c].dataType.simpleString() for c in names]
-    whole = keyed(docs, id_col, text_col, *carry)
-    whole = whole.select("rk", F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)])
+    own = [f"_k{i}" for i in range(len(names))]
+    whole = keyed(docs.select(F.col(text_col).cast("string").alias("t"), *[F.col(c).alias(k) for c, k in zip(names, own, strict=True)]), "_k0", "t", *own[1:])
     spark = docs.sparkSession
     every = materialize(spans(whole.select("rk", "t").filter("t is not null"), run, least_words), "spans")
     # what spans are joined with is settled, so that a passage of very many documents is a key whose rows Spark can split

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed, materialize, partitions
+from .common import apart, forget, keyed, materialize, partitions
 from .components import components
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -306,8 +306,7 @@ def similar_documents(
     are one node; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = keyed(docs, id_col, text_col).select("rk", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")), "_id", "_t")
 
     def sketch(batches):
         for b in batches:
@@ -372,7 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have fingerprint 0 and are linked like any other.  Repeated rows share a
     component.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
+    apart(id_col, "fp", "component_id")
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     points = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
     edges = materialize(links(points, threshold), "links")

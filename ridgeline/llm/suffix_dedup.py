@@ -481,8 +481,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"least must be at least {GRAM + 8} and at most length")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = keyed(docs, id_col, text_col)
-    whole = whole.select("rk", F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("b"))
+    whole = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")), "_id", "_t")
+    whole = whole.select("rk", "_id", F.coalesce(F.col("_t").cast("binary"), F.lit(b"")).alias("b"))
     long_enough = whole.select("rk", "b").filter(F.octet_length("b") >= least)
     found = long_enough.mapInArrow(_scan(least, length), "rk long, first long, h long, d1 long, d2 long, n int, size int")
 

@@ -587,6 +587,30 @@ def test_warc_files(spark, tmp_path):
     assert warc.round_trip(empty_pages).count() == 0
 
 
+def test_long_texts_and_odd_names(spark):
+    """A text of a megabyte, twice, and id and other columns named as ours."""
+    long = words(77, 180_000)
+    assert len(long) > 900_000
+    rows = [(1, long), (2, long), (3, words(78, 80)), (4, None)]
+    for name in ("rk", "rank", "length", "b", "_t"):
+        df = spark.createDataFrame([(k, t, "x", 7) for k, t in rows], f"{name} long, text string, fp string, h int")
+        if name == "rk":
+            got = {r[0]: r for r in suffix_dedup.remove_repeats(df, id_col=name).collect()}
+            assert bytes(got[1]["kept"]) == bytes(got[2]["kept"]) == b"" and bytes(got[3]["kept"]).decode() == rows[2][1] and got[4]["spans"] == []
+            assert {r[0]: r["kept"] for r in sentence_dedup.remove_repeated_spans(df, id_col=name).collect()} == {1: long, 2: "", 3: rows[2][1], 4: None}
+            assert {r[0]: r[1] for r in simhash.similar_documents(df, id_col=name).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+            assert quality.score(df, id_col=name).filter("n_words = 180000").count() == 2
+            assert toxicity.score(df.withColumnRenamed(name, "doc_id"), spark.createDataFrame([(3, 1)], "doc_id long, toxic int")).count() == 4
+        assert {r[0]: r["component_id"] for r in simhash.near_duplicates(df.filter(f"{name} > 2"), id_col=name).collect()} == {3: 3, 4: 4}
+        if name != "length":
+            assert packing.pack(df.filter(f"{name} > 2"), VOCAB, id_col=name).count() == 2
+        assert quality.score(df.filter(f"{name} > 2"), id_col=name).count() == 2 and pii.detect(df.filter(f"{name} > 2"), id_col=name).count() == 2
+    with pytest.raises(ValueError):
+        packing.pack(df.withColumnRenamed("_t", "length"), VOCAB, id_col="length")
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(df, id_col="fp")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -596,6 +620,8 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == {1, 4}
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == list(corpus_pipeline.COLUMNS)

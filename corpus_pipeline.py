@@ -36,20 +36,23 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the sentences of repeated spans; a text of which nothing is left goes."""
+    """Texts without the sentences of repeated spans; a text of which nothing is left goes, as does a null one.
+
+    Of equal spans the first one stays, so one of repeated rows does.
+    """
     cut = sentence_dedup.remove_repeated_spans(docs, carry=("lang", "source"))
     rest = cut.filter(F.col("kept").isNotNull() & (F.trim("kept") != ""))
     return rest.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; a row for a row, null texts stay null."""
     got = pii.detect(docs, carry=("lang", "source"))
     return got.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; a null text is packed as an empty one."""
     return packing.pack(docs, vocab_path())
 
 
@@ -63,6 +66,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; an empty table, or one of which nothing is kept, gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

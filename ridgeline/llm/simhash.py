@@ -300,7 +300,7 @@ def similar_documents(
     ids are integers without null or repeats).  A-Z count as a-z.  Equal word
     sequences are one node, so copies are never compared.  A node is first
     compared in shingles with its ``nearest`` nearest candidates of each block,
-    then, with its component's other nodes left out, with four times as many, until
+    then, with its component's other nodes left out, with sixteen times as many, until
     no candidate outside the component is left untried: large groups of copies
     merge in the first rounds, and no link is lost.  Null, empty and wordless texts
     are one node; an empty table gives an empty result; other columns are ignored.
@@ -352,7 +352,7 @@ def similar_documents(
             points = materialize(points.drop("comp").join(found, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("comp")), "points")
         if not left:
             break
-        most *= 4
+        most *= 16
     of = nodes.select("d1", "d2", "node")
     if roots is not None:
         of = of.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))

@@ -188,11 +188,13 @@ def _compare(group):
     return run
 
 
-def _met(points: DataFrame, threshold: int, pairs: bool, hot: int) -> DataFrame:
+def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | None = None) -> DataFrame:
     """``(anchor, cut, side, fp, ...)``: the rows of ``points`` (``fp`` and other longs) at every anchor they are compared at, in order.
 
     ``side`` has 1 for what is at home there and 2 for what it is compared with; a
     hot anchor's rows are dealt to cuts, each a block of homes with a block of all.
+    With ``flag``, a column that is 0 or 1, only rows with 1 are at home, and only
+    the anchors where such rows are count.
     """
     names = points.columns
     step = 2048 if pairs else 16384
@@ -203,10 +205,15 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int) -> DataFrame:
             for at in range(0, len(fp), step):
                 row, key, home = placements(fp[at : at + step], pairs, threshold)
                 take = pa.array(row + at)
+                if flag:
+                    home = home & (b.column(flag).to_numpy()[row + at] > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(home, 3, 2).astype(np.int32)), *[c.take(take) for c in b.columns]], ["anchor", "side", *names])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     placed = points.mapInArrow(place, f"anchor long, side int, {fields}")
+    if flag:
+        lively = placed.filter("side = 3").select("anchor").distinct()  # three times 4096 anchors at most
+        placed = placed.join(F.broadcast(lively) if not pairs else lively, "anchor", "left_semi").select("anchor", "side", *names)
     sizes = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     sizes = materialize(sizes.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("k")), "hot")
     placed = placed.withColumn("cut", F.lit(0))
@@ -261,7 +268,7 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
 def _nearest(threshold: int, similarity: float, most: int):
     """Of a group's homes the ``most`` nearest others of another component whose numbers of shingles allow the similarity."""
 
-    def group(side, fp, node, n, comp):
+    def group(side, fp, node, n, comp, due):
         home, every = np.flatnonzero(side & 1 > 0), np.flatnonzero(side & 2 > 0)
         if not len(home) or not len(every):
             return None
@@ -284,7 +291,7 @@ def _nearest(threshold: int, similarity: float, most: int):
         if not found:
             return None
         a, b, more = map(np.concatenate, zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], ["a", "b", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(a), pa.array(more)], ["a", "b", "home", "more"])
 
     return group
 
@@ -322,7 +329,7 @@ def similar_documents(
 
     prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long"), "prints")
     nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
-    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"))
+    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"), F.lit(1).cast("long").alias("due"))
 
     def cut(batches):
         for b in batches:
@@ -333,8 +340,10 @@ def similar_documents(
 
     good, roots, most = [], None, nearest
     while True:
-        tried = _met(points, threshold, False, hot).mapInArrow(_compare(_nearest(threshold, similarity, most)), "a long, b long, more boolean")
-        tried = materialize(tried.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+        found = _met(points, threshold, False, hot, "due").mapInArrow(_compare(_nearest(threshold, similarity, most)), "a long, b long, home long, more boolean")
+        found = materialize(found, "found")
+        tried = materialize(found.select("a", "b").distinct(), "candidates")
+        left = materialize(found.filter("more").select(F.col("home").alias("node")).distinct().withColumn("due", F.lit(1).cast("long")), "left")
         ends = materialize(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
         texts = rows.select(F.col("rk").alias("node"), "_t").join(ends, "node", "left_semi")
         sets = materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
@@ -342,16 +351,17 @@ def similar_documents(
         same = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("m")).filter(F.col("m") >= similarity * (F.col("nx") + F.col("ny") - F.col("m")) - 1e-9)
         linked = materialize(linked.select("a", "b"), "links")
-        left = not tried.filter("more").isEmpty()
-        for table in (tried, ends, sets):
+        for table in (found, tried, ends, sets):
             forget(spark, table)
         if not linked.isEmpty():
             good.append(linked)
             roots = materialize(components(reduce(DataFrame.unionByName, good), "a", "b"), "roots")
-            found = roots.select("node", "root")
-            points = materialize(points.drop("comp").join(found, "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("comp")), "points")
-        if not left:
+            points = points.drop("comp").join(roots.select("node", "root"), "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("comp"))
+        if left.isEmpty():
             break
+        # who has tried all candidates needs no home any more
+        points = points.select("fp", "node", "n", "comp").join(left, "node", "left").select("fp", "node", "n", "comp", F.coalesce("due", F.lit(0)).alias("due"))
+        points = materialize(points, "points")
         most *= 16
     of = nodes.select("d1", "d2", "node")
     if roots is not None:

@@ -20,18 +20,21 @@ compared two by two, in different tasks.
 ``similar_documents`` finds what is alike in its word shingles, however the
 threshold of bits would fall: fingerprints of the set of words, which differ in
 few bits even where shingles differ in a fifth, propose candidates at the anchors
-(radius plus 2, ``WIDE_THRESHOLD`` bits), and the shingles themselves decide.
+(radius plus 2, ``WIDE_THRESHOLD`` bits), parities of the sets of shingles travel
+with them and rule out what can't be similar, and the shingles themselves decide:
+first for the few likeliest candidates of each, as rows, then for all that are left,
+at the anchors, so that no rows are made for the pairs of a group.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, forget, keyed, materialize, partitions
@@ -172,7 +175,7 @@ def _compare(group):
         key, rest = None, []
         for b in batches:
             k = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-            cols = [b.column(c).to_numpy() for c in range(2, b.num_columns)]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(2, b.num_columns)]
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if x == y:
@@ -189,7 +192,7 @@ def _compare(group):
 
 
 def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | None = None) -> DataFrame:
-    """``(anchor, cut, side, fp, ...)``: the rows of ``points`` (``fp`` and other longs) at every anchor they are compared at, in order.
+    """``(anchor, cut, side, fp, ...)``: the rows of ``points`` (``fp`` and others) at every anchor they are compared at, in order.
 
     ``side`` has 1 for what is at home there and 2 for what it is compared with; a
     hot anchor's rows are dealt to cuts, each a block of homes with a block of all.
@@ -198,6 +201,7 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | N
     """
     names = points.columns
     step = 2048 if pairs else 16384
+    spark = points.sparkSession
 
     def place(batches):
         for b in batches:
@@ -214,7 +218,13 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | N
     if flag:
         lively = placed.filter("side = 3").select("anchor").distinct()  # three times 4096 anchors at most
         placed = placed.join(F.broadcast(lively) if not pairs else lively, "anchor", "left_semi").select("anchor", "side", *names)
-    sizes = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
+    dealt = _dealt(placed, names, F.count(F.lit(1)), hot)
+    return dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
+
+
+def _dealt(placed: DataFrame, names: list[str], weight: Column, hot: int) -> DataFrame:
+    """``(anchor, cut, side, *names)`` of ``(anchor, side, *names)``: anchors of more than ``hot`` weight in cuts."""
+    sizes = placed.groupBy("anchor").agg(weight.alias("n")).filter(F.col("n") > hot)
     sizes = materialize(sizes.select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("k")), "hot")
     placed = placed.withColumn("cut", F.lit(0))
     if not sizes.isEmpty():
@@ -226,7 +236,7 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | N
         as_all = F.transform(every, lambda x: F.struct((x * F.col("k") + mine).alias("cut"), F.lit(2).alias("side")))
         parts = F.explode(F.concat(F.coalesce(as_home, F.array().cast("array<struct<cut:int,side:int>>")), as_all))
         placed = wide.select("anchor", *names, parts.alias("p")).select("anchor", *names, F.col("p.side").alias("side"), F.col("p.cut").alias("cut"))
-    return placed.select("anchor", "cut", "side", *names).repartition(partitions(points.sparkSession), "anchor", "cut").sortWithinPartitions("anchor", "cut")
+    return placed.select("anchor", "cut", "side", *names)
 
 
 def links(points: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, many: int = MANY) -> DataFrame:
@@ -248,6 +258,8 @@ def links(points: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, many: i
 
 WIDE_THRESHOLD = 8
 FIRST_NEAREST = 4
+PARITY_BITS = 64, 4096  # fewest and most; sets of more than 5461 shingles are ruled out by less
+ROOM = 400  # shingles compared at once for each fingerprint that is
 
 
 def word_fingerprint(words: list[bytes]) -> int:
@@ -265,29 +277,73 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + size]), 1) for k in range(n)], np.uint64)).view(np.int64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Parities of the numbers of hashes that share their last bits; a power of two of them, 0.75 for each hash at least.
+
+    Two sets differ in no fewer members than their parities do; half as many
+    parities are the halves' exclusive or.
+    """
+    low, high = PARITY_BITS
+    size = low
+    while size < high and size < 0.75 * len(s):
+        size *= 2
+    odd = np.bincount((s.view(np.uint64) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(par: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """In how many parities ``par[r]`` and ``par[c]`` differ, the longer one folded."""
+    width = np.array([len(x) for x in par])
+    least, out = np.minimum(width[r], width[c]), np.zeros(len(r), np.int64)
+    for w in np.unique(least).tolist():
+        pick = np.flatnonzero(least == w)
+        used = np.unique(np.concatenate([r[pick], c[pick]]))
+        place = np.zeros(len(par), np.int64)
+        place[used] = np.arange(len(used))
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, w // 8), 0) for x in par[used]])
+        step = max(1, (1 << 22) // w)
+        for at in range(0, len(pick), step):
+            p = pick[at : at + step]
+            out[p] = np.bitwise_count(bits[place[r[p]]] ^ bits[place[c[p]]]).sum(1)
+    return out
+
+
+def _likely(threshold: int, similarity: float, side, fp, n, comp, par):
+    """For blocks of a group's homes, which pairs (home, other) of two components fingerprints, numbers of shingles and
+    parities allow to be similar, and by how many bits these differ: yields (home rows, other rows, parities, bits)."""
+    home, every = np.flatnonzero(side & 1 > 0), np.flatnonzero(side & 2 > 0)
+    if not len(home) or not len(every):
+        return
+    u = fp.view(np.uint64)
+    share = (1 - similarity) / (1 + similarity)  # of both sets' sizes, the most that similar ones differ in
+    rows = max(1, (1 << 22) // len(every))
+    for at in range(0, len(home), rows):
+        h = home[at : at + rows]
+        d = np.bitwise_count(u[h][:, None] ^ u[every][None, :])
+        r, c = np.nonzero(d <= threshold)
+        d, r, c = d[r, c], h[r], every[c]
+        fits = (comp[r] != comp[c]) & (np.minimum(n[r], n[c]) >= similarity * np.maximum(n[r], n[c]) - 1e-9)
+        r, c, d = r[fits], c[fits], d[fits]
+        odd = differing(par, r, c) if len(r) else d
+        fits = odd <= share * (n[r] + n[c]) + 1e-6
+        if fits.any():
+            yield r[fits], c[fits], odd[fits] / (n[r] + n[c])[fits], d[fits]
+
+
 def _nearest(threshold: int, similarity: float, most: int):
-    """Of a group's homes the ``most`` nearest others of another component whose numbers of shingles allow the similarity."""
+    """Of a group's homes the ``most`` likeliest others, and whether there are more."""
 
-    def group(side, fp, node, n, comp, due):
-        home, every = np.flatnonzero(side & 1 > 0), np.flatnonzero(side & 2 > 0)
-        if not len(home) or not len(every):
-            return None
-        u, found = fp.view(np.uint64), []
-        rows = max(1, (1 << 22) // len(every))
-        for at in range(0, len(home), rows):
-            h = home[at : at + rows]
-            d = np.bitwise_count(u[h][:, None] ^ u[every][None, :])
-            r, c = np.nonzero(d <= threshold)
-            m, o = n[h[r]], n[every[c]]
-            fits = (comp[h[r]] != comp[every[c]]) & (np.minimum(m, o) >= similarity * np.maximum(m, o) - 1e-9)
-            r, c = r[fits], c[fits]
-            order = np.lexsort((d[r, c], r))
+    def group(side, fp, node, n, comp, due, par):
+        found = []
+        for r, c, odd, d in _likely(threshold, similarity, side, fp, n, comp, par):
+            order = np.lexsort((node[c], d, odd, r))
             r, c = r[order], c[order]
-            count = np.bincount(r, minlength=len(h))
-            rank = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            first = np.concatenate([[True], r[1:] != r[:-1]])
+            start = np.flatnonzero(first)
+            count = np.diff(np.append(start, len(r)))
+            rank = np.arange(len(r)) - np.repeat(start, count)
             near = rank < most
-            if near.any():
-                found.append((node[h[r[near]]], node[every[c[near]]], count[r[near]] > most))
+            found.append((node[r[near]], node[c[near]], np.repeat(count, count)[near] > most))
         if not found:
             return None
         a, b, more = map(np.concatenate, zip(*found, strict=True))
@@ -296,6 +352,58 @@ def _nearest(threshold: int, similarity: float, most: int):
     return group
 
 
+def _concerned(threshold: int, similarity: float):
+    """A group's homes with likely others, and these: who must be compared in shingles."""
+
+    def group(anchor, side, fp, node, n, comp, due, par):
+        mark = np.zeros(len(fp), np.int32)
+        for r, c, _, _ in _likely(threshold, similarity, side, fp, n, comp, par):
+            mark[r] |= 3
+            mark[c] |= 2
+        own = np.flatnonzero(mark)
+        if not len(own):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (anchor, mark, fp, node, n, comp)], ["anchor", "side", "fp", "node", "n", "comp"])
+
+    return group
+
+
+def _alike(threshold: int, similarity: float):
+    """A spanning forest, over components, of the links among a group's homes and others, by all their shingles."""
+
+    def group(side, fp, node, n, comp, s):
+        home, every = np.flatnonzero(side & 1 > 0), np.flatnonzero(side & 2 > 0)
+        if not len(home) or not len(every):
+            return None
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        values = np.concatenate([np.asarray(s[k]) for k in every])
+        owner = np.repeat(np.arange(len(every)), [len(s[k]) for k in every])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        u, edges = fp.view(np.uint64), []
+        for h in home.tolist():
+            own = np.asarray(s[h])
+            a, z = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+            length = z - a
+            at = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            m = np.bincount(owner[at], minlength=len(every))
+            linked = (m >= similarity * (n[h] + n[every] - m) - 1e-9) & (np.bitwise_count(u[h] ^ u[every]) <= threshold) & (comp[every] != comp[h])
+            for k in every[linked].tolist():
+                if (p := find(int(comp[h]))) != (q := find(int(comp[k]))):
+                    parent[p] = q
+                    edges.append((int(node[h]), int(node[k])))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]) if edges else None
+
+    return group
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, threshold: int = WIDE_THRESHOLD, hot: int = HOT,
     nearest: int = FIRST_NEAREST,
@@ -306,10 +414,10 @@ def similar_documents(
     ``component_id`` is the least row key that links reach (the id itself, where
     ids are integers without null or repeats).  A-Z count as a-z.  Equal word
     sequences are one node, so copies are never compared.  A node is first
-    compared in shingles with its ``nearest`` nearest candidates of each block,
-    then, with its component's other nodes left out, with sixteen times as many, until
-    no candidate outside the component is left untried: large groups of copies
-    merge in the first rounds, and no link is lost.  Null, empty and wordless texts
+    compared in shingles with its ``nearest`` likeliest candidates of each block,
+    as rows.  Nodes that have more of them, outside their component by then, meet these with
+    all their shingles at the anchors, where only a forest of links is emitted:
+    rows grow with the nodes, not with the pairs of a group, and no link is lost.  Null, empty and wordless texts
     are one node; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -321,15 +429,18 @@ def similar_documents(
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
                 raw = xxhash.xxh3_128_digest(b" ".join(words))
-                out.append((int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True), word_fingerprint(words), len(shingles(words, size))))
-            d1, d2, fp, n = zip(*out, strict=True) if out else ([],) * 4
+                own = shingles(words, size)
+                out.append((int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True), word_fingerprint(words), len(own), parities(own)))
+            d1, d2, fp, n, par = zip(*out, strict=True) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["rk", "d1", "d2", "fp", "n"]
+                [b.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(par, pa.binary())],
+                ["rk", "d1", "d2", "fp", "n", "par"],
             )
 
-    prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long"), "prints")
-    nodes = materialize(prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
-    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"), F.lit(1).cast("long").alias("due"))
+    prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long, par binary"), "prints")
+    firsts = prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"))
+    nodes = materialize(firsts.join(prints.select(F.col("rk").alias("node"), "fp", "n", "par"), "node"), "nodes")
+    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"), F.lit(1).cast("long").alias("due"), "par")
 
     def cut(batches):
         for b in batches:
@@ -338,31 +449,41 @@ def similar_documents(
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["node", "s"])
 
-    good, roots, most = [], None, nearest
-    while True:
-        found = _met(points, threshold, False, hot, "due").mapInArrow(_compare(_nearest(threshold, similarity, most)), "a long, b long, home long, more boolean")
-        found = materialize(found, "found")
-        tried = materialize(found.select("a", "b").distinct(), "candidates")
-        left = materialize(found.filter("more").select(F.col("home").alias("node")).distinct().withColumn("due", F.lit(1).cast("long")), "left")
-        ends = materialize(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        texts = rows.select(F.col("rk").alias("node"), "_t").join(ends, "node", "left_semi")
-        sets = materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
-        both = tried.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("m")).filter(F.col("m") >= similarity * (F.col("nx") + F.col("ny") - F.col("m")) - 1e-9)
-        linked = materialize(linked.select("a", "b"), "links")
-        for table in (found, tried, ends, sets):
-            forget(spark, table)
-        if not linked.isEmpty():
-            good.append(linked)
-            roots = materialize(components(reduce(DataFrame.unionByName, good), "a", "b"), "roots")
-            points = points.drop("comp").join(roots.select("node", "root"), "node", "left").select("fp", "node", "n", F.coalesce("root", "node").alias("comp"))
-        if left.isEmpty():
-            break
-        # who has tried all candidates needs no home any more
-        points = points.select("fp", "node", "n", "comp").join(left, "node", "left").select("fp", "node", "n", "comp", F.coalesce("due", F.lit(0)).alias("due"))
-        points = materialize(points, "points")
-        most *= 16
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = rows.select(F.col("rk").alias("node"), "_t").join(some.select("node").distinct(), "node", "left_semi")
+        return materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
+
+    # the likeliest candidates
+    found = _met(points, threshold, False, hot).mapInArrow(_compare(_nearest(threshold, similarity, nearest)), "a long, b long, home long, more boolean")
+    found = materialize(found, "found")
+    tried = materialize(found.select("a", "b").distinct(), "candidates")
+    left = materialize(found.filter("more").select(F.col("home").alias("node")).distinct().withColumn("due", F.lit(1).cast("long")), "left")
+    sets = sets_of(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))))
+    both = tried.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    linked = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), same.alias("m")).filter(F.col("m") >= similarity * (F.col("nx") + F.col("ny") - F.col("m")) - 1e-9)
+    linked = materialize(linked.select("a", "b"), "links")
+    for table in (found, tried, sets):
+        forget(spark, table)
+    roots = None if linked.isEmpty() else materialize(components(linked, "a", "b"), "roots")
+
+    # and all that are left
+    if not left.isEmpty():
+        comp = F.col("node") if roots is None else F.coalesce("root", "node")
+        again = points.drop("comp", "due").join(left, "node", "left")
+        again = again if roots is None else again.join(roots, "node", "left")
+        again = materialize(again.select("fp", "node", "n", comp.alias("comp"), F.coalesce("due", F.lit(0)).alias("due"), "par"), "points")
+        met = _met(again, threshold, False, hot, "due").select("anchor", "cut", F.col("anchor").alias("at"), "side", *again.columns)
+        some = met.mapInArrow(_compare(_concerned(threshold, similarity)), "anchor long, side int, fp long, node long, n long, comp long")
+        some = materialize(some.groupBy("anchor", "node", "fp", "n", "comp").agg(F.max("side").alias("side")), "concerned")
+        if not some.isEmpty():
+            sets = sets_of(some)
+            names = ["fp", "node", "n", "comp"]
+            dealt = _dealt(some.select("anchor", "side", *names), names, F.sum("n"), hot * ROOM).join(sets, "node").select("anchor", "cut", "side", *names, "s")
+            more = dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut").mapInArrow(_compare(_alike(threshold, similarity)), "a long, b long")
+            linked = materialize(linked.unionByName(more), "links")
+            forget(spark, sets)
+            roots = None if linked.isEmpty() else materialize(components(linked, "a", "b"), "roots")
     of = nodes.select("d1", "d2", "node")
     if roots is not None:
         of = of.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))

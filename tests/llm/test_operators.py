@@ -328,6 +328,58 @@ def test_similar_documents(spark, how):
     assert len(set(got.values())) < 40 and simhash.similar_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits", [2, 7])
+def test_similar_documents_of_a_large_group(spark, monkeypatch, edits):
+    """Copies of a text that are mostly just (2 edits) or far (7) too different: rows in proportion to the texts, no link lost."""
+    r = random.Random(17)
+    base, texts = words(900, 150).split(), []
+    for _ in range(200):
+        edited = list(base)
+        for k in r.sample(range(len(base)), edits):
+            edited[k] = words(r.randint(0, 10**6), 1)
+        texts.append(" ".join(edited))
+    texts = sorted(set(texts))
+    cut = [t.encode().lower().split() for t in texts]
+    sets = [simhash.shingles(w, 5) for w in cut]
+    fps = np.array([simhash.word_fingerprint(w) for w in cut], np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 8
+    par = [np.frombuffer(simhash.parities(x), np.uint64) for x in sets]
+    root, n = np.arange(len(texts)), 0
+    for a, b in zip(*np.nonzero(near), strict=True):
+        if a < b:
+            n += 1
+            m = len(np.intersect1d(sets[a], sets[b]))
+            assert np.bitwise_count(par[a] ^ par[b]).sum() <= len(sets[a]) + len(sets[b]) - 2 * m
+            if m >= 0.8 * (len(sets[a]) + len(sets[b]) - m) - 1e-9 and root[a] != root[b]:
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert n > 30 * len(texts)
+    rows, settle = {}, simhash.materialize
+
+    def counted(df, name):
+        got = settle(df, name)
+        rows[name] = rows.get(name, 0) + got.count()
+        return got
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(df).collect()}
+    assert [got[k] for k in range(len(texts))] == root.tolist()
+    assert rows["candidates"] <= 12 * len(texts) and rows["links"] <= 24 * len(texts)
+
+
+def test_parities_fold():
+    r = np.random.default_rng(3)
+    s = [np.unique(r.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)) for n in (1, 80, 90, 400, 9000)]
+    par = np.array([simhash.parities(x) for x in s] + [b""], object)[:-1]
+    assert [8 * len(x) for x in par] == [64, 64, 128, 512, 4096]
+    a, b = np.array([0, 1, 2, 3, 1, 3]), np.array([1, 2, 3, 4, 1, 2])
+    got = simhash.differing(par, a, b)
+    for x, y, d in zip(a, b, got, strict=True):
+        w = min(len(par[x]), len(par[y])) * 8
+        odd = [np.bincount((z.view(np.uint64) % np.uint64(w)).astype(int), minlength=w) & 1 for z in (s[x], s[y])]
+        assert d == (odd[0] != odd[1]).sum() <= len(np.setxor1d(s[x], s[y]))
+
+
 def test_pii(spark):
     r = random.Random(5)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -191,13 +191,11 @@ def _compare(group):
     return run
 
 
-def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | None = None) -> DataFrame:
+def _met(points: DataFrame, threshold: int, pairs: bool, hot: int) -> DataFrame:
     """``(anchor, cut, side, fp, ...)``: the rows of ``points`` (``fp`` and others) at every anchor they are compared at, in order.
 
     ``side`` has 1 for what is at home there and 2 for what it is compared with; a
     hot anchor's rows are dealt to cuts, each a block of homes with a block of all.
-    With ``flag``, a column that is 0 or 1, only rows with 1 are at home, and only
-    the anchors where such rows are count.
     """
     names = points.columns
     step = 2048 if pairs else 16384
@@ -209,15 +207,10 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int, flag: str | N
             for at in range(0, len(fp), step):
                 row, key, home = placements(fp[at : at + step], pairs, threshold)
                 take = pa.array(row + at)
-                if flag:
-                    home = home & (b.column(flag).to_numpy()[row + at] > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(home, 3, 2).astype(np.int32)), *[c.take(take) for c in b.columns]], ["anchor", "side", *names])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     placed = points.mapInArrow(place, f"anchor long, side int, {fields}")
-    if flag:
-        lively = placed.filter("side = 3").select("anchor").distinct()  # three times 4096 anchors at most
-        placed = placed.join(F.broadcast(lively) if not pairs else lively, "anchor", "left_semi").select("anchor", "side", *names)
     dealt = _dealt(placed, names, F.count(F.lit(1)), hot)
     return dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
 
@@ -331,23 +324,30 @@ def _likely(threshold: int, similarity: float, side, fp, n, comp, par):
 
 
 def _nearest(threshold: int, similarity: float, most: int):
-    """Of a group's homes the ``most`` likeliest others, and whether there are more."""
+    """Of a group's homes the ``most`` likeliest others, as pairs; of homes that have more, who meets there (3 at home, 2
+    others), as rows ``(null, null, anchor, node, side)``."""
 
-    def group(side, fp, node, n, comp, due, par):
-        found = []
-        for r, c, odd, d in _likely(threshold, similarity, side, fp, n, comp, par):
+    def group(anchor, side, fp, node, n, par):
+        found, mark = [], np.zeros(len(fp), np.int32)
+        for r, c, odd, d in _likely(threshold, similarity, side, fp, n, node, par):
             order = np.lexsort((node[c], d, odd, r))
             r, c = r[order], c[order]
-            first = np.concatenate([[True], r[1:] != r[:-1]])
-            start = np.flatnonzero(first)
+            start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             count = np.diff(np.append(start, len(r)))
-            rank = np.arange(len(r)) - np.repeat(start, count)
-            near = rank < most
-            found.append((node[r[near]], node[c[near]], np.repeat(count, count)[near] > most))
+            near = np.arange(len(r)) - np.repeat(start, count) < most
+            more = np.repeat(count, count) > most
+            mark[r[more]] |= 3
+            mark[c[more]] |= 2
+            found.append((node[r[near]], node[c[near]]))
         if not found:
             return None
-        a, b, more = map(np.concatenate, zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(a), pa.array(more)], ["a", "b", "home", "more"])
+        a, b = map(np.concatenate, zip(*found, strict=True))
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        own = np.flatnonzero(mark)
+        none = lambda k, t: pa.nulls(k, t)
+        pairs = [pa.array(a), pa.array(b), none(len(a), pa.int64()), none(len(a), pa.int64()), none(len(a), pa.int32())]
+        meets = [none(len(own), pa.int64()), none(len(own), pa.int64()), pa.array(anchor[own]), pa.array(node[own]), pa.array(mark[own])]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(pairs, meets, strict=True)], ["a", "b", "anchor", "node", "side"])
 
     return group
 
@@ -355,7 +355,7 @@ def _nearest(threshold: int, similarity: float, most: int):
 def _concerned(threshold: int, similarity: float):
     """A group's homes with likely others, and these: who must be compared in shingles."""
 
-    def group(anchor, side, fp, node, n, comp, due, par):
+    def group(anchor, side, fp, node, n, comp, par):
         mark = np.zeros(len(fp), np.int32)
         for r, c, _, _ in _likely(threshold, similarity, side, fp, n, comp, par):
             mark[r] |= 3
@@ -440,7 +440,7 @@ def similar_documents(
     prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long, par binary"), "prints")
     firsts = prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"))
     nodes = materialize(firsts.join(prints.select(F.col("rk").alias("node"), "fp", "n", "par"), "node"), "nodes")
-    points = nodes.filter("n > 0").select("fp", "node", "n", F.col("node").alias("comp"), F.lit(1).cast("long").alias("due"), "par")
+    points = nodes.filter("n > 0").select("fp", "node", "n", "par")
 
     def cut(batches):
         for b in batches:
@@ -454,10 +454,11 @@ def similar_documents(
         return materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
 
     # the likeliest candidates
-    found = _met(points, threshold, False, hot).mapInArrow(_compare(_nearest(threshold, similarity, nearest)), "a long, b long, home long, more boolean")
+    met = _met(points, threshold, False, hot).select("anchor", "cut", F.col("anchor").alias("at"), "side", *points.columns)
+    found = met.mapInArrow(_compare(_nearest(threshold, similarity, nearest)), "a long, b long, anchor long, node long, side int")
     found = materialize(found, "found")
-    tried = materialize(found.select("a", "b").distinct(), "candidates")
-    left = materialize(found.filter("more").select(F.col("home").alias("node")).distinct().withColumn("due", F.lit(1).cast("long")), "left")
+    tried = materialize(found.filter("a is not null").select("a", "b").distinct(), "candidates")
+    left = materialize(found.filter("a is null").groupBy("anchor", "node").agg(F.max("side").alias("side")), "left")
     sets = sets_of(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))))
     both = tried.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -467,13 +468,17 @@ def similar_documents(
         forget(spark, table)
     roots = None if linked.isEmpty() else materialize(components(linked, "a", "b"), "roots")
 
-    # and all that are left
+    # and all that are left, where some of another component are
     if not left.isEmpty():
-        comp = F.col("node") if roots is None else F.coalesce("root", "node")
-        again = points.drop("comp", "due").join(left, "node", "left")
-        again = again if roots is None else again.join(roots, "node", "left")
-        again = materialize(again.select("fp", "node", "n", comp.alias("comp"), F.coalesce("due", F.lit(0)).alias("due"), "par"), "points")
-        met = _met(again, threshold, False, hot, "due").select("anchor", "cut", F.col("anchor").alias("at"), "side", *again.columns)
+        if roots is not None:
+            left = left.join(roots, "node", "left").select("anchor", "node", "side", F.coalesce("root", "node").alias("comp"))
+        else:
+            left = left.withColumn("comp", F.col("node"))
+        mixed = left.groupBy("anchor").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("anchor")
+        names = ["fp", "node", "n", "comp", "par"]
+        left = left.join(mixed, "anchor", "left_semi").join(points, "node").select("anchor", "side", *names)
+        met = _dealt(materialize(left, "mixed"), names, F.count(F.lit(1)), hot).select("anchor", "cut", F.col("anchor").alias("at"), "side", *names)
+        met = met.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
         some = met.mapInArrow(_compare(_concerned(threshold, similarity)), "anchor long, side int, fp long, node long, n long, comp long")
         some = materialize(some.groupBy("anchor", "node", "fp", "n", "comp").agg(F.max("side").alias("side")), "concerned")
         if not some.isEmpty():

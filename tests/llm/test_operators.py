@@ -538,6 +538,27 @@ def test_toxicity_stems(spark):
         assert toxicity.auc(np.array([o[0] for o in own]), np.array([o[1] for o in own])) > 0.9
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """A mark only in rows that the driver's start leaves out still tells; the weights come back as they went."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(43)
+    ids = spark.range(1600).select("id", F.xxhash64(F.lit("sample"), "id").alias("h")).collect()
+    late = {x["id"] for x in sorted(ids, key=lambda x: x["h"])[500:]}
+    bad = {k: r.random() < 0.5 for k in range(1600)}
+    def text(k):
+        w = words(20_000 + k, 30).split()
+        mark = "zqzqlate" if k in late else "xvxvearly"
+        return " ".join([*w[:15], *[mark] * bad[k], *w[15:]])
+    docs = spark.createDataFrame([(k, text(k), "en") for k in range(1600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(bad[k])) for k in range(1600)], "doc_id long, toxic int")
+    got = [x for x in toxicity.score(docs, labels, sample=100).collect() if x["held_out"] and x["doc_id"] in late]
+    assert len(got) > 100 and toxicity.auc(np.array([x["score"] for x in got]), np.array([bad[x["doc_id"]] for x in got])) > 0.9
+    assert sum(x["predicted"] == bad[x["doc_id"]] for x in got) > 0.85 * len(got)
+    net = toxicity.Network.new(5)
+    assert (net.filled(net.flat()).flat() == net.flat()).all()
+
+
 def nearest_by_force(rows, queries, k):
     """(query_id, rank, vec_id, score) over (id, vector) rows; of each query's own rows one is left out."""
     out = []

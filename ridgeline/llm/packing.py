@@ -12,10 +12,13 @@ length; executors rank the pieces of a length and look their slots up.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import apart, materialize
+from .bpe import byte_symbols
+from .common import apart, materialize, tidy
 
 CAPACITY = 2048
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 300_000  # most entries of each of a worker's tables
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+LINES = re.compile(f"^(?:{PLAIN.pattern}|.+)$", re.MULTILINE)  # PLAIN, or nothing, for each line
 ODD_SPACE = tuple("\x1c\x1d\x1e\x1f")
 
 
@@ -157,6 +162,13 @@ def intervals(groups: list[tuple[tuple[int, ...], int]]) -> Plan:
     return Plan(a[:, 0], a[:, 1], a[:, 2], a[:, 3], first)
 
 
+def renewed(table: dict[str, bytes], wanted: set[str], lacking: set[str]) -> dict[str, bytes]:
+    """The table, or, where it would grow too large, what is wanted of it."""
+    if len(table) + len(lacking) <= CACHE_CHUNKS:
+        return table
+    return {c: table[c] for c in wanted - lacking}
+
+
 class LibraryIds:
     """Ids by the tokenizers library; chunks between white space are kept in a bounded table."""
 
@@ -171,41 +183,56 @@ class LibraryIds:
         self.tokenizer.no_padding()
         self.table: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
         # what the tables rest on is asked of the vocabulary, not taken for granted
         words, gaps = ("Hello", "WORLD", "\u00e9t\u00c9", "naïve", "don't", "x1", "中文", "a"), (" ", "  ", "\n", "\t\n ")
         one = lambda t: self.ids([t])[0]
         self.chunked = all(one(f"{g}{a}{g}{b}{g}") == one(a) + one(b) for a in words for b in words[:4] for g in gaps)
         self.folded = self.chunked and all(one(w) == one(w.lower()) and one(w + m) == one(w) + one(m) for w in words[:4] for m in ".,;:!?")
+        low = [c for c in map(chr, range(256)) if PLAIN.fullmatch(c) and c == c.lower()]
+        self.spelt = self.folded and self.spell(few := [*low, *[a + b for a in low for b in low], *[w.lower() for w in words[:4]]]) == dict(zip(few, self.ids(few), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk: one text of all of them is encoded, and each token goes to the chunk it starts in."""
-        got = self.tokenizer.encode_batch([" ".join(chunks)], add_special_tokens=False)[0]
-        ends = np.cumsum([len(c) + 1 for c in chunks])  # a chunk's blank counts as its own
-        of = np.searchsorted(ends, np.array([o[0] for o in got.offsets], np.int64), side="right")
-        cut = np.searchsorted(of, np.arange(len(chunks) + 1)) * 4
-        raw = np.array(got.ids, "<u4").tobytes()
-        return {c: raw[cut[k] : cut[k + 1]] for k, c in enumerate(chunks)}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Enter chunks into the table.  Where letters and one mark behind them are words of their own to the
+    def apart(self, chunks: list[str], step: int = 2_000) -> dict[str, bytes]:
+        """Ids of each chunk: one text of ``step`` of them is encoded, and each token goes to the chunk it starts in."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(chunks), step):
+            part = chunks[at : at + step]
+            got = self.tokenizer.encode_batch([" ".join(part)], add_special_tokens=False)[0]
+            ends = np.cumsum([len(c) + 1 for c in part])  # a chunk's blank counts as its own
+            of = np.searchsorted(ends, np.array([o[0] for o in got.offsets], np.int64), side="right")
+            cut = (np.searchsorted(of, np.arange(len(part) + 1)) * 4).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            out.update([(c, raw[cut[k] : cut[k + 1]]) for k, c in enumerate(part)])
+        return out
+
+    def spell(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of small letters by the library's model alone, which takes the symbols of a word's bytes."""
+        encode, symbols = self.tokenizer.model.tokenize, self.symbols
+        return {w: array("I", [t.id for t in encode(w if w.isascii() else "".join([symbols[b] for b in w.encode()]))]).tobytes() for w in words}
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that the table lacks.  Where letters and one mark behind them are words of their own to the
         tokenizer, and case is dropped, such a chunk is put together from what is known of its parts."""
-        table, words, match = self.table, self.words, PLAIN.fullmatch
-        if len(table) + len(chunks) > CACHE_CHUNKS:
-            table.clear()
-        if len(words) > CACHE_CHUNKS:
-            words.clear()
-        parts = [(c, m[1].lower(), m[2]) for c in chunks if (m := match(c))] if self.folded else []
-        lacking = list({w for _, w, _ in parts if w not in words} | {m for _, _, m in parts if m and m not in words})
-        for at in range(0, len(lacking), 2_000):
-            words.update(self.apart(lacking[at : at + 2_000]))
-        for c, w, m in parts:
-            table[c] = words[w] + words[m] if m else words[w]
-        rest = [c for c in chunks if c not in table]
-        for at in range(0, len(rest), 2_000):
-            table.update(self.apart(rest[at : at + 2_000]))
+        if not self.folded:
+            return self.apart(chunks)
+        parts = LINES.findall("\n".join(chunks))  # no chunk holds white space
+        low = " ".join([w for w, _ in parts]).lower().split(" ")
+        wanted = set(low) - {""}
+        lacking = wanted.difference(self.words)
+        self.words = words = renewed(self.words, wanted, lacking)
+        words.update((self.spell if self.spelt else self.apart)(list(lacking)))
+        marks = self.apart(list({m for _, m in parts if m}))
+        out, rest = {}, []
+        for c, w, (_, m) in zip(chunks, low, parts, strict=True):
+            if w:
+                out[c] = words[w] + marks[m] if m else words[w]
+            else:
+                rest.append(c)
+        out.update(self.apart(rest))
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -215,27 +242,21 @@ class LibraryIds:
         where white space doesn't part them into chunks of their own."""
         if not self.chunked:
             return self.ids(texts)
-        out: list[bytes] = [b""] * len(texts)
-        table, lacking, new = self.table, [], set()
-        for k, text in enumerate(texts):
-            if any(c in text for c in ODD_SPACE):  # str.split() would split there, the tokenizer doesn't
-                out[k] = self.ids([text])[0]
-                continue
-            chunks = text.split()
-            got = list(map(table.get, chunks))
-            if None in got:
-                at = [i for i, x in enumerate(got) if x is None]
-                lacking.append((k, chunks, got, at))
-                new.update([chunks[i] for i in at])
-            else:
-                out[k] = b"".join(got)
-        if new:
-            self.learn(list(new))
-        for k, chunks, got, at in lacking:
-            for i in at:
-                got[i] = table[chunks[i]]
-            out[k] = b"".join(got)
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            # str.split() would split at ODD_SPACE, the tokenizer doesn't
+            lists = [None if any(c in text for c in ODD_SPACE) else text.split() for text in texts]
+            wanted = set(chain.from_iterable(filter(None, lists)))
+            lacking = wanted.difference(self.table)
+            self.table = renewed(self.table, wanted, lacking)
+            if lacking:
+                self.table.update(self.learn(list(lacking)))
+            of = self.table.__getitem__
+            return [self.ids([text])[0] if x is None else b"".join(map(of, x)) for text, x in zip(texts, lists, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -270,7 +291,7 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, capacit
             )
 
     got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(
-        run, f"_id {kind}, piece int, start long, length long, ids_crc32 long"
+        tidy(run), f"_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
     return got.withColumnRenamed("_id", id_col)
 
@@ -322,7 +343,7 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
                 [*[f.name for f in schema], "sequence_id", "offset"],
             )
 
-    return ranked(cut, id_col, sum(counts.values())).mapInArrow(place, spec)
+    return ranked(cut, id_col, sum(counts.values())).mapInArrow(tidy(place), spec)
 
 
 def sequences_needed(counts: dict[int, int], capacity: int = CAPACITY) -> int:

@@ -142,6 +142,24 @@ def test_packing_with_any_vocabulary():
     assert (True, True) in kinds
 
 
+def test_packing_tables_stay_small(monkeypatch):
+    """A table that grows too large keeps what the texts at hand have, and ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 400)
+    own, library = packing.LibraryIds(VOCAB), Tokenizer.from_file(VOCAB)
+    assert own.spelt
+    learnt, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda chunks: learnt.extend(chunks) or learn(chunks))
+    common = "the Été, Straße! ÀÿÖ; don't x1 中文 <|endoftext|> a@b.c"
+    for seed in range(12):
+        texts = [common, words(seed, 150).title() + ". " + common, "a\x1cb", ""]
+        for t, ids in zip(texts, own.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(own.table) <= 400 and len(own.words) <= 400
+    assert len(learnt) > 800 and all(learnt.count(c) == 1 for c in common.split())
+
+
 def test_packing(spark):
     got = packing.pack(documents(spark), VOCAB, capacity=64).toPandas()
     at = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")

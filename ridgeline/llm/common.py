@@ -53,8 +53,15 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many texts, so that what is made of them stays small on both sides."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["apart", "delete", "forget", "keyed", "materialize", "new_path", "partitions", "shared_dir", "tidy"]
+__all__ = ["apart", "delete", "forget", "keyed", "materialize", "new_path", "partitions", "shared_dir", "sliced", "tidy"]

@@ -37,14 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, partitions
+from .common import keyed, materialize, partitions, sliced, tidy
 
 GRAM = 48
 GRAMS = (GRAM, 128, 208)  # of anchors that stay hot; a whole window follows
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE_BITS = 24  # chunks are at most 2**24 bytes
-CHUNK = 1 << 20
-SHARD_BYTES = 4 << 20
+CHUNK = 1 << 18  # bytes looked through at once; temporary arrays take some hundred times that
+SHARD_BYTES = 4 << 20  # of a task
+SORT_BYTES = 1 << 20  # that are sorted at once, but for whole anchors
 HOT_BYTES = (2 << 20, 16 << 20)  # of an anchor that is cut anew, and of one that stays so although it was; that much is sorted at once
 SEPARATOR = 0xFF  # in no UTF-8 text
 
@@ -67,7 +68,7 @@ def _powers(base: int, bits: int) -> np.ndarray:
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A mixed polynomial hash, modulo 2**64, of every gram; only anchors rest on it, never equality."""
     n = len(data)
-    bits = max(21, n.bit_length())
+    bits = max(19, n.bit_length())
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _powers(int(BASE), bits)[:n], out=sums[1:])
     return _mix((sums[size:] - sums[:-size]) * _powers(pow(int(BASE), -1, 1 << 64), bits)[: n + 1 - size])
@@ -329,7 +330,7 @@ def _pieces_batch(rows):
 
 def _fetch(batches):
     """The bytes of each representative, from its document's text."""
-    for b in batches:
+    for b in sliced(batches):
         texts, lists = b.column("b").to_pylist(), b.column("reps").to_pylist()
         rows, size = [], 0
         for t, reps in zip(texts, lists, strict=True):
@@ -365,7 +366,7 @@ def _sort_shards(length: int, least: int):
         rows, size = [], 0
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size > SHARD_BYTES and r[0] != rows[-1][0]:
+                if size > SORT_BYTES and r[0] != rows[-1][0]:
                     yield from done(rows)
                     rows, size = [], 0
                 rows.append(r)
@@ -417,11 +418,11 @@ def _hits(pieces: DataFrame, length: int, least: int, level: int = 0) -> DataFra
     shards = max(partitions(spark), -(-total // SHARD_BYTES))
     cool = pieces if hot is None else pieces.join(hot, "h", "left_anti")
     shard = cool.select(*_KEY, "n", "copies", "lo", "hi", "bytes").repartition(shards, "h").sortWithinPartitions("h")
-    hits = shard.mapInArrow(_sort_shards(length, least), f"d1 long, d2 long, gone {_SPANS}, seen {_SPANS}")
+    hits = shard.mapInArrow(tidy(_sort_shards(length, least)), f"d1 long, d2 long, gone {_SPANS}, seen {_SPANS}")
     if hot is None:
         return hits
     parts = pieces.join(hot, "h", "left_semi").select(*_KEY, "n", "copies", "lo", "hi", "bytes")
-    parts = materialize(parts.mapInArrow(_recut(length, least, gram[level + 1]), f"p1 long, p2 long, at int, {_PIECE}"), "recut")
+    parts = materialize(parts.mapInArrow(tidy(_recut(length, least, gram[level + 1])), f"p1 long, p2 long, at int, {_PIECE}"), "recut")
     distinct = parts.groupBy(*_KEY).agg(
         F.min("n").alias("n"), F.sum("copies").alias("copies"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("bytes").alias("bytes")
     )
@@ -447,7 +448,7 @@ def _union(spans) -> list[list[int]]:
 def _drop(batches):
     """Only texts with marks are taken apart; the others' bytes stay where they are."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for b in batches:
+    for b in sliced(batches):
         marked = b.column("gone").is_valid()
         part = b.filter(marked)
         kept, spans, seen = [], [[]] * b.num_rows, [[]] * b.num_rows
@@ -484,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")), "_id", "_t")
     whole = whole.select("rk", "_id", F.coalesce(F.col("_t").cast("binary"), F.lit(b"")).alias("b"))
     long_enough = whole.select("rk", "b").filter(F.octet_length("b") >= least)
-    found = long_enough.mapInArrow(_scan(least, length), "rk long, first long, h long, d1 long, d2 long, n int, size int")
+    found = long_enough.mapInArrow(tidy(_scan(least, length)), "rk long, first long, h long, d1 long, d2 long, n int, size int")
 
     # equal segments collapse; anchors that occur once can't repeat, those with one distinct segment need no sorting
     distinct = found.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk", "first", "n", "size")).alias("rep"), F.max("rk").alias("hi"))
@@ -497,7 +498,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     reps = reps.groupBy("rk").agg(F.collect_list("r").alias("reps"))  # as many as the document's length allows
     dealt = whole.repartition(partitions(spark), "rk")
-    pieces = materialize(dealt.select("rk", "b").join(reps, "rk").select("b", "reps").mapInArrow(_fetch, _PIECE), "pieces")
+    pieces = materialize(dealt.select("rk", "b").join(reps, "rk").select("b", "reps").mapInArrow(tidy(_fetch), _PIECE), "pieces")
     hits = _hits(pieces, length, least)
 
     copies = distinct.filter("copies > 1").join(anchors.filter("kinds = 1").select("h"), "h", "left_semi")
@@ -515,4 +516,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("rk").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("gone", "seen")])  # one document's
     out = dealt.join(spans, "rk", "left").select("_id", "b", "gone", "seen")
     places = "array<struct<start:long,end:long>>"
-    return out.mapInArrow(_drop, f"_id {kind}, kept binary, spans {places}, shared {places}").withColumnRenamed("_id", id_col)
+    return out.mapInArrow(tidy(_drop), f"_id {kind}, kept binary, spans {places}, shared {places}").withColumnRenamed("_id", id_col)

@@ -82,6 +82,35 @@ def removed(df, **how):
     return [(bytes(r["kept"]), [tuple(s) for s in r["shared"]]) for r in suffix_dedup.remove_repeats(df, **how).collect()]
 
 
+def test_suffix_dedup_takes_little_memory():
+    """A worker's arrays are bounded by what is looked through, sorted or taken apart at once, not by its batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    texts = [r.integers(97, 123, 2000, np.uint8).tobytes() for _ in range(2000)]
+    rk = pa.array(range(2000), pa.int64())
+    spans = pa.array([[{"a": 10 * (k % 9), "z": 500}] if k % 3 else None for k in range(2000)], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
+    rows = [pa.array(c, t) for c, t in zip(zip(*[(k, k, k, 1600, 1, k, k, t) for k, t in enumerate(texts)], strict=True), [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()], strict=True)]
+    whole = pa.RecordBatch.from_arrays([rk, pa.array(texts), spans, spans], ["_id", "b", "gone", "seen"])
+    jobs = [
+        (suffix_dedup._scan(256, 400), pa.RecordBatch.from_arrays([rk, pa.array(texts)], ["rk", "b"])),
+        (suffix_dedup._sort_shards(400, 256), pa.RecordBatch.from_arrays(rows, [*"abcdefgh"])), (suffix_dedup._drop, whole),
+    ]
+    for job, batch in jobs:
+        suffix_dedup._powers.cache_clear()
+        tracemalloc.start()
+        for _ in job(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6
+    got = [x for b in suffix_dedup._drop(iter([whole])) for x in b.to_pylist()]
+    assert [x["_id"] for x in got] == list(range(2000))
+    assert all(x["kept"] == (t[: 10 * (k % 9)] + t[500:] if k % 3 else t) for k, (x, t) in enumerate(zip(got, texts, strict=True)))
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT_BYTES, (100, 100)])
 def test_remove_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)

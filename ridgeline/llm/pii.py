@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone", "secret", "account")
 BASE_KINDS = KINDS[:4]
 LONGEST = 15  # tokens of an entity; eight groups and seven colons make an address of version 6
@@ -552,5 +554,5 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 
     spec = ", ".join(f"_k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     got = docs.select(F.col(text_col).cast("string").alias("_t"), *[F.col(f.name).alias(f"_k{i}") for i, f in enumerate(fields)])
-    got = got.mapInArrow(run, f"{spec}, base {spans}, spans {spans}, redacted string")
+    got = got.mapInArrow(tidy(run), f"{spec}, base {spans}, spans {spans}, redacted string")
     return got.select(*[F.col(f"_k{i}").alias(f.name) for i, f in enumerate(fields)], "base", "spans", "redacted")

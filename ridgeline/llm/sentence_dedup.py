@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed, materialize
+from .common import forget, keyed, materialize, sliced, tidy
 
 RUN = 3
 LEAST_WORDS = 12
@@ -136,7 +136,7 @@ def spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> Da
     """``(rk, at, h)`` for every span of ``(rk, t)``."""
 
     def go(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows, at, h = [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
                 for j, x in span_hashes(t, run, least_words):
@@ -147,14 +147,14 @@ def spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> Da
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(h, pa.int64())], ["rk", "at", "h"]
             )
 
-    return docs.mapInArrow(go, "rk long, at int, h long")
+    return docs.mapInArrow(tidy(go), "rk long, at int, h long")
 
 
 def _cut(run: int, least_words: int, carried: int):
     """Columns t, hits and the carried ones become kept, removed, n_sentences_removed and the carried ones."""
 
     def go(batches):
-        for b in batches:
+        for b in sliced(batches):
             kept, dropped, total = [], [], []
             for t, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 where, _, counts = said(t) if hit else ([], [], [])
@@ -211,5 +211,5 @@ def remove_repeated_spans(
     hits = again.groupBy("rk").agg(F.collect_set("at").alias("hits"))  # as many as the document has sentences
     out = whole.join(hits, "rk", "left").select("t", "hits", *[f"_k{i}" for i in range(len(names))])
     spec = ", ".join(f"_k{i} {k}" for i, k in enumerate(kinds))
-    cut = out.mapInArrow(_cut(run, least_words, len(names)), f"kept string, removed array<struct<start:long,end:long>>, n_sentences_removed long, {spec}")
+    cut = out.mapInArrow(tidy(_cut(run, least_words, len(names))), f"kept string, removed array<struct<start:long,end:long>>, n_sentences_removed long, {spec}")
     return cut.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)], "kept", "removed", "n_sentences_removed")

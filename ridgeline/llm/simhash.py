@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, forget, keyed, materialize, partitions
+from .common import apart, forget, keyed, materialize, partitions, sliced, tidy
 from .components import components
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fp = np.array([fingerprint(t or "") for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["_id", "fp"])
 
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"_id {kind}, fp long")
+    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(tidy(run), f"_id {kind}, fp long")
     return got.withColumnRenamed("_id", id_col)
 
 
@@ -210,7 +210,7 @@ def _met(points: DataFrame, threshold: int, pairs: bool, hot: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(home, 3, 2).astype(np.int32)), *[c.take(take) for c in b.columns]], ["anchor", "side", *names])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    placed = points.mapInArrow(place, f"anchor long, side int, {fields}")
+    placed = points.mapInArrow(tidy(place), f"anchor long, side int, {fields}")
     dealt = _dealt(placed, names, F.count(F.lit(1)), hot)
     return dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
 
@@ -244,7 +244,7 @@ def links(points: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, many: i
         edges = forest(np.ascontiguousarray(fp[side & 1 > 0]), np.ascontiguousarray(fp[side & 2 > 0]), threshold)
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]) if edges else None
 
-    return _met(points.select("fp"), threshold, pairs, hot).mapInArrow(_compare(group), "a long, b long")
+    return _met(points.select("fp"), threshold, pairs, hot).mapInArrow(tidy(_compare(group)), "a long, b long")
 
 
 # ---- similarity of shingles ----
@@ -424,7 +424,7 @@ def similar_documents(
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")), "_id", "_t")
 
     def sketch(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().lower().split()
@@ -437,7 +437,7 @@ def similar_documents(
                 ["rk", "d1", "d2", "fp", "n", "par"],
             )
 
-    prints = materialize(rows.select("rk", "_t").mapInArrow(sketch, "rk long, d1 long, d2 long, fp long, n long, par binary"), "prints")
+    prints = materialize(rows.select("rk", "_t").mapInArrow(tidy(sketch), "rk long, d1 long, d2 long, fp long, n long, par binary"), "prints")
     firsts = prints.groupBy("d1", "d2").agg(F.min("rk").alias("node"))
     nodes = materialize(firsts.join(prints.select(F.col("rk").alias("node"), "fp", "n", "par"), "node"), "nodes")
     points = nodes.filter("n > 0").select("fp", "node", "n", "par")
@@ -451,11 +451,11 @@ def similar_documents(
 
     def sets_of(some: DataFrame) -> DataFrame:
         texts = rows.select(F.col("rk").alias("node"), "_t").join(some.select("node").distinct(), "node", "left_semi")
-        return materialize(texts.mapInArrow(cut, "node long, s array<long>"), "sets")
+        return materialize(texts.mapInArrow(tidy(cut), "node long, s array<long>"), "sets")
 
     # the likeliest candidates
     met = _met(points, threshold, False, hot).select("anchor", "cut", F.col("anchor").alias("at"), "side", *points.columns)
-    found = met.mapInArrow(_compare(_nearest(threshold, similarity, nearest)), "a long, b long, anchor long, node long, side int")
+    found = met.mapInArrow(tidy(_compare(_nearest(threshold, similarity, nearest))), "a long, b long, anchor long, node long, side int")
     found = materialize(found, "found")
     tried = materialize(found.filter("a is not null").select("a", "b").distinct(), "candidates")
     left = materialize(found.filter("a is null").groupBy("anchor", "node").agg(F.max("side").alias("side")), "left")
@@ -479,13 +479,13 @@ def similar_documents(
         left = left.join(mixed, "anchor", "left_semi").join(points, "node").select("anchor", "side", *names)
         met = _dealt(materialize(left, "mixed"), names, F.count(F.lit(1)), hot).select("anchor", "cut", F.col("anchor").alias("at"), "side", *names)
         met = met.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut")
-        some = met.mapInArrow(_compare(_concerned(threshold, similarity)), "anchor long, side int, fp long, node long, n long, comp long")
+        some = met.mapInArrow(tidy(_compare(_concerned(threshold, similarity))), "anchor long, side int, fp long, node long, n long, comp long")
         some = materialize(some.groupBy("anchor", "node", "fp", "n", "comp").agg(F.max("side").alias("side")), "concerned")
         if not some.isEmpty():
             sets = sets_of(some)
             names = ["fp", "node", "n", "comp"]
             dealt = _dealt(some.select("anchor", "side", *names), names, F.sum("n"), hot * ROOM).join(sets, "node").select("anchor", "cut", "side", *names, "s")
-            more = dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut").mapInArrow(_compare(_alike(threshold, similarity)), "a long, b long")
+            more = dealt.repartition(partitions(spark), "anchor", "cut").sortWithinPartitions("anchor", "cut").mapInArrow(tidy(_compare(_alike(threshold, similarity))), "a long, b long")
             linked = materialize(linked.unionByName(more), "links")
             forget(spark, sets)
             roots = None if linked.isEmpty() else materialize(components(linked, "a", "b"), "roots")

@@ -226,6 +226,26 @@ def test_sentences_of_few_words(spark):
     assert [sentence_dedup.runs(c, 3, 12) for c in ([1] * 14, [12, 1, 1, 1], [5, 5], [1, 2, 3])] == [[(0, 12), (1, 13), (2, 14)], [(0, 3), (0, 4)], [], []]
 
 
+def test_sentences_come_in_small_batches():
+    """A text has hundreds of runs: ten thousand texts at once would fill a worker."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, spec):
+            return run
+
+    texts = [words(k, 400).replace(" ", ". ") for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["rk", "t"])
+    got = list(sentence_dedup.spans(Frame())(iter([batch])))
+    assert max(b.num_rows for b in got) < 300_000
+    each = [(k, j, h) for k, t in enumerate(texts) for j, h in sentence_dedup.span_hashes(t, sentence_dedup.RUN, sentence_dedup.LEAST_WORDS)]
+    assert [tuple(x.values()) for b in got for x in b.to_pylist()] == each
+    cut = sentence_dedup._cut(sentence_dedup.RUN, sentence_dedup.LEAST_WORDS, 0)
+    hits = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([None] * 2000, pa.list_(pa.int32()))], ["t", "hits"])
+    out = list(cut(iter([hits])))
+    assert max(b.num_rows for b in out) < 1000 and [t for b in out for t in b.column(0).to_pylist()] == texts
+
+
 def kept_by_force(texts):
     """Runs as lists of words, the first in the order of documents and runs; what any other covers goes."""
     first, hits = {}, {}

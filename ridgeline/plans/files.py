@@ -5,17 +5,20 @@ Files are in the shared folder, which must be mounted where the session runs, an
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import registry
 from ..session import new_path
 from ..sources import codes, datasource, las
+from ..sources.errors import DataError
 from ..sources.formats import EMPTY, EXTENSIONS, detect
 
 RES = 1000.0
@@ -70,20 +73,32 @@ def converted(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def las_files(spark: SparkSession, events: DataFrame) -> str:
-    """A LAS file for each partition of ``events``, written by the executors: x is the id, y the seconds of the day, z the value in hundredths."""
+    """A LAS file for each partition of ``events`` that has rows, written by the executors: x is the id, y the seconds of the day, z the value in hundredths.
+
+    Raw x counts from the partition's first id, for ids can be beyond 32 bits.
+    """
     at = folder(spark, "las")
 
+    def raw(b: pa.RecordBatch, base: int) -> np.ndarray:
+        c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names}
+        x = c["id"] - base
+        if len(x) and (x.min() < -(1 << 31) or x.max() >= 1 << 31):
+            raise DataError(f"ids of one partition are too far apart for a LAS file: {c['id'].min()} and {base}")
+        r = np.zeros(len(x), las.CORE)
+        r["x"], r["y"], r["z"], r["intensity"], r["flags"], r["class"] = x, c["sec"], c["cents"], c["id"] % 65536, c["id"] % 256, c["id"] // 256 % 256
+        r["angle"], r["user"], r["source"] = c["id"] % 181 - 90, c["id"] % 200, c["id"] % 1000
+        return r
+
     def run(batches):
-        t = pa.Table.from_batches(batches)
-        if t.num_rows:
-            c = {k: t.column(k).to_numpy() for k in t.column_names}
-            raw = np.zeros(t.num_rows, las.CORE)
-            raw["x"], raw["y"], raw["z"], raw["intensity"], raw["flags"], raw["class"] = c["id"], c["sec"], c["cents"], c["id"] % 65536, c["id"] % 256, c["id"] // 256 % 256
-            raw["angle"], raw["user"], raw["source"] = c["id"] % 181 - 90, c["id"] % 200, c["id"] % 1000
-            own = os.path.join(at, f".{uuid.uuid4().hex}")
-            las.write(own, raw, (1.0, 1.0, 0.01), (0.0, 100.0, 0.0), day=60, year=2016)
-            os.replace(own, os.path.join(at, f"part-{int(c['id'].min())}.las"))  # a repeated attempt has the same rows
-            yield pa.RecordBatch.from_arrays([pa.array([t.num_rows])], ["n"])
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:  # a partition can be empty: a part of a file in which no row group begins
+            return
+        base = first.column("id")[0].as_py()
+        own = os.path.join(at, f".{uuid.uuid4().hex}")
+        n = las.write_parts(own, (raw(b, base) for b in itertools.chain([first], batches)), (1.0, 1.0, 0.01), (float(base), 100.0, 0.0), day=60, year=2016)
+        os.replace(own, os.path.join(at, f"part-{TaskContext.get().partitionId()}.las"))  # a repeated attempt has the same rows
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     e = events.select(F.col("event_id").alias("id"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("sec"), F.round(F.col("value") * 100).cast("int").alias("cents"))
     e.mapInArrow(run, "n long").agg(F.sum("n")).collect()

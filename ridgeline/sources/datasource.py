@@ -36,7 +36,7 @@ RAW_FIELDS = "file string, n long, x double, y double, z double, intensity int,
 def paths(options) -> list[str]:
     at = options["path"].removeprefix("file://")
     found = sorted(glob.glob(at)) or [at]
-    return [f for p in found for f in (sorted(os.path.join(p, x) for x in os.listdir(p)) if os.path.isdir(p) else [p])]
+    return [f for p in found for f in (sorted(os.path.join(p, x) for x in os.listdir(p) if x[0] != ".") if os.path.isdir(p) else [p])]
 
 
 class Block(InputPartition):
@@ -98,6 +98,8 @@ class LasReader(_Reader):
         return [Block(p, k, min(n, k + step)) for p in paths(self.options) for n in [las.header(p)["n_points"]] for k in range(0, n, step)]
 
     def read(self, partition):
+        if partition is None:  # a folder without files
+            return
         path, first, end, _ = partition.value
         h = las.header(path)
         r = las.records(path, h, first, end)
@@ -109,6 +111,8 @@ class LasReader(_Reader):
 
 class LasHeaderReader(_Reader):
     def read(self, partition):
+        if partition is None:
+            return
         path = partition.value[0]
         h = las.header(path)
         first = (os.path.basename(path), f"{h['version_major']}.{h['version_minor']}", las.created(h["day"], h["year"]))

@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline import registry
 from ridgeline.__main__ import command
 from ridgeline.operators import points
+from ridgeline.plans import files
 from ridgeline.sources import formats, geotiff, las, read_raster, write_raster
 from ridgeline.sources.datasource import add_metadata, from_values
 from ridgeline.sources.errors import AmbiguousFormat, DataError, MissingFile, OverwriteError, UnsupportedFormat, WriteError
@@ -215,6 +217,26 @@ def test_colours(tmp_path):
     np.testing.assert_array_equal(geotiff.rows(p, 0, 1), z - (1 << 24))
 
 
+@pytest.mark.parametrize("shift", [0, 1 << 33])
+def test_las_of_uneven_partitions(spark, tmp_path, shift):
+    """Partitions without rows have no file, and several batches, repeated ids and ids beyond 32 bits are kept."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        few = spark.range(shift, shift + 300, 1, 3).filter(f"id < {shift + 200} and id != {shift}")  # the last of three is empty
+        both = few.unionByName(few.filter(f"id >= {shift + 150}"))
+        e = both.select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 86400).alias("ts"), (F.col("id") % 1000 / 100).alias("value"))
+        at = files.las_files(spark, e)
+        assert len(os.listdir(at)) == 3
+        got = files.las_scan(spark, e)
+        assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in e.collect())
+        assert all(r["intensity"] == r["event_id"] % 65536 and r["y"] == r["event_id"] % 86400 + 100 for r in got.collect())
+        info = files.las_info(spark, e).first()
+        assert (info["n_points"], info["min_x"], info["max_x"]) == (249, shift + 1, shift + 199)
+        assert files.las_scan(spark, e.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_las(spark, tmp_path):
     p = str(tmp_path / "p.las")
     raw = np.zeros(2, las.CORE)

@@ -3,9 +3,8 @@
 Filling runs over tiles: each floods its cells from the edges it has and from the
 levels its neighbours have reached along its border, and tiles whose surroundings
 fell flood again, until none does.  Breaching carves back along the order of one
-flood over the whole grid, which can't be parted without changing the trenches:
-it is a kernel over one grid each (grids run in parallel), so a grid must fit in a
-worker.
+flood over the whole grid: it is a kernel over one grid each (grids run in
+parallel), some 50 bytes a cell in one worker.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,116 +42,166 @@ def pit_cells(df: DataFrame) -> DataFrame:
 
 
 class Grid:
-    """Values with a border of no-data, as one flat array."""
-
-    def __init__(self, pdf: pd.DataFrame) -> None:
-        self.rows, self.cols = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-        self.width = self.cols + 2
-        z = np.full((self.rows + 2, self.width), np.nan)
-        z[pdf["row"] + 1, pdf["col"] + 1] = pdf["z"]
-        self.z = z.ravel()
+    """Values with a border of no-data, as one flat array, and which cells the table has."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, z: np.ndarray) -> None:
+        self.width = int(col.max()) + 3
+        self.z = np.full((int(row.max()) + 3) * self.width, np.nan)
+        self.here = np.zeros(len(self.z), bool)
+        for k in range(0, len(row), BLOCK):
+            at = self.places(row[k : k + BLOCK], col[k : k + BLOCK])
+            self.z[at], self.here[at] = z[k : k + BLOCK], True
         self.steps = [dy * self.width + dx for dx, dy in zip(DX, DY, strict=True)]
-        self.valid = ~np.isnan(self.z)
 
-    def around(self) -> np.ndarray:
-        """The neighbours of each inner cell, (8, cells); the border has none."""
-        return np.stack([np.roll(self.z, -s) for s in self.steps])
+    def places(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        return (row.astype(np.int64) + 1) * self.width + col + 1
 
-    def edges(self) -> np.ndarray:
-        return self.valid & np.isnan(self.around()).any(0)
+    def inner(self):
+        """Slices of all but the first and the last line, of so many cells that what is computed for one takes little."""
+        for k in range(self.width + 1, len(self.z) - self.width - 1, BLOCK):
+            yield k, min(k + BLOCK, len(self.z) - self.width - 1)
 
     def digits(self) -> int:
-        z = self.z[self.valid]
-        return len(str(int(z.max() - z.min()))) if len(z) else 1
-
-    def frame(self, pdf: pd.DataFrame, z: np.ndarray) -> pd.DataFrame:
-        got = z.reshape(self.rows + 2, self.width)[pdf["row"] + 1, pdf["col"] + 1]
-        return pdf[["raster_id", "row", "col"]].assign(z=got)
-
-
-def fill_kernel(pdf: pd.DataFrame, fix_flats: bool) -> pd.DataFrame:
-    g = Grid(pdf)
-    small = 1 / 10 ** (8 - g.digits()) if fix_flats else 0.0
-    z, steps, seen = g.z.tolist(), g.steps, (~g.valid).tolist()
-    heap = [(z[i], k, i) for k, i in enumerate(np.flatnonzero(g.edges()).tolist())]
-    for _, _, i in heap:
-        seen[i] = True
-    heapq.heapify(heap)
-    n = len(heap)
-    while heap:
-        level, _, i = heapq.heappop(heap)
-        for s in steps:
-            j = i + s
-            if not seen[j]:
-                seen[j] = True
-                if z[j] <= level:
-                    z[j] = max(z[j], level + small)
-                n += 1
-                heapq.heappush(heap, (z[j], n, j))
-    return g.frame(pdf, np.array(z))
+        least, most = np.fmin.reduce(self.z), np.fmax.reduce(self.z)
+        return 1 if np.isnan(least) else len(str(int(most - least)))
+
+    def marks(self, small: float, stream: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Heights in which a pit is just below its lowest neighbour (a shorter trench will do); pits inside the grid; edges."""
+        z, raised = self.z, self.z + 0.0  # there is one zero only
+        pits, edges = np.zeros(len(z), bool), np.zeros(len(z), bool)
+        for a, b in self.inner():
+            c = z[a:b]
+            lower, missing, lowest = np.zeros(b - a, bool), np.zeros(b - a, bool), np.full(b - a, np.inf)  # lowest of those that aren't lower
+            for s in self.steps:
+                v = z[a + s : b + s]
+                no, below = np.isnan(v), v < c
+                missing |= no
+                lowest = np.minimum(lowest, np.where(no | below, np.inf, v))
+                # water of a stream stays in it: only lower stream cells count
+                lower |= below if stream is None else below & (~stream[a:b] | stream[a + s : b + s])
+            hollow = ~np.isnan(c) & ~lower
+            lift = hollow & np.isfinite(lowest)
+            raised[a:b][lift] = lowest[lift] - small
+            edges[a:b] = missing & ~np.isnan(c)
+            pits[a:b] = hollow & ~missing
+        return raised, pits, edges
+
+
+def _ranked(z: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of floats."""
+    b = (z + 0.0).view(np.uint64)
+    return np.where(b >> np.uint64(63) == 1, ~b, b | np.uint64(1 << 63))
+
+
+BLOCK = 1 << 20  # cells
+_PLACE, _CLEAN, _TOP, _ALL, _END = (1 << 36) - 1, 1 << 35, 1 << 63, (1 << 64) - 1, 1 << 200
 
 
 def breach_kernel(
-    pdf: pd.DataFrame, mode: str, max_depth: float, max_length: int, then_fill: bool, stream: np.ndarray | None = None
-) -> pd.DataFrame:
-    g = Grid(pdf)
-    small = 10 / 10 ** (5 - g.digits()) if stream is None else 1 / 10 ** (8 - g.digits())
-    original, steps = g.z.tolist(), g.steps
-    near = g.around()
-    edge = g.edges()
-    lower = near < g.z
-    lowest = np.where(np.isnan(near) | lower, np.inf, near).min(0)  # of those that aren't lower
-    if stream is not None:  # water of a stream stays in it: only lower stream cells count
-        lower &= ~stream | np.stack([np.roll(stream, -s) for s in g.steps])
-    hollow = g.valid & ~lower.any(0)
-    raised = g.z.copy()
-    lift = hollow & np.isfinite(lowest)
-    raised[lift] = lowest[lift] - small  # just below the lowest neighbour: a shorter trench will do
-    pits = (hollow & ~edge).tolist()
-    z, seen, back = raised.tolist(), (~g.valid).tolist(), [0] * len(raised)
-    valid, wet = g.valid.tolist(), None if stream is None else stream.tolist()
-    late = [0] * len(z) if stream is None else (~stream).astype(int).tolist()  # streams are reached first
-    heap = [(late[i], original[i], k, i) for k, i in enumerate(np.flatnonzero(edge).tolist())]
-    for h in heap:
-        seen[h[3]] = True
-    heapq.heapify(heap)
-    n = len(heap)
+    g: Grid, small: float, mode: str = "complete", max_depth: float = math.inf, max_length: int = 1 << 31, stream: np.ndarray | None = None, rim: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """The heights after breaching, and the cells of which that isn't sure.
+
+    Beyond ``rim`` there is more, from where water may come at any time: what it
+    reaches no later than water from the edges is not sure, nor where trenches from
+    there may lead.  What is left is as in a flood of the whole grid, for marked
+    water comes first wherever there is a tie, and clean cells keep their order.
+
+    Cells wait as whole numbers: the height's rank, a bit for clean ones, the order
+    of discovery, the place.  Edges, which come before all else of their height,
+    are sorted and not in the heap.
+    """
+    z, pit, edge = g.marks(small, stream)
+    if rim is not None:
+        pit, edge = pit & ~rim, edge & ~rim
+    pits, seen = pit.tobytes(), bytearray(np.isnan(g.z) | edge)
+    del pit
+    back, wet = bytearray(len(z)), None if stream is None else stream.tobytes()
+    level_at, bits, original, steps = memoryview(z), memoryview(z.view(np.uint64)), memoryview(g.z), g.steps
+    numbered = list(enumerate(steps, 1))
+    tainted = None if rim is None else bytearray(len(z))
+    heaps: tuple[list[int], list[int]] = ([], [])  # cells of streams are reached first
+
+    at = np.flatnonzero(edge)
+    first_of = np.ones(len(at), bool) if stream is None else ~stream[at]
+    n = len(at)
+
+    def entries(of: np.ndarray):
+        rank = _ranked(g.z[at[of]])
+        order = np.argsort(rank, kind="stable")
+        for k in range(0, len(order), 1 << 16):
+            o = order[k : k + (1 << 16)]
+            for b, m, i in zip(rank[o].tolist(), of[o].tolist(), at[of[o]].tolist(), strict=True):
+                yield b << 72 | (_CLEAN | m) << 36 | i
+
+    edges = [entries(np.flatnonzero(~first_of)), entries(np.flatnonzero(first_of))]
+    due = [next(e, _END) for e in edges]
+    if rim is not None:
+        for i in np.flatnonzero(rim & ~np.isnan(g.z)).tolist():
+            seen[i] = tainted[i] = 1
+            heaps[1].append(i)  # before all else
+        heapq.heapify(heaps[1])
 
     def path(i: int):
         """Cells on the way out that are not yet below the falling trench, with the trench's level there."""
-        level = z[i]
-        while back[i]:
+        level = level_at[i]
+        while k := back[i]:
             level -= small
             if wet is not None and wet[i]:  # a stream runs below the lowest of the dry cells beside it
-                beside = min((z[i + s] for s in steps if valid[i + s] and not wet[i + s]), default=math.inf)
+                beside = min((v for s in steps if not wet[i + s] and (v := level_at[i + s]) == v), default=math.inf)
                 if beside < level:
                     level = beside - small
-            i = back[i]
-            if z[i] <= level:
+            i -= steps[k - 1]
+            if level_at[i] <= level:
                 return
             yield i, level
 
-    while heap:
-        *_, i = heapq.heappop(heap)
-        for s in steps:
+    while True:
+        w = 0 if heaps[0] or due[0] is not _END else 1
+        heap = heaps[w]
+        if heap and heap[0] < due[w]:
+            entry = heapq.heappop(heap)
+        elif due[w] is _END:
+            break
+        else:
+            entry = due[w]
+            due[w] = next(edges[w], _END)
+        i, clean = entry & _PLACE, entry >> 36 & _CLEAN
+        for k, s in numbered:
             j = i + s
             if seen[j]:
                 continue
-            seen[j] = True
-            back[j] = i
+            seen[j], back[j] = 1, k
+            if not clean:
+                tainted[j] = 1
             if pits[j]:
                 trench = list(path(j))
-                depth = max((original[c] - level for c, level in trench), default=0.0)
+                depth = 0.0 if mode == "complete" else max((original[c] - level for c, level in trench), default=0.0)
                 if mode == "complete" or (len(trench) <= max_length and depth <= max_depth):
                     for c, level in trench:
-                        z[c] = level
+                        level_at[c] = level
                 elif mode == "constrained":  # as far and as deep as is allowed
                     for c, level in trench[:max_length]:
-                        z[c] = min(z[c], max(level, original[c] - max_depth))
+                        level_at[c] = min(level_at[c], max(level, original[c] - max_depth))
             n += 1
-            heapq.heappush(heap, (late[j], z[j] if stream is not None else raised[j], n, j))
-    out = g.frame(pdf, np.array(z))
-    return fill_kernel(out, False) if then_fill else out
+            b = bits[j]
+            heapq.heappush(heaps[0 if wet is not None and wet[j] else 1], (b ^ _ALL if b >> 63 else b | _TOP) << 72 | (clean | n) << 36 | j)
+    for a, b in g.inner():
+        same = z[a:b] == g.z[a:b]
+        z[a:b][same] = g.z[a:b][same]
+    if rim is None:
+        return z, None
+    unsure = np.frombuffer(tainted, bool).copy()
+    doubt = np.zeros(len(z), bool)
+    for a, b in g.inner():
+        for s in steps:
+            doubt[a:b] |= unsure[a + s : b + s]
+    for i in np.flatnonzero(doubt & ~unsure & ~np.isnan(z)).tolist():
+        while not unsure[i]:
+            unsure[i] = True
+            if back[i]:
+                i -= steps[back[i] - 1]
+    return z, unsure
 
 
 _CELL = "raster_id string, row int, col int, z double"
@@ -200,21 +250,62 @@ def fill_depressions(df: DataFrame, fix_flats: bool = False, side: int = SIDE) -
     return unpacked(tiles, rounds(tiles, spread, "min", side), whole, side)
 
 
+def _whole(df: DataFrame, mode: str, max_depth: float = math.inf, max_length: int = 1 << 31) -> DataFrame:
+    """Breaching of one grid after another; a column ``m`` marks streams (over 0).  Cells come and go in batches, in between there is the grid only."""
+    kinds = {"row": np.int32, "col": np.int32, "z": np.float64} | ({"m": np.float64} if "m" in df.columns else {})
+
+    def carved(raster_id: str | None, got: dict[str, list[np.ndarray]]):
+        row, col, z = (np.concatenate(got.pop(k)) for k in ("row", "col", "z"))
+        g = Grid(row, col, z)
+        del z
+        stream = None
+        if "m" in got:
+            stream = np.zeros(len(g.z), bool)
+            stream[g.places(row, col)] = np.concatenate(got.pop("m")) > 0
+        del row, col
+        small = 10 / 10 ** (5 - g.digits()) if stream is None else 1 / 10 ** (8 - g.digits())
+        z, _ = breach_kernel(g, small, mode, max_depth, max_length, stream)
+        for a, b in g.inner():
+            for k in range(a, b, 1 << 16):
+                at = k + np.flatnonzero(g.here[k : min(b, k + (1 << 16))])
+                row, col = np.divmod(at, g.width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([raster_id] * len(at), pa.string()), pa.array((row - 1).astype(np.int32)), pa.array((col - 1).astype(np.int32)), pa.array(z[at], from_pandas=True)],
+                    ["raster_id", "row", "col", "z"],
+                )
+
+    def run(batches):
+        now, got = None, None
+        for b in batches:
+            ids = b.column("raster_id").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if got is not None and ids[x] != now:
+                    yield from carved(now, got)
+                    got = None
+                now, got = ids[x], got or {k: [] for k in kinds}
+                for k, t in kinds.items():
+                    got[k].append(b.column(k).slice(x, y - x).to_numpy(zero_copy_only=False).astype(t))  # a copy: the batch goes
+        if got is not None:
+            yield from carved(now, got)
+
+    return df.select("raster_id", *kinds).repartition("raster_id").sortWithinPartitions("raster_id").mapInArrow(run, _CELL)
+
+
 def breach_depressions(df: DataFrame, mode: str = "complete", max_depth: float = math.inf, max_length: int = 1 << 31, then_fill: bool = False) -> DataFrame:
     """Trenches from pits to lower ground; modes ``complete``, ``selective`` (whole trenches within the limits) and ``constrained`` (partial ones too)."""
     if mode not in ("complete", "selective", "constrained"):
         raise ValueError(f"unknown mode {mode!r}")
-    return df.select("raster_id", "row", "col", "z").groupBy("raster_id").applyInPandas(
-        lambda p: breach_kernel(p, mode, max_depth, max_length, then_fill), _CELL
-    )
+    out = _whole(df.select("raster_id", "row", "col", "z"), mode, max_depth, max_length)
+    return fill_depressions(out) if then_fill else out
 
 
 def breach_streams(dem: DataFrame, streams: DataFrame) -> DataFrame:
-    """Complete breaching in which the flood follows stream cells (mask over 0) first; both grids must have the same cells."""
-    both = dem.select("raster_id", "row", "col", "z").join(streams.select("raster_id", "row", "col", F.col("z").alias("m")), ["raster_id", "row", "col"], "full")
+    """Complete breaching in which the flood follows stream cells (mask over 0) first; both grids must have the same cells.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        g = Grid(p.assign(z=p["m"].fillna(0.0)))
-        return breach_kernel(p, "complete", math.inf, 1 << 31, False, np.nan_to_num(g.z) > 0)
-
-    return both.groupBy("raster_id").applyInPandas(run, _CELL)
+    Trenches lead along a stream as far as it goes, and depend on those before: the flood isn't parted.
+    """
+    both = dem.select("raster_id", "row", "col", "z").join(streams.select("raster_id", "row", "col", F.col("z").alias("m")), ["raster_id", "row", "col"], "full")
+    return _whole(both, "complete")

@@ -1,6 +1,7 @@
 """Hand-sized grids with expected values."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -242,6 +243,38 @@ def test_breach_streams(spark):
         assert not np.array_equal(got[k], z, equal_nan=True)
 
 
+def test_breaching_takes_few_bytes_a_cell(monkeypatch):
+    """The flood of a grid that can't be parted: some 50 bytes a cell, and more only for blocks of cells."""
+    monkeypatch.setattr(hydro, "BLOCK", 1 << 10)
+    z = rough(13, 800, 64, 0.0, 4000)
+    row, col = np.indices(z.shape).reshape(2, -1)
+    tracemalloc.start()
+    try:
+        g = hydro.Grid(row, col, z.ravel())
+        stream = np.zeros(len(g.z), bool)
+        stream[g.places(row, col)[col == 32]] = True
+        hydro.breach_kernel(g, 1e-4, stream=stream)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 * z.size
+
+
+def test_breaching_in_batches(spark):
+    """Grids that share a task, in batches that end within them; streams without a value are dry."""
+    grids = {k: rough(20 + i, 9, 11, 0.05 * i) for i, k in enumerate("abcdef")}
+    streams = {k: np.where(np.random.default_rng(i).random(z.shape) < 0.3, 1.0, np.nan) for i, (k, z) in enumerate(grids.items())}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        df = cells(spark, grids)
+        got, limited = arrays(hydro.breach_streams(df, cells(spark, streams))), arrays(hydro.breach_depressions(df, "constrained", 9.0, 3))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, z in grids.items():
+        np.testing.assert_allclose(got[k], breached_by_force(z, streams=np.nan_to_num(streams[k])), atol=1e-9)
+        np.testing.assert_allclose(limited[k], breached_by_force(z, "constrained", 9.0, 3), atol=1e-9)
+
+
 @pytest.mark.parametrize("radius,bins", [(1, 3), (4, 40), (9, 2)])
 def test_percentile_tiles(spark, radius, bins):
     """Small tiles, boxes wider than a tile, many groups: the counts of a plain loop."""

@@ -3,8 +3,11 @@
 Filling runs over tiles: each floods its cells from the edges it has and from the
 levels its neighbours have reached along its border, and tiles whose surroundings
 fell flood again, until none does.  Breaching carves back along the order of one
-flood over the whole grid: it is a kernel over one grid each (grids run in
-parallel), some 50 bytes a cell in one worker.
+flood over the whole grid.  Complete breaching floods windows that overlap, with
+all that may come in over a window's rim marked: where the marks don't get to the
+cells a window is for, their trenches are those of the whole flood.  Grids in which
+they do, breaching with limits and along streams take a kernel over one grid each
+(grids run in parallel), some 50 bytes a cell in one worker.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions import quantisation
 from ..model import DX, DY
-from .grid import extremes, neighbours
+from ..session import settled
+from .grid import BROADCAST_ROWS, extremes, neighbours, with_small
 from .tiles import SIDE, Tile, packed, rounds, unpacked
 
 
@@ -250,6 +254,31 @@ def fill_depressions(df: DataFrame, fix_flats: bool = False, side: int = SIDE) -
     return unpacked(tiles, rounds(tiles, spread, "min", side), whole, side)
 
 
+WINDOW, HALO = (2048, 512), 256  # rows and columns, cells on every side
+
+
+def _windows(df: DataFrame, window: tuple[int, int], halo: int) -> DataFrame:
+    """Complete breaching of windows: ``(raster_id, row, col, z, sure)``."""
+    over = lambda c, size: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / size).cast("int") for d in (0, -halo, halo)])))
+    digits = extremes(df).select("raster_id", F.coalesce(F.length((F.col("max_z") - F.col("min_z")).cast("long").cast("string")), F.lit(1)).alias("digits"))
+    cells = with_small(df, digits, ["raster_id"]).withColumn("wr", over("row", window[0])).withColumn("wc", over("col", window[1]))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(p["wr"].iloc[0]) * window[0], int(p["wc"].iloc[0]) * window[1]
+        row, col = p["row"].to_numpy() - (top - halo), p["col"].to_numpy() - (left - halo)
+        core = (row >= halo) & (row < halo + window[0]) & (col >= halo) & (col < halo + window[1])
+        if not core.any():
+            return pd.DataFrame(columns=["raster_id", "row", "col", "z", "sure"])
+        g = Grid(row, col, p["z"].to_numpy(np.float64))
+        at = g.places(row, col)
+        rim = np.zeros(len(g.z), bool)
+        rim[at[(row == 0) | (col == 0) | (row == window[0] + 2 * halo - 1) | (col == window[1] + 2 * halo - 1)]] = True
+        z, unsure = breach_kernel(g, 10 / 10 ** (5 - int(p["digits"].iloc[0])), rim=rim)
+        return p.loc[core, ["raster_id", "row", "col"]].assign(z=z[at[core]], sure=~unsure[at[core]])
+
+    return cells.groupBy("raster_id", "wr", "wc").applyInPandas(run, f"{_CELL}, sure boolean")
+
+
 def _whole(df: DataFrame, mode: str, max_depth: float = math.inf, max_length: int = 1 << 31) -> DataFrame:
     """Breaching of one grid after another; a column ``m`` marks streams (over 0).  Cells come and go in batches, in between there is the grid only."""
     kinds = {"row": np.int32, "col": np.int32, "z": np.float64} | ({"m": np.float64} if "m" in df.columns else {})
@@ -294,11 +323,22 @@ def _whole(df: DataFrame, mode: str, max_depth: float = math.inf, max_length: in
     return df.select("raster_id", *kinds).repartition("raster_id").sortWithinPartitions("raster_id").mapInArrow(run, _CELL)
 
 
-def breach_depressions(df: DataFrame, mode: str = "complete", max_depth: float = math.inf, max_length: int = 1 << 31, then_fill: bool = False) -> DataFrame:
+def breach_depressions(
+    df: DataFrame, mode: str = "complete", max_depth: float = math.inf, max_length: int = 1 << 31, then_fill: bool = False, window: tuple[int, int] = WINDOW, halo: int = HALO
+) -> DataFrame:
     """Trenches from pits to lower ground; modes ``complete``, ``selective`` (whole trenches within the limits) and ``constrained`` (partial ones too)."""
     if mode not in ("complete", "selective", "constrained"):
         raise ValueError(f"unknown mode {mode!r}")
-    out = _whole(df.select("raster_id", "row", "col", "z"), mode, max_depth, max_length)
+    cells = df.select("raster_id", "row", "col", "z")
+    if mode == "complete":
+        parts = settled(_windows(cells, window, halo))
+        wide = settled(parts.filter("not sure").select("raster_id").distinct())
+        out = parts.drop("sure")
+        if n := wide.count():
+            wide = F.broadcast(wide) if n <= BROADCAST_ROWS else wide
+            out = out.join(wide, "raster_id", "left_anti").unionByName(_whole(cells.join(wide, "raster_id", "left_semi"), mode))
+    else:
+        out = _whole(cells, mode, max_depth, max_length)
     return fill_depressions(out) if then_fill else out
 
 

@@ -275,6 +275,22 @@ def test_breaching_in_batches(spark):
         np.testing.assert_allclose(limited[k], breached_by_force(z, "constrained", 9.0, 3), atol=1e-9)
 
 
+def test_breaching_in_windows(spark):
+    """Cells that a window is sure of are those of the whole flood, in ties too; grids with others are flooded whole."""
+    shapes = [(50, 9, 0.0, 1000, 0), (40, 8, 0.2, 3, 0), (50, 9, 0.05, 40, 0), (30, 30, 0.0, 8, 0.3), (6, 5, 0.0, 8, 0)]
+    grids = {str(i): rough(30 + i, rows, cols, holes, levels, tilt) for i, (rows, cols, holes, levels, tilt) in enumerate(shapes)}
+    want = {k: breached_by_force(z) for k, z in grids.items()}
+    df = cells(spark, grids)
+    got = hydro._windows(df, (10, 20), 6).toPandas()
+    assert len(got) == sum(z.size for z in grids.values())
+    whole = got.groupby("raster_id")["sure"].all()
+    assert whole.any() and not whole.all() and whole["4"]
+    for k, p in got[got["sure"]].groupby("raster_id"):
+        np.testing.assert_allclose(p["z"].astype(float), want[k][p["row"], p["col"]], atol=1e-9)
+    for k, z in arrays(hydro.breach_depressions(df, window=(10, 20), halo=6)).items():
+        np.testing.assert_allclose(z, want[k], atol=1e-9)
+
+
 @pytest.mark.parametrize("radius,bins", [(1, 3), (4, 40), (9, 2)])
 def test_percentile_tiles(spark, radius, bins):
     """Small tiles, boxes wider than a tile, many groups: the counts of a plain loop."""

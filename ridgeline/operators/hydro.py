@@ -12,6 +12,8 @@ they do, breaching with limits and along streams take a kernel over one grid eac
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 import math
 
@@ -48,14 +50,18 @@ def pit_cells(df: DataFrame) -> DataFrame:
 class Grid:
     """Values with a border of no-data, as one flat array, and which cells the table has."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, z: np.ndarray) -> None:
-        self.width = int(col.max()) + 3
-        self.z = np.full((int(row.max()) + 3) * self.width, np.nan)
+    def __init__(self, row: np.ndarray, col: np.ndarray, z: np.ndarray, size: tuple[int, int] | None = None) -> None:
+        rows, cols = size or (int(row.max()) + 1, int(col.max()) + 1)
+        self.width = cols + 2
+        self.z = np.full((rows + 2) * self.width, np.nan)
         self.here = np.zeros(len(self.z), bool)
-        for k in range(0, len(row), BLOCK):
-            at = self.places(row[k : k + BLOCK], col[k : k + BLOCK])
-            self.z[at], self.here[at] = z[k : k + BLOCK], True
         self.steps = [dy * self.width + dx for dx, dy in zip(DX, DY, strict=True)]
+        self.put(row, col, z)
+
+    def put(self, row: np.ndarray, col: np.ndarray, z: np.ndarray) -> np.ndarray:
+        at = self.places(row, col)
+        self.z[at], self.here[at] = z, True
+        return at
 
     def places(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         return (row.astype(np.int64) + 1) * self.width + col + 1
@@ -281,17 +287,19 @@ def _windows(df: DataFrame, window: tuple[int, int], halo: int) -> DataFrame:
 
 def _whole(df: DataFrame, mode: str, max_depth: float = math.inf, max_length: int = 1 << 31) -> DataFrame:
     """Breaching of one grid after another; a column ``m`` marks streams (over 0).  Cells come and go in batches, in between there is the grid only."""
-    kinds = {"row": np.int32, "col": np.int32, "z": np.float64} | ({"m": np.float64} if "m" in df.columns else {})
-
-    def carved(raster_id: str | None, got: dict[str, list[np.ndarray]]):
-        row, col, z = (np.concatenate(got.pop(k)) for k in ("row", "col", "z"))
-        g = Grid(row, col, z)
-        del z
-        stream = None
-        if "m" in got:
-            stream = np.zeros(len(g.z), bool)
-            stream[g.places(row, col)] = np.concatenate(got.pop("m")) > 0
-        del row, col
+    names = ["row", "col", "z", *(["m"] if "m" in df.columns else [])]
+
+    def carved(raster_id: str | None, parts: list[list[np.ndarray]]):
+        size = (max(int(p[0].max()) for p in parts) + 1, max(int(p[1].max()) for p in parts) + 1)
+        g = Grid(*parts[0][:3], size)
+        stream = np.zeros(len(g.z), bool) if len(names) > 3 else None
+        while parts:
+            row, col, z, *wet = parts.pop()
+            at = g.put(row, col, z)
+            if wet:
+                stream[at] = wet[0]
+        with contextlib.suppress(OSError, AttributeError):  # not glibc
+            ctypes.CDLL(None).malloc_trim(0)  # the parts' memory would stay beside the flood's
         small = 10 / 10 ** (5 - g.digits()) if stream is None else 1 / 10 ** (8 - g.digits())
         z, _ = breach_kernel(g, small, mode, max_depth, max_length, stream)
         for a, b in g.inner():
@@ -314,13 +322,13 @@ def _whole(df: DataFrame, mode: str, max_depth: float = math.inf, max_length: in
                 if got is not None and ids[x] != now:
                     yield from carved(now, got)
                     got = None
-                now, got = ids[x], got or {k: [] for k in kinds}
-                for k, t in kinds.items():
-                    got[k].append(b.column(k).slice(x, y - x).to_numpy(zero_copy_only=False).astype(t))  # a copy: the batch goes
+                now, got = ids[x], got or []
+                row, col, z, *m = [b.column(k).slice(x, y - x).to_numpy(zero_copy_only=False) for k in names]
+                got.append([row.astype(np.int32), col.astype(np.int32), z.astype(np.float64), *(v > 0 for v in m)])  # copies: the batch goes
         if got is not None:
             yield from carved(now, got)
 
-    return df.select("raster_id", *kinds).repartition("raster_id").sortWithinPartitions("raster_id").mapInArrow(run, _CELL)
+    return df.select("raster_id", *names).repartition("raster_id").sortWithinPartitions("raster_id").mapInArrow(run, _CELL)
 
 
 def breach_depressions(
